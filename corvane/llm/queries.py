@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language_id
+from . import language_id, minhash
 
 
 def remainder(divisor: int, column: str = "doc_id"):
@@ -14,6 +14,12 @@ def remainder(divisor: int, column: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document; keep is true for the least doc_id of a class."""
+    found = minhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("keep"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose remainder by 4 isn't 2."""
     docs = table(spark, sf_dir, "documents")
@@ -22,6 +28,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op10_language_id": op10_language_id}
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op10_language_id": op10_language_id}
 
 ORACLE_SQL: dict[str, str] = {}
