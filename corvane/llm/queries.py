@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language_id, minhash
+from . import decontaminate, language_id, minhash
 
 
 def remainder(divisor: int, column: str = "doc_id"):
@@ -20,6 +20,27 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("keep"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that occur in windows of benchmark items."""
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_items = F.size("items").cast("long").alias("n_items")
+    return found.select("doc_id", "n_words", "n_hit", n_items, F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+OP7_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bw as (select distinct item_id, least(len(w), 8) k, w[i:i + least(len(w), 8) - 1] g from (select item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) i from b where len(w) > 0)),
+ks as (select distinct k from bw),
+dw as (select doc_id, i, k, w[i:i + k - 1] g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) i from d, ks where len(w) >= k)),
+hit as (select doc_id, item_id, i, k from dw join bw using (k, g)),
+words as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + k)) p from (select distinct doc_id, i, k from hit)) group by doc_id),
+items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct doc_id, cast(item_id as varchar) item from hit) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_items, 0) >= 2 contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose remainder by 4 isn't 2."""
     docs = table(spark, sf_dir, "documents")
@@ -28,6 +49,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op10_language_id": op10_language_id}
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op7_decontaminate": op7_decontaminate, "op10_language_id": op10_language_id}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL}
