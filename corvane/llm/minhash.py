@@ -98,11 +98,10 @@ def _sketch(config: MinHashConfig):
                 for k in range(config.rows):
                     key = tb.mix(key * np.uint64(5) + who[:, :, k])
                 key = tb.mix(key + np.arange(config.bands, dtype=np.uint64))
-                full = np.zeros(n, bool)
-                full[rows] = True
-                offsets = np.concatenate([[0], np.cumsum(np.where(full, config.bands, 0))]).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id")[first:last], batch.column("digest")[first:last], bands], ["id", "digest", "bands"])
+                empty = np.ones(n, bool)
+                empty[rows] = False
+                columns = [pa.array(key[:, k].view(np.int64), mask=empty) for k in range(config.bands)]
+                yield pa.RecordBatch.from_arrays([batch.column("id")[first:last], batch.column("digest")[first:last], *columns], ["id", "digest", *(f"b{k}" for k in range(config.bands))])
 
     return run
 
@@ -119,29 +118,34 @@ def _sets(config: MinHashConfig):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets' Jaccard reaches the threshold."""
+    """Of the pairs (a, b, la, lb) those whose shingle sets' Jaccard reaches the threshold, as links (a, b) between their labels."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     both = pairs.join(left, "a").join(right, "b")
     n, m = F.size("ga"), F.size("gb")
     both = both.where(F.least(n, m) >= F.lit(threshold) * F.greatest(n, m))
-    common = F.size(F.array_intersect("ga", "gb"))
-    return both.withColumn("common", common).where(F.col("common") >= F.lit(threshold) * (n + m - F.col("common")) - F.lit(1e-9)).select("a", "b")
+    both = both.withColumn("common", F.size(F.array_intersect("ga", "gb"))).where(F.col("common") >= F.lit(threshold) * (n + m - F.col("common")) - F.lit(1e-9))
+    return both.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label): the least id that each end of an edge (a, b) is connected with. Labels travel along edges and along themselves."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
-        lower = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        moved = cut(lower.join(jump, "new", "left").select("id", "label", F.least(F.col("new"), F.coalesce("far", "new")).alias("new")))
-        changed = moved.where("new <> label").limit(1).count()
-        labels = moved.select("id", F.col("new").alias("label"))
-        if not changed:
-            return labels
+def components(edges: DataFrame) -> DataFrame | None:
+    """(id, label): the least id that each end of an edge (a, b), a < b, is connected with; None without an edge.
+
+    Every end moves to the least id around it, and on to where that one moves; edges move with their ends, and those within a class go.
+    """
+    total = None
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        step = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
+        onward = step.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        step = cut(step.join(onward, "to", "left").select("id", F.coalesce("far", "to").alias("to")))
+        ends = edges.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        edges = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if total is None:
+            total = step.toDF("id", "label")
+        else:
+            total = cut(total.join(step.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+    return total
 
 
 def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,49 +156,47 @@ def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: st
     # rows without an id or a text never meet others
     alone = base.where("id is null or txt is null").select("id", F.col("id").alias("class_id"))
     base = base.where("id is not null and txt is not null").withColumn("digest", F.md5("txt"))
-    sketch = base.mapInArrow(_sketch(config), f"id {kind}, digest string, bands array<bigint>")
-    # one representative of equal texts, with its bands
-    reps = cut(sketch.groupBy("digest").agg(F.min(F.struct("id", "bands")).alias("r")).select("digest", "r.id", "r.bands"))
-    entries = reps.select("id", F.explode("bands").alias("band"))
+    bands = [f"b{k}" for k in range(config.bands)]
+    sketch = base.mapInArrow(_sketch(config), f"id {kind}, digest string, " + ", ".join(f"{b} bigint" for b in bands))
+    # one representative of equal texts; they have the same bands
+    reps = cut(sketch.groupBy("digest").agg(F.min("id").alias("id"), *(F.min(b).alias(b) for b in bands)))
+    entries = reps.select("id", F.explode(F.array(*bands)).alias("band")).where("band is not null")
     crowded = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     members = cut(entries.join(crowded, "band"))
     wanted = members.select("id").distinct().join(reps.select("id", "digest"), "id")
     wanted = broadcast_if_small(wanted, members.count() * 64)
     sets = base.join(wanted, ["id", "digest"], "left_semi").mapInArrow(_sets(config), f"id {kind}, grams array<bigint>").groupBy("id").agg(F.first("grams").alias("grams"))
-    labels = _linked(members, cut(sets), config)
-    rep_class = reps.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))
-    return base.select("id", "digest").join(rep_class, "digest").select("id", "class_id").unionByName(alone).withColumnRenamed("id", doc_id)
+    rep_class = reps.select("digest", F.col("id").alias("label"))
+    for moved in _moves(members, cut(sets), config):
+        rep_class = rep_class.join(moved.toDF("label", "to"), "label", "left").select("digest", F.coalesce("to", "label").alias("label"))
+    return base.select("id", "digest").join(rep_class, "digest").select("id", F.col("label").alias("class_id")).unionByName(alone).withColumnRenamed("id", doc_id)
 
 
-def _linked(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataFrame:
-    """(id, label) of all that have a link. members: (band, id) of buckets with two or more.
+def _moves(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> list[DataFrame]:
+    """One (id, label) a round: where labels go. members: (band, id) of buckets with two or more.
 
     Each round takes centres among the members that were none yet, in buckets that hold several classes: the least of each of n
     groups by hash. All other members of another class are held against them. n grows, so a bucket of unlike members ends too.
     """
     open_members = members.withColumns({"label": F.col("id"), "done": F.lit(False)})
-    edges = tried = labels = None
-    n_round = 0
-    while True:
-        groups = 1 if not n_round else config.centres
-        mixed = open_members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.when(~F.col("done"), 1)).alias("rest")).where("lo <> hi and rest > 0").select("band")
-        held = open_members.join(mixed, "band", "left_semi")
+    moves: list[DataFrame] = []
+    for n_round in range(1 << 30):
+        held = open_members
         if n_round:
-            held = cut(held)
+            mixed = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.when(~F.col("done"), 1)).alias("rest")).where("lo <> hi and rest > 0").select("band")
+            held = cut(held.join(mixed, "band", "left_semi"))
             if held.isEmpty():
-                return labels
-        slot = F.pmod(F.xxhash64("id", F.lit(n_round)), F.lit(groups))
-        centres = held.where(~F.col("done")).groupBy("band", slot.alias("slot")).agg(F.min(F.struct("id", "label")).alias("c")).select("band", F.col("c.id").alias("centre"), F.col("c.label").alias("centre_label"))
-        pairs = held.join(centres, "band").where("id <> centre and label <> centre_label")
-        pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        found = _verified(pairs, sets, config.threshold)
-        edges = cut(found if edges is None else edges.union(found))
-        labels = components(edges)
+                break
+        slot = F.pmod(F.xxhash64("id", F.lit(n_round)), F.lit(config.centres if n_round else 1))
+        centres = held.where(~F.col("done")).groupBy("band", slot.alias("slot")).agg(F.min("id").alias("centre"), F.min_by("label", "id").alias("lc"))
+        # what was a centre of the bucket before has met all its members
+        pairs = held.where(~F.col("done")).join(centres, "band").where("id <> centre and label <> lc")
+        low = F.col("id") < F.col("centre")
+        pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), F.when(low, F.col("label")).otherwise(F.col("lc")).alias("la"), F.when(low, F.col("lc")).otherwise(F.col("label")).alias("lb")).distinct()
+        moved = components(cut(_verified(pairs, sets, config.threshold)))
         used = centres.select("band", F.col("centre").alias("id"), F.lit(True).alias("used"))
-        marked = held.join(used, ["band", "id"], "left").select("band", "id", (F.col("done") | F.col("used").isNotNull()).alias("done"))
-        open_members = cut(marked.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"), "done"))
-        n_round += 1
+        open_members = held.join(used, ["band", "id"], "left").select("band", "id", "label", (F.col("done") | F.col("used").isNotNull()).alias("done"))
+        if moved is not None:
+            moves.append(moved)
+            open_members = open_members.join(moved.toDF("label", "to"), "label", "left").select("band", "id", F.coalesce("to", "label").alias("label"), "done")
+    return moves

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, minhash
+from . import byte_bpe, decontaminate, language_id, minhash, token_counts
 
 
 def remainder(divisor: int, column: str = "doc_id"):
@@ -20,6 +20,23 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("keep"))
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """The place of a public tokenizer's file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return token_counts.count(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in windows of benchmark items."""
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -49,6 +66,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op7_decontaminate": op7_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_token_counts": op3_token_counts, "op4_byte_bpe": op4_byte_bpe, "op7_decontaminate": op7_decontaminate, "op10_language_id": op10_language_id}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL}
