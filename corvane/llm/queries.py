@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, decontaminate, language_id, minhash, token_counts
+from . import byte_bpe, decontaminate, language_id, maxent_lm, minhash, ogg_media, token_counts
 
 
 def remainder(divisor: int, column: str = "doc_id"):
@@ -20,6 +20,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("keep"))
 
 
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and model score of every document, learned from those whose remainder by 7 isn't 2."""
+    return maxent_lm.score(table(spark, sf_dir, "documents"), remainder(7) != 2)
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     """The place of a public tokenizer's file on the driver."""
     import public_tokenizers
@@ -58,6 +63,11 @@ from d left join words using (doc_id) left join items using (doc_id)
 """
 
 
+def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an Ogg file and read back."""
+    return ogg_media.store(table(spark, sf_dir, "documents"), media=False)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose remainder by 4 isn't 2."""
     docs = table(spark, sf_dir, "documents")
@@ -66,6 +76,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_token_counts": op3_token_counts, "op4_byte_bpe": op4_byte_bpe, "op7_decontaminate": op7_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_maxent_lm": op2_maxent_lm, "op3_token_counts": op3_token_counts, "op4_byte_bpe": op4_byte_bpe, "op7_decontaminate": op7_decontaminate, "op8_ogg_media": op8_ogg_media, "op10_language_id": op10_language_id}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL}
