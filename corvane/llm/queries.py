@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, decontaminate, language_id, maxent_lm, minhash, ogg_media, token_counts
+from . import byte_bpe, decontaminate, language_id, maxent_lm, minhash, ogg_media, pu_quality, token_counts
 
 
 def remainder(divisor: int, column: str = "doc_id"):
@@ -68,6 +68,14 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.store(table(spark, sf_dir, "documents"), media=False)
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels of those whose remainder by 3 isn't 1."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(3) == 1
+    model = pu_quality.train(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return pu_quality.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose remainder by 4 isn't 2."""
     docs = table(spark, sf_dir, "documents")
@@ -76,6 +84,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_maxent_lm": op2_maxent_lm, "op3_token_counts": op3_token_counts, "op4_byte_bpe": op4_byte_bpe, "op7_decontaminate": op7_decontaminate, "op8_ogg_media": op8_ogg_media, "op10_language_id": op10_language_id}
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_maxent_lm": op2_maxent_lm, "op3_token_counts": op3_token_counts, "op4_byte_bpe": op4_byte_bpe, "op7_decontaminate": op7_decontaminate, "op8_ogg_media": op8_ogg_media, "op9_pu_quality": op9_pu_quality, "op10_language_id": op10_language_id}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL}

@@ -62,15 +62,15 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs
 
 
-def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row exclusive, bytes, offsets from 0) of pieces of about `limit` bytes, whole rows each."""
+def chunks(col: pa.Array, limit: int = CHUNK_BYTES, rows: int = 32768) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row exclusive, bytes, offsets from 0) of pieces of about `limit` bytes and at most `rows` whole rows."""
     if not len(col):
         return
     raw, offs = string_buffers(col)
     first = 0
     while first < len(col):
         last = int(np.searchsorted(offs, offs[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), len(col), first + 32768)
+        last = min(max(last, first + 1), len(col), first + rows)
         yield first, last, raw[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
         first = last
 
