@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Sides under this many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def builder(cpus: int | str = 8, name: str = "corvane") -> SparkSession.Builder:
     """The builder of a local session with the settings that tests and benches share."""
@@ -51,8 +53,13 @@ def broadcast_if_small(df: DataFrame, n_bytes: int | None, limit: int = BROADCAS
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in the executors' Python, once a context."""
+    """Makes this package importable in the executors' Python, once a context, and keeps Arrow batches small unless the session says otherwise.
+
+    Batches cut by bytes bound what a task holds outside the heap, however long the texts are.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_ARROW_BYTES, None) in (None, "64MB", "67108864b", "67108864"):
+        spark.conf.set(_ARROW_BYTES, "8m")
     if not getattr(sc, "_corvane_shipped", False):
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane.zip"
