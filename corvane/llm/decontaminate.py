@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from ..session import BROADCAST_BYTES, broadcast_if_small
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The words as a class of what they hold, which Java matches about five times as fast as the class of what they don't.
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
+ANY_CASE_WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,7 @@ def report(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig =
     )
     per_text = per_text.select(F.col("key").alias("_key"), F.array_sort("items").alias("_items"), step["n"].cast("long").alias("_hit"))
     value = F.col(text).cast("string")
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.md5(value).alias("_key"), F.coalesce(F.regexp_count(lower_ascii(value), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.md5(value).alias("_key"), F.coalesce(F.regexp_count(value, F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = rows.join(per_text, "_key", "left")
     return out.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"),
