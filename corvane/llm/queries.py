@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, decontaminate, language_id, maxent_lm, minhash, ogg_media, pu_quality, token_counts
+from . import byte_bpe, decontaminate, language_id, maxent_lm, minhash, ogg_media, pu_quality, secret_scan, token_counts
 
 
 def remainder(divisor: int, column: str = "doc_id"):
@@ -42,6 +42,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document that the forest, trained from generated labelled findings, keeps."""
+    forest = secret_scan.train_forest(secret_scan.generated_findings(spark))
+    return secret_scan.report(table(spark, sf_dir, "documents"), forest)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in windows of benchmark items."""
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -84,6 +90,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_maxent_lm": op2_maxent_lm, "op3_token_counts": op3_token_counts, "op4_byte_bpe": op4_byte_bpe, "op7_decontaminate": op7_decontaminate, "op8_ogg_media": op8_ogg_media, "op9_pu_quality": op9_pu_quality, "op10_language_id": op10_language_id}
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_maxent_lm": op2_maxent_lm, "op3_token_counts": op3_token_counts, "op4_byte_bpe": op4_byte_bpe, "op6_secret_scan": op6_secret_scan, "op7_decontaminate": op7_decontaminate, "op8_ogg_media": op8_ogg_media, "op9_pu_quality": op9_pu_quality, "op10_language_id": op10_language_id}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL}
