@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, decontaminate, language_id, maxent_lm, minhash, ogg_media, pu_quality, secret_scan, token_counts
+from . import byte_bpe, decontaminate, language_id, maxent_lm, minhash, ogg_media, pii, pu_quality, secret_scan, token_counts
 
 
 def remainder(divisor: int, column: str = "doc_id"):
@@ -42,6 +42,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; spans has the disclosing terms after the base spans."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    base = pii.listed(F.col("base"))
+    terms = F.array_join(F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    spans = F.array_join(F.filter(F.array(base, terms), lambda x: x != ""), ",")
+    return found.select("doc_id", *map(count, range(4)), F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), F.size("terms").cast("long").alias("n_term"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document that the forest, trained from generated labelled findings, keeps."""
     forest = secret_scan.train_forest(secret_scan.generated_findings(spark))
@@ -90,6 +100,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_maxent_lm": op2_maxent_lm, "op3_token_counts": op3_token_counts, "op4_byte_bpe": op4_byte_bpe, "op6_secret_scan": op6_secret_scan, "op7_decontaminate": op7_decontaminate, "op8_ogg_media": op8_ogg_media, "op9_pu_quality": op9_pu_quality, "op10_language_id": op10_language_id}
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_maxent_lm": op2_maxent_lm, "op3_token_counts": op3_token_counts, "op4_byte_bpe": op4_byte_bpe, "op5_pii": op5_pii, "op6_secret_scan": op6_secret_scan, "op7_decontaminate": op7_decontaminate, "op8_ogg_media": op8_ogg_media, "op9_pu_quality": op9_pu_quality, "op10_language_id": op10_language_id}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL}
