@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _VOWELS = "aeiouy"
 # Fixed values of the published algorithm: whole-word exceptions, endings that add back an e, step tables.
 _EXCEPTIONS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
@@ -104,6 +106,8 @@ def agent_verb(stem_form: str) -> str:
 def vocabulary_stems(tokens: DataFrame, column: str = "token") -> DataFrame:
     """(token, stem, verb) of the distinct tokens: Python sees each word once, not each occurrence."""
 
+    ship(tokens.sparkSession)
+
     def run(batches):
         for pdf in batches:
             stems = [t if t[:1].isdigit() else stem(t) for t in pdf["token"]]

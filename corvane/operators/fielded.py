@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import model as M
 from ..functions import text as tx
 from ..functions.stem import agent_verb, stem, vocabulary_stems
+from ..session import cut
 from ..sources import corpus
 
 
@@ -66,39 +67,66 @@ def fields_of(files: DataFrame, descriptions: DataFrame | None = None) -> DataFr
     return files.withColumns(columns).drop("__extra")
 
 
-def frequencies(fielded: DataFrame, q: Question, key: list[str]) -> DataFrame:
-    """(key, field, stem, tf, literal) of terms whose stem is the question's."""
-    spark = fielded.sparkSession
-    tokens = fielded.select(*key, F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"t{k}").alias("t")) for k in range(4)])).alias("f")).select(*key, "f.field", F.explode("f.t").alias("token"))
+def matching_tokens(fielded: DataFrame, q: Question) -> tuple[dict[str, str], dict[str, str]]:
+    """(token to stem, token to stem by verb form): the words of the corpus that match the question. Verb forms count in filenames only.
+
+    A stem keeps its word's first letter but for a few words, so few words reach the stemmer, each once; what comes back are only matches.
+    """
     if not q.stemmed:
-        hits = tokens.where(F.col("token").isin(list(q.stems))).withColumn("stem", F.col("token"))
-    else:
-        # a stem keeps its word's first letter but for few words; the vocabulary that may match is small, and is stemmed once
-        starts = {s[:1] for s in q.stems} | {"s", "d", "l", "t"}
-        maybe = tokens.where(F.substring("token", 1, 1).isin(sorted(starts)))
-        table = vocabulary_stems(maybe)
-        wanted = spark.createDataFrame([(s, agent_verb(s)) for s in q.stems], "stem string, verb string")
-        direct = table.join(F.broadcast(wanted.select("stem")), "stem").select("token", "stem", F.lit(False).alias("by_verb"))
-        verbs = table.join(F.broadcast(wanted.select("stem")), "stem", "left_anti").join(F.broadcast(wanted.groupBy("verb").agg(F.min("stem").alias("qstem"))), "verb").select("token", F.col("qstem").alias("stem"), F.lit(True).alias("by_verb"))
-        hits = maybe.join(direct.unionByName(verbs), "token").where("not by_verb or field = 0")
-    literal = F.sum(F.when((F.col("field") == 0) & F.col("token").isin(list(q.surface)), 1).otherwise(0))
-    return hits.groupBy(*key, "field", "stem").agg(F.count(F.lit(1)).alias("tf"), literal.alias("literal"))
+        return {s: s for s in q.stems}, {}
+    starts = sorted({s[:1] for s in q.stems} | {"s", "d", "l", "t"})
+    verbs: dict[str, str] = {}
+    for s in q.stems:
+        verbs.setdefault(agent_verb(s), s)
+    tokens = fielded.select(F.explode(F.concat("t0", "t1", "t2", "t3")).alias("token")).where(F.substring("token", 1, 1).isin(starts))
+    found = vocabulary_stems(tokens).where(F.col("stem").isin(list(q.stems)) | F.col("verb").isin(list(verbs))).collect()
+    direct = {r["token"]: r["stem"] for r in found if r["stem"] in q.stems}
+    return direct, {r["token"]: verbs[r["verb"]] for r in found if r["token"] not in direct and r["verb"] in verbs}
+
+
+def _hits(q: Question, direct: dict[str, str], by_verb: dict[str, str]) -> tuple[Column, Column]:
+    """(array of (stem, field, tf) by stem and field, number of literal filename words) of a row's term arrays."""
+
+    def stems_in(column: str, table: dict[str, str]) -> Column:
+        if not table:
+            return F.array().cast("array<string>")
+        kept = F.filter(column, lambda t: t.isin(sorted(table)))
+        if all(k == v for k, v in table.items()):
+            return kept
+        lookup = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+        return F.transform(kept, lambda t: F.try_element_at(lookup, t))
+
+    found = [stems_in(f"t{k}", {**direct, **by_verb} if not k else direct) for k in range(4)]
+    counted = []
+    for k, stems in enumerate(found):
+        counted.append(F.transform(F.array_distinct(stems), _counter(stems, k)))
+    literal = sorted(t for t in {**direct, **by_verb} if t in q.surface)
+    return F.array_sort(F.concat(*counted)), F.size(F.filter("t0", lambda t: t.isin(literal))) if literal else F.lit(0)
+
+
+def _counter(stems: Column, k: int):
+    return lambda s: F.struct(s.alias("stem"), F.lit(k).alias("field"), F.size(F.filter(stems, lambda x: x == s)).alias("tf"))
 
 
 def score(files: DataFrame, q: Question, classes: list | None = None, descriptions: DataFrame | None = None, shortlist: int = M.SHORTLIST) -> DataFrame:
-    """One row for each file with evidence: tier, class, role, score, literal, tie, fields and partial (matched stems). `files` has unique paths."""
+    """One row for each file with evidence: tier, class, role, score, literal, tie, fields and partial (matched stems). `files` has unique paths.
+
+    Texts are read once: what is left of each is a row of lengths and hits, which is cut off; all else works on those rows.
+    """
     tier, name = corpus.classify(F.col("path"), classes or [])
     ready = fields_of(files.where(~corpus.excluded_from_brief(F.col("path"))), descriptions).withColumns({"tier": tier, "class": name})
-    tf = frequencies(ready, q, ["path", "tier"])
-    lengths = ready.select("path", "tier", "class", "role", "active", "canonical", "public_safe", "confidence", "freshness", *[F.size(f"t{k}").alias(f"len{k}") for k in range(4)])
-    # the corpus is the least tier; one row of lengths and one of document frequencies
-    lead = lengths.agg(F.min("tier").alias("lead"))
-    lead_lengths = lengths.join(F.broadcast(lead), F.col("tier") == F.col("lead")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"len{k}").alias(f"avg{k}") for k in range(4)])
-    df = tf.where("field = 2").join(F.broadcast(lead), F.col("tier") == F.col("lead")).groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
-    stats = df.agg(F.map_from_entries(F.collect_list(F.struct("stem", "df"))).alias("dfs")).crossJoin(F.broadcast(lead_lengths)).crossJoin(F.broadcast(lead))
-    per_file = tf.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("stem", "field", "tf"))).alias("hits"), F.sum("literal").alias("literal"))
-    rows = per_file.join(lengths, "path").crossJoin(F.broadcast(stats))
-    idf = lambda s: F.log1p((F.col("n") - F.coalesce(F.try_element_at("dfs", s), F.lit(0)) + 0.5) / (F.coalesce(F.try_element_at("dfs", s), F.lit(0)) + 0.5))
+    hits, literal = _hits(q, *matching_tokens(ready, q))
+    traits = ["path", "tier", "class", "role", "active", "canonical", "public_safe", "confidence", "freshness"]
+    small = cut(ready.select(*traits, *[F.size(f"t{k}").alias(f"len{k}") for k in range(4)], hits.alias("hits"), literal.cast("long").alias("literal")))
+    # the corpus is the least tier: one row of lengths and document frequencies
+    lead = small.agg(F.min("tier").alias("lead"))
+    leading = small.join(F.broadcast(lead), F.col("tier") == F.col("lead"))
+    stems = [F.count_if(F.exists("hits", _body_hit(s))).alias(f"df{i}") for i, s in enumerate(q.stems)]
+    any_of = [F.count_if(F.exists("hits", _any_hit(s))).alias(f"any{i}") for i, s in enumerate(q.stems)]
+    stats = leading.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"len{k}").alias(f"avg{k}") for k in range(4)], F.count_if(F.size("hits") > 0).alias("admitted"), *stems, *any_of)
+    rows = small.where(F.size("hits") > 0).crossJoin(F.broadcast(stats))
+    count = len(q.stems)
+    idf_of = F.create_map(*[x for i, s in enumerate(q.stems) for x in (F.lit(s), F.log1p((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)))])
     pick = lambda values, k: F.element_at(F.array(*values), k + 1)
     mean = [F.when(F.col(f"avg{k}") == 0, 1.0).otherwise(F.col(f"avg{k}")) for k in range(4)]
     weight, b = [F.lit(x) for x in M.FIELD_WEIGHTS], [F.lit(x) for x in M.LENGTH_NORMALIZATION]
@@ -107,18 +135,25 @@ def score(files: DataFrame, q: Question, classes: list | None = None, descriptio
     def part(h: Column) -> Column:
         k = h["field"]
         norm = F.lit(M.K1) * (F.lit(1.0) - pick(b, k) + pick(b, k) * pick(size, k) / pick(mean, k))
-        return idf(h["stem"]) * pick(weight, k) * F.lit(M.K1 + 1) * h["tf"] / (h["tf"] + norm)
+        return F.element_at(idf_of, h["stem"]) * pick(weight, k) * F.lit(M.K1 + 1) * h["tf"] / (h["tf"] + norm)
 
     lexical = F.aggregate("hits", F.lit(0.0), lambda a, h: a + part(h))
     tie = F.col("active") * 100 + F.col("canonical") * 50 + F.col("public_safe") * 20 + F.col("confidence")
     test = F.when(F.col("role") == "test", M.TEST_ROLE_WEIGHT if q.asks_test else -M.TEST_ROLE_WEIGHT).otherwise(0.0)
-    rows = rows.withColumn("tie", tie.cast("long")).withColumn("score", lexical + F.lit(M.TRAIT_WEIGHT) * F.least("tie", F.lit(1023)) + test)
-    fields = F.array_compact(F.array(*[F.when(F.exists("hits", lambda h, k=k: h["field"] == k), F.lit(f)) for k, f in enumerate(M.FIELDS)]))
-    rows = rows.withColumns({"fields": fields, "partial": F.size(F.array_distinct(F.transform("hits", lambda h: h["stem"])))})
     # lower tiers count only if the least one has too few files or lacks a stem
-    seen = rows.where("tier = lead").agg(F.count(F.lit(1)).alias("admitted"), F.coalesce(F.size(F.array_distinct(F.flatten(F.collect_set(F.transform("hits", lambda h: h["stem"]))))), F.lit(0)).alias("stems"))
-    rows = rows.crossJoin(F.broadcast(seen)).where((F.col("tier") == F.col("lead")) | (F.col("admitted") < shortlist) | (F.col("stems") < len(q.stems)))
-    return rows.select("path", "tier", "class", "role", "active", "canonical", "public_safe", "confidence", "freshness", "score", "literal", "tie", "fields", "partial")
+    seen = sum(((F.col(f"any{i}") > 0).cast("int") for i in range(count)), F.lit(0))
+    rows = rows.where((F.col("tier") == F.col("lead")) | (F.col("admitted") < shortlist) | (seen < count))
+    rows = rows.withColumn("tie", tie.cast("long")).withColumn("score", lexical + F.lit(M.TRAIT_WEIGHT) * F.least("tie", F.lit(1023)) + test)
+    fields = F.array_compact(F.array(*[F.when(F.array_contains(F.transform("hits", lambda h: h["field"]), k), F.lit(f)) for k, f in enumerate(M.FIELDS)]))
+    return rows.select(*traits, "score", "literal", "tie", fields.alias("fields"), F.size(F.array_distinct(F.transform("hits", lambda h: h["stem"]))).alias("partial"))
+
+
+def _body_hit(s: str):
+    return lambda h: (h["field"] == 2) & (h["stem"] == s)
+
+
+def _any_hit(s: str):
+    return lambda h: h["stem"] == s
 
 
 def fixed_point(value: Column, offset: int = 0) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from . import queries_rank
 
+QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (queries_rank,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.SQL
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """The stemmed fielded ranking."""
+    return QUERIES["fielded_rank"](spark, sf_dir)
