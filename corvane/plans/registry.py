@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import queries_graph, queries_rank
+from . import queries_graph, queries_ops, queries_rank
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (queries_rank, queries_graph):
+for _module in (queries_rank, queries_graph, queries_ops):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.SQL
 
