@@ -127,13 +127,14 @@ def detect(docs: DataFrame, config: PiiConfig = PiiConfig(), keep: tuple[str, ..
     both = near.select("key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term", "key").agg(F.count(F.lit(1)).alias("n"))
     both = both.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= config.support).drop("texts")
     linked = cut(both.join(entities, "entity"))
-    # in how many rows each such term stands, over all rows
+    # in how many rows each such term stands, over all rows: words are counted before they meet the terms, so no step makes a row for each
+    # place where a frequent term stands (a semi join would be pushed below the count)
     n_terms = linked.count()
     terms = linked.select("term").distinct()
     if n_terms * 64 <= 64 << 20:
         terms = F.broadcast(terms)
     words = F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(TERM), F.lit(0)))
-    counted = docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term")) if n_terms else terms.withColumn("n_term", F.lit(1).cast("long"))
+    counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term") if n_terms else terms.withColumn("n_term", F.lit(1).cast("long"))
     pmi = F.log2(F.col("n_both") * F.lit(float(max(n_rows, 1))) / (F.greatest("n_term", "n_both") * F.col("n_entity")))
     share = pmi / F.greatest(F.log2(F.lit(float(max(n_rows, 1))) / F.col("n_entity")), F.lit(1e-9))
     telling = linked.join(counted, "term").withColumn("share", share).where(F.col("share") >= config.threshold).select("entity", "term", (F.col("share") >= config.removed).alias("removed"))
