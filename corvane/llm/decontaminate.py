@@ -26,13 +26,17 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 ANY_CASE_WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
 
+#: Parts into which the rows of one text are dealt.
+SALTS = 16
+
 
 @dataclass(frozen=True)
 class DecontaminateConfig:
-    """words: window length. min_items: from so many items with an occurring window a text is contaminated."""
+    """words: window length. min_items: from so many items with an occurring window a text is contaminated. item_share: of one item's windows, for a leak."""
 
     words: int = 8
     min_items: int = 2
+    item_share: float = 0.5
 
 
 def lower_ascii(text: Column) -> Column:
@@ -58,7 +62,7 @@ def _measured(frame: DataFrame, *cols: str) -> int:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(key, item, start, length): where windows of items occur; key is the MD5 of the text, start counts from 0."""
+    """(key, item, start, length, window): where windows of items occur; key is the MD5 of the text, start counts from 0."""
     wins = windows(benchmark, config, item_id, item_text)
     n_bytes = _measured(wins, "item", "window")
     texts = docs.select(F.md5(F.col(text).cast("string")).alias("key"), word_array(F.col(text).cast("string")).alias("w"))
@@ -74,7 +78,17 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConf
     start, size = F.col("at") - F.col("offset"), F.size("window")
     found = met.where((start >= 0) & (start + size <= F.size("w"))).where(F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("window"))
     found = found.select("key", start.alias("start"), size.alias("length"), "window")
-    return found.join(broadcast_if_small(wins, n_bytes, limit), "window").select("key", "item", "start", "length")
+    return found.join(broadcast_if_small(wins, n_bytes, limit), "window").select("key", "item", "start", "length", "window")
+
+
+def leaking_keys(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key): MD5 of texts that are contaminated, or that have at least `item_share` of one item's windows."""
+    found = occurrences(docs, benchmark, config, text, item_id, item_text)
+    sizes = windows(benchmark, config, item_id, item_text).groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
+    per_item = found.groupBy("key", "item", "window").agg(F.lit(1).alias("one")).groupBy("key", "item").agg(F.count(F.lit(1)).alias("n"))
+    per_item = per_item.join(broadcast_if_small(sizes, _measured(sizes, "item")), "item")
+    per_key = per_item.groupBy("key").agg(F.count(F.lit(1)).alias("items"), F.max(F.col("n") / F.col("windows")).alias("share"))
+    return per_key.where((F.col("items") >= config.min_items) | (F.col("share") >= config.item_share)).select("key")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), keep: tuple[str, ...] = ("doc_id",), text: str = "text", **names) -> DataFrame:
@@ -89,7 +103,10 @@ def report(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig =
     per_text = per_text.select(F.col("key").alias("_key"), F.array_sort("items").alias("_items"), step["n"].cast("long").alias("_hit"))
     value = F.col(text).cast("string")
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.md5(value).alias("_key"), F.coalesce(F.regexp_count(value, F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = rows.join(per_text, "_key", "left")
+    # one text may be a third of all rows: rows meet their text's hits by salted keys
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*[f"k{i}" for i in range(len(keep))]), F.lit(SALTS)))
+    per_text = per_text.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    out = rows.join(per_text, ["_key", "_salt"], "left")
     return out.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("_items", F.array().cast("array<string>")).alias("items"), (F.coalesce(F.size("_items"), F.lit(0)) >= config.min_items).alias("contaminated"),
