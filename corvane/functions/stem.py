@@ -97,10 +97,11 @@ def stem(word: str) -> str:
 
 
 def agent_verb(stem_form: str) -> str:
-    """The verb form of an agent noun's stem: -er after a consonant off, stemmed again."""
-    if len(stem_form) > 4 and stem_form.endswith("er") and stem_form[-3] not in _VOWELS:
-        return stem(stem_form[:-2])
-    return stem_form
+    """The stem of the verb that an agent noun's stem comes from: `parser` as of parse, `scanner` as of scan; others as they are."""
+    if len(stem_form) < 6 or not stem_form.endswith("er") or stem_form[-3] in _VOWELS or not stem_form.isascii() or not stem_form.isalpha():
+        return stem_form
+    doubled = stem_form[-3] == stem_form[-4]
+    return stem(stem_form[:-3] if doubled else stem_form[:-1])
 
 
 def vocabulary_stems(tokens: DataFrame, column: str = "token") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
+from ..session import cut
 
 # Orders of the rank key's parts.
 AUTHORITIES = ["canonical", "supporting", "derived", "unknown"]
@@ -34,15 +35,14 @@ def rank(nodes: DataFrame, required_domains: list[str], limit: int, evidence_kin
 
 def number(rows: DataFrame, order: list, name: str) -> DataFrame:
     """Adds the place of each row in a total order, from 1, without one task for all: ranges are sorted apart, and each begins after those before it."""
-    ranged = rows.withColumn("__part", F.lit(0)) if rows.sparkSession.sparkContext.defaultParallelism == 1 else rows
-    sorted_rows = ranged.drop("__part").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
-    from ..session import cut
-
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
     fixed = cut(sorted_rows)
-    begins = fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first"))
+    begins = fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
     # as many rows as partitions
-    starts = begins.withColumn("before", F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
-    return fixed.join(F.broadcast(starts), "__part").withColumn(name, (F.col("before") + F.col("__row") - F.col("first") + 1).cast("long")).drop("__part", "__row", "n", "first", "before")
+    running = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    starts = begins.withColumn("__before", running - F.col("__n"))
+    out = fixed.join(F.broadcast(starts), "__part")
+    return out.withColumn(name, (F.col("__before") + F.col("__row") - F.col("__first") + 1).cast("long")).drop("__part", "__row", "__n", "__first", "__before")
 
 
 def missing_domains(covered: DataFrame, required: list[str]) -> DataFrame:
@@ -82,7 +82,6 @@ def traverse(edges: DataFrame, seeds: DataFrame, kinds: list[str], max_depth: in
 
     Edges are inspected in the order kind, source, target, locator, id within a level; the bound on inspected edges ends it.
     """
-    from ..session import cut
     from .graph import search
 
     allowed = edges.where(F.col("kind").isin(kinds))
