@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import default_ranking, fielded, packets
+from ..operators import brief_units, default_ranking, fielded, packets
 from ..session import table
 from ..sources import corpus
 
@@ -200,3 +200,21 @@ def rule_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").groupBy("source", "lang").agg((F.count(F.lit(1)) * 10 + F.max("doc_id") % 7).alias("score"))
     rows = rows.withColumn("top", F.max("score").over(Window.partitionBy("lang"))).where(F.col("score") * 10 >= F.col("top") * 3)
     return rows.select("lang", "source", "score", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "source")).cast("long").alias("rank"))
+
+
+@query(
+    "rarity_weights",
+    "with d as (select source, count(*) df from documents group by source), t as (select count(*) n from documents), r as (select source, df, ((n + 1) * 65536) // least(df + 1, n + 1) q from d, t), k as (select *, greatest(length(bin(q)) - 17, 0) k from r) "
+    "select source, df, (8 + k * 96 + ((((q >> k::int) - 65536) >> 10) * 3) // 2)::bigint weight from k",
+)
+def rarity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-number rarity of sources."""
+    docs = table(spark, sf_dir, "documents")
+    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))
+    return counts.select("source", "df", brief_units.rarity_weight(F.col("n"), F.col("df")).alias("weight"))
+
+
+@query("brief_units")
+def brief_units_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brief ranking by units."""
+    return brief_units.rank(brief_units.score(files(spark, sf_dir), "doc-12.md hend src1"))

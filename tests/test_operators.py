@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import stem, text as tx
-from corvane.operators import default_ranking, facts, fielded, graph, incremental, packets, rules, structural, views
+from corvane.operators import brief_units, default_ranking, facts, fielded, graph, incremental, packets, rules, structural, views
 from corvane.operators.evidence_log import StoreFull, append
 from corvane.sources import corpus, documents, sql_gate, stores
 
@@ -264,3 +264,32 @@ def test_streamed_snapshots_and_windows(spark, sf, tmp_path):
     query = windowed(stream).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(str, spark.table("w").collect())) == sorted(map(str, windowed(events).collect()))
+
+
+def test_units_weigh_places(spark):
+    frame = files(spark, [("docs/valve.md", "x"), ("valve/x.md", "x"), ("docs/a.md", "the valve, the valve"), ("docs/b.md", "many valves"), ("docs/c.md", "none")])
+    ranked = brief_units.rank(brief_units.score(frame, "valve")).collect()
+    assert [r["path"] for r in ranked] == ["docs/valve.md", "valve/x.md", "docs/a.md", "docs/b.md"]
+    assert [r["structural"] for r in ranked] == [2500, 2350, 2000, 2000]
+
+
+def test_scan_of_a_tree(tmp_path, spark):
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.md").write_text("hello")
+    (tmp_path / "node_modules" / "b.md").write_text("no")
+    (tmp_path / "c.bin").write_bytes(b"\xff\xfe\x00")
+    (tmp_path / "big.md").write_text("x" * 3000)
+    found, diagnostics = corpus.scan_tree(spark, str(tmp_path), max_file_bytes=2000)
+    assert [(r["path"], r["text"]) for r in found.collect()] == [("d/a.md", "hello")]
+    assert sorted((r["path"], r["kind"]) for r in diagnostics.collect()) == [("big.md", "oversized-input"), ("c.bin", "unsupported-input")]
+
+
+def test_descriptions_must_be_fresh_and_first(spark):
+    import hashlib
+    import json
+
+    sha = hashlib.sha256(b"body").hexdigest()
+    rows = [(1, json.dumps({"path": "a", "sha256": sha, "description": "first"})), (2, json.dumps({"path": "a", "sha256": sha, "description": "second"})), (3, json.dumps({"path": "b", "sha256": "0" * 64, "description": "stale"})), (4, "broken")]
+    found = corpus.valid_descriptions(spark, spark.createDataFrame(rows, "ord int, line string"), spark.createDataFrame([("a", "body"), ("b", "other")], "path string, text string"))
+    assert [(r["path"], r["description"]) for r in found.collect()] == [("a", "first")]
