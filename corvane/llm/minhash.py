@@ -7,8 +7,8 @@ A shingle stops as soon as its next arrival is later than the latest component's
 probability Jaccard of their weighted shingles.
 
 Texts that share a band are linked only if the exact Jaccard of their shingle sets reaches the threshold. Candidates are stars, not all
-pairs: in each bucket the members are held against a few centres; as long as a bucket has members of different classes that were not
-held against each other, further members become centres. So no pair of a bucket is lost, and none within a class is made again.
+pairs: in each bucket all are held against one centre, and bounds from what they share with it spare nearly all other pairs (see _moves).
+So no pair of a bucket is lost, and none within a class is made again.
 
 Defined results: equal texts (equal strings, empty ones too) are one class. Null texts are classes of their own, as are texts without a
 word that have no equal. The class id is the least doc_id of the class. Rows with an equal doc_id are one document only if their texts are equal.
@@ -16,11 +16,12 @@ word that have no equal. The class id is the least doc_id of the class. Rows wit
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut, ship
@@ -31,13 +32,13 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class MinHashConfig:
-    """words: shingle length. bands x rows: components of a signature. centres: members of a bucket that become centres in a later round."""
+    """words: shingle length. bands x rows: components of a signature. centres: groups of a bucket's members from which further centres come at first."""
 
     words: int = 5
     threshold: float = 0.8
-    bands: int = 16
-    rows: int = 4
-    centres: int = 32
+    bands: int = 30
+    rows: int = 7
+    centres: int = 256
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +102,7 @@ def _sketch(config: MinHashConfig):
                 empty = np.ones(n, bool)
                 empty[rows] = False
                 columns = [pa.array(key[:, k].view(np.int64), mask=empty) for k in range(config.bands)]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[first:last], batch.column("digest")[first:last], *columns], ["id", "digest", *(f"b{k}" for k in range(config.bands))])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[first:last], batch.column("digest")[first:last], *columns, pa.array(np.bincount(rows, minlength=n).astype(np.int32))], ["id", "digest", *(f"b{k}" for k in range(config.bands)), "n"])
 
     return run
 
@@ -117,15 +118,16 @@ def _sets(config: MinHashConfig):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b, la, lb) those whose shingle sets' Jaccard reaches the threshold, as links (a, b) between their labels."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b and more) with common, the size of the meet of their shingle sets."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(left, "a").join(right, "b")
-    n, m = F.size("ga"), F.size("gb")
-    both = both.where(F.least(n, m) >= F.lit(threshold) * F.greatest(n, m))
-    both = both.withColumn("common", F.size(F.array_intersect("ga", "gb"))).where(F.col("common") >= F.lit(threshold) * (n + m - F.col("common")) - F.lit(1e-9))
-    return both.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    return pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ga", "gb"))).drop("ga", "gb")
+
+
+def _similar(common: Column, n: Column, m: Column, threshold: float) -> Column:
+    """Whether sets of n and m with so many in common reach the Jaccard threshold."""
+    return common >= F.lit(threshold) * (n + m - common) - F.lit(1e-9)
 
 
 def components(edges: DataFrame) -> DataFrame | None:
@@ -148,55 +150,127 @@ def components(edges: DataFrame) -> DataFrame | None:
     return total
 
 
-def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id), one row for each row of `docs`."""
+def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, class_id), one row for each row of `docs`; `digest`: the text's MD5 too."""
     ship(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("txt"))
     kind = base.schema["id"].dataType.simpleString()
     # rows without an id or a text never meet others
-    alone = base.where("id is null or txt is null").select("id", F.col("id").alias("class_id"))
+    alone = base.where("id is null or txt is null").select("id", F.col("id").alias("class_id"), F.md5("txt").alias("digest"))
     base = base.where("id is not null and txt is not null").withColumn("digest", F.md5("txt"))
     bands = [f"b{k}" for k in range(config.bands)]
-    sketch = base.mapInArrow(_sketch(config), f"id {kind}, digest string, " + ", ".join(f"{b} bigint" for b in bands))
+    sketch = base.mapInArrow(_sketch(config), f"id {kind}, digest string, " + ", ".join(f"{b} bigint" for b in bands) + ", n int")
     # one representative of equal texts; they have the same bands
-    reps = cut(sketch.groupBy("digest").agg(F.min("id").alias("id"), *(F.min(b).alias(b) for b in bands)))
-    entries = reps.select("id", F.explode(F.array(*bands)).alias("band")).where("band is not null")
-    crowded = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    members = cut(entries.join(crowded, "band"))
+    reps = cut(sketch.groupBy("digest").agg(F.min("id").alias("id"), *(F.min(b).alias(b) for b in [*bands, "n"])))
+    # texts whose sizes allow the threshold are in the same or in neighbouring classes of size, so each goes to two buckets a band
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(config.threshold))).cast("long")
+    entries = reps.where("n > 0").select("id", "n", F.explode(F.array(*bands)).alias("key"), size_class.alias("size"))
+    entries = entries.select("id", "n", F.explode(F.array(F.xxhash64("key", "size"), F.xxhash64("key", F.col("size") + 1))).alias("bucket"))
+    crowded = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
+    members = cut(entries.join(crowded, "bucket"))
+    crowds = members.groupBy("id").agg(F.sum("of").alias("crowd"))
+    members = cut(members.drop("of").join(crowds, "id"))
     wanted = members.select("id").distinct().join(reps.select("id", "digest"), "id")
     wanted = broadcast_if_small(wanted, members.count() * 64)
     sets = base.join(wanted, ["id", "digest"], "left_semi").mapInArrow(_sets(config), f"id {kind}, grams array<bigint>").groupBy("id").agg(F.first("grams").alias("grams"))
     rep_class = reps.select("digest", F.col("id").alias("label"))
     for moved in _moves(members, cut(sets), config):
         rep_class = rep_class.join(moved.toDF("label", "to"), "label", "left").select("digest", F.coalesce("to", "label").alias("label"))
-    return base.select("id", "digest").join(rep_class, "digest").select("id", F.col("label").alias("class_id")).unionByName(alone).withColumnRenamed("id", doc_id)
+    out = base.select("id", "digest").join(rep_class, "digest").select("id", F.col("label").alias("class_id"), "digest").unionByName(alone)
+    return out.select(F.col("id").alias(doc_id), "class_id", *["digest"] * digest)
+
+
+def keep_one(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` without all but one document of each class; repeated rows stay once. Rows without an id or a text stay."""
+    key = F.md5(F.col(text).cast("string"))
+    both = F.col(doc_id).isNotNull() & F.col(text).isNotNull()
+    repeated = docs.where(both).groupBy(doc_id, key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        docs = docs.where(both).dropDuplicates([doc_id, text]).unionByName(docs.where(~both))
+    found = classes(docs, config, doc_id, text, digest=True)
+    # the class takes its id from one document; another text under that id is another document
+    gone = cut(found.where(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("__id"), F.col("digest").alias("__digest")).distinct())
+    gone = broadcast_if_small(gone, gone.count() * 64)
+    return docs.join(gone, (docs[doc_id] == F.col("__id")) & (key == F.col("__digest")), "left_anti")
 
 
 def _moves(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> list[DataFrame]:
-    """One (id, label) a round: where labels go. members: (band, id) of buckets with two or more.
+    """Steps (id, label) of where labels go, in their order. members: (bucket, id, n, crowd) of buckets with two or more; crowd: how many
+    members an id's buckets have together.
 
-    Each round takes centres among the members that were none yet, in buckets that hold several classes: the least of each of n
-    groups by hash. All other members of another class are held against them. n grows, so a bucket of unlike members ends too.
+    First every member is held against the most crowded one of its bucket, the likeliest to be the text that others were made from. What is
+    left are pairs x, y of a bucket in different classes. With i and e for how many of a text's shingles its centre has and hasn't:
+    if x and y share no shingle beyond the centre's, they have min(ix, iy) in common at most, which is seldom enough, and the few pairs for
+    which it is are compared. Else they share a shingle beyond the centre's; of those x needs only the first ex - (t * nx - ix) + 1 in the order of
+    hashes, since so many must be common. Texts with the same such shingle and centre make a bucket of their own. So no pair is lost.
     """
-    open_members = members.withColumns({"label": F.col("id"), "done": F.lit(False)})
+    t = config.threshold
+    centres = members.groupBy("bucket").agg(F.min(F.struct(F.negative("crowd").alias("crowd"), "id", "n")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("nc"))
+    placed = cut(members.join(centres, "bucket"))
+    checked = cut(_compared(placed.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "n", "nc").distinct(), sets))
     moves: list[DataFrame] = []
-    for n_round in range(1 << 30):
-        held = open_members
-        if n_round:
-            mixed = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.when(~F.col("done"), 1)).alias("rest")).where("lo <> hi and rest > 0").select("band")
-            held = cut(held.join(mixed, "band", "left_semi"))
-            if held.isEmpty():
-                break
-        slot = F.pmod(F.xxhash64("id", F.lit(n_round)), F.lit(config.centres if n_round else 1))
-        centres = held.where(~F.col("done")).groupBy("band", slot.alias("slot")).agg(F.min("id").alias("centre"), F.min_by("label", "id").alias("lc"))
-        # what was a centre of the bucket before has met all its members
-        pairs = held.where(~F.col("done")).join(centres, "band").where("id <> centre and label <> lc")
-        low = F.col("id") < F.col("centre")
-        pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), F.when(low, F.col("label")).otherwise(F.col("lc")).alias("la"), F.when(low, F.col("lc")).otherwise(F.col("label")).alias("lb")).distinct()
-        moved = components(cut(_verified(pairs, sets, config.threshold)))
-        used = centres.select("band", F.col("centre").alias("id"), F.lit(True).alias("used"))
-        open_members = held.join(used, ["band", "id"], "left").select("band", "id", "label", (F.col("done") | F.col("used").isNotNull()).alias("done"))
-        if moved is not None:
-            moves.append(moved)
-            open_members = open_members.join(moved.toDF("label", "to"), "label", "left").select("band", "id", F.coalesce("to", "label").alias("label"), "done")
+    _link(checked.where(_similar(F.col("common"), F.col("n"), F.col("nc"), t)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), moves)
+    held = placed.join(checked.select(F.col("a").alias("id"), F.col("b").alias("centre"), "common"), ["id", "centre"], "left")
+    held = held.select("bucket", "id", "n", "crowd", "centre", F.coalesce("common", "n").alias("i"), (F.col("id") == F.col("centre")).alias("done"), F.col("id").alias("label"))
+    held = _several(_relabelled(held, moves))
+    _rounds(held, sets, config, moves, True)
+    held = _several(_relabelled(held.withColumn("label", F.col("id")), moves))
+    apart = held.where("not done").select(F.col("id").alias("a"), F.col("centre").alias("b"), "n", "i", "crowd").distinct()
+    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
+    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    beyond = F.array_sort(F.array_except("ga", "gb"))
+    needed = F.greatest(F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)) - F.col("i"), F.lit(1))
+    novel = apart.join(left, "a").join(right, "b").select(F.col("a").alias("id"), F.col("b").alias("centre"), "n", "crowd", F.slice(beyond, F.lit(1), F.greatest(F.size(beyond) - needed + 1, F.lit(0)).cast("int")).alias("g"))
+    again = novel.select("id", "n", "crowd", F.explode("g").alias("g"), "centre").select("id", "n", "crowd", F.xxhash64("centre", "g").alias("bucket"))
+    shared = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("bucket")
+    again = again.join(shared, "bucket").select("bucket", "id", "n", "crowd", F.lit(0).alias("i"), F.lit(False).alias("done"), F.col("id").alias("label"))
+    _rounds(_several(_relabelled(again, moves)), sets, config, moves, False)
     return moves
+
+
+def _link(edges: DataFrame, moves: list[DataFrame]) -> None:
+    moved = components(cut(edges))
+    if moved is not None:
+        moves.append(moved)
+
+
+def _relabelled(members: DataFrame, moves: list[DataFrame]) -> DataFrame:
+    """Members with their labels moved on."""
+    for moved in moves:
+        members = members.join(moved.toDF("label", "to"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    return members
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes and one or more that was no centre."""
+    members = cut(members)
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.when(~F.col("done"), 1)).alias("rest")).where("lo <> hi and rest > 0").select("bucket")
+    return cut(members.join(mixed, "bucket", "left_semi"))
+
+
+def _rounds(held: DataFrame, sets: DataFrame, config: MinHashConfig, moves: list[DataFrame], within_centre: bool) -> None:
+    """Compares pairs of different classes in their buckets, until each bucket is one class or all its members were centres.
+
+    A round's centres are the most crowded members of each of n groups by hash, n sixteen times more in each round. within_centre: only pairs
+    count that can reach the threshold with what they share with the bucket's centre.
+    """
+    t = config.threshold
+    for n_round in range(1 << 30):
+        if held.isEmpty():
+            return
+        slot = F.pmod(F.xxhash64("id", F.lit(n_round)), F.lit(config.centres * 16**n_round))
+        best = held.where(~F.col("done")).groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.negative("crowd").alias("crowd"), "id", "label", "n", "i")).alias("c"))
+        centres = cut(best.select("bucket", F.col("c.id").alias("other"), F.col("c.label").alias("lo"), F.col("c.n").alias("no"), F.col("c.i").alias("io")))
+        # a pair whose sizes differ too much can't reach the threshold; what was a centre before has met all members
+        able = (F.least("n", "no") >= F.lit(t) * F.greatest("n", "no")) & (F.col("label") != F.col("lo"))
+        if within_centre:
+            able = able & _similar(F.least("i", "io"), F.col("n"), F.col("no"), t)
+        pairs = held.where(~F.col("done")).join(centres, "bucket").where(able)
+        low = F.col("id") < F.col("other")
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "n", "no", F.when(low, F.col("label")).otherwise(F.col("lo")).alias("la"), F.when(low, F.col("lo")).otherwise(F.col("label")).alias("lb"))
+        pairs = pairs.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("no").alias("no"), F.first("la").alias("la"), F.first("lb").alias("lb"))
+        found = _compared(pairs, sets).where(_similar(F.col("common"), F.col("n"), F.col("no"), t))
+        _link(found.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), moves)
+        used = centres.select("bucket", F.col("other").alias("id"), F.lit(True).alias("used"))
+        held = held.join(used, ["bucket", "id"], "left").withColumn("done", F.col("done") | F.col("used").isNotNull()).drop("used")
+        held = _several(_relabelled(held, moves[-1:]))
