@@ -1,0 +1,482 @@
+"""The training-data operators against brute force, exact round trips, held-out accuracy, and edge cases."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from corvane.llm import byte_bpe, decontaminate, language_id, maxent_lm, minhash, ogg_media, pii, pretokens, pu_quality, queries, secret_scan, textbatch, token_counts
+from corvane.session import table
+
+P = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "lorem ipsum dolor " * 20_000
+EDGES = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, LONG, "en", "s", len(LONG)), (4, "the same text of more than five words", None, "s", 1), (4, "the same text of more than five words", None, "s", 1), (None, "a b", "fr", None, None), (5, "漢字 é ß 😀\n\t x", "de", "", 9), (6, "!!! 123", "en", "s", 7)]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Nulls, empty, very long and repeated rows, with columns whose names clash with results."""
+    frame = spark.createDataFrame(EDGES, SCHEMA)
+    clash = ["score", "class_id", "keep", "n_tokens", "held_out", "lang_pred", "key", "label", "spans", "id", "digest", "base", "terms", "n", "__key", "media", "txt", "k0"]
+    return frame.withColumns({c: F.lit(7) for c in clash})
+
+
+@pytest.fixture(scope="module")
+def none(edges):
+    return edges.where("false")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+def lower(text):
+    return text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+# --- near duplicates --------------------------------------------------------------------------------------------------
+
+
+def brute_classes(rows, t=0.8):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    grams = {}
+    for d, text in rows:
+        w = word.findall(lower(text))
+        n = min(5, len(w))
+        grams[d] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+    label = {d: d for d, _ in rows}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    texts = dict(rows)
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            meet = len(grams[a] & grams[b])
+            if texts[a] == texts[b] or grams[a] and grams[b] and meet >= t * (len(grams[a]) + len(grams[b]) - meet) - 1e-9:
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
+def test_classes_match_brute_force(docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()} == brute_classes(rows)
+
+
+def test_classes_of_families_match_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows, n = [], 0
+    for _family in range(6):
+        base = [rng.choice(vocabulary) for _ in range(150)]
+        for _copy in range(40):
+            words = list(base)
+            for _ in range(rng.randint(0, 7)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary) + "x"
+            rows.append((n, " ".join(words)))
+            n += 1
+    for _ in range(40):  # a passage that many share
+        rows.append((n, " ".join(base[:60] + [rng.choice(vocabulary) for _ in range(40)])))
+        n += 1
+    found = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_classes(rows)
+
+
+def test_signatures_estimate_the_jaccard():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    b = np.concatenate([a[:200], rng.integers(0, 1 << 62, 100).astype(np.uint64)])
+    rows = np.repeat([0, 1], 300)
+    who = minhash.signatures(rows, np.concatenate([a, b]), np.ones(600), 2, 2048)
+    assert abs((who[0] == who[1]).mean() - 0.5) < 0.05
+
+
+def test_classes_of_edge_cases(edges, none):
+    found = minhash.classes(edges).collect()
+    assert len(found) == len(EDGES) and {r["class_id"] for r in found if r["doc_id"] == 4} == {4}
+    assert minhash.classes(none).count() == 0
+    kept = minhash.keep_one(edges)
+    assert kept.columns == edges.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, [1, 2, 3, 4, None, 5, 6]))
+
+
+# --- language model ---------------------------------------------------------------------------------------------------
+
+
+def test_base_scores_match_brute_force_and_the_model_is_better(spark, sf, docs):
+    got = {r["doc_id"]: r for r in queries.op2_maxent_lm(spark, sf).collect()}
+    tokens = {r["doc_id"]: [*re.findall("[^\x20\x09-\x0d]+", lower(r["text"])), None] for r in docs.collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
+    counts = Counter(t for d, ts in tokens.items() if not held[d] for t in ts)
+    total, distinct = sum(counts.values()), len(counts)
+    gain = []
+    for d, ts in tokens.items():
+        base = sum(math.log10((counts[t] + 1) / (total + distinct + 1)) for t in ts)
+        r = got[d]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(ts), sum(counts[t] > 0 for t in ts), total)
+        assert abs(r["base_score"] - base) < 1e-5
+        if held[d]:
+            gain.append(r["score"] - r["base_score"])
+    assert sum(gain) > 0
+
+
+def test_rare_words_by_shuffle_change_no_score(docs):
+    a = maxent_lm.score(docs, F.col("doc_id") % 3 != 0, maxent_lm.MaxentConfig(hot_bound=1 << 30)).select("doc_id", "n_known", F.round("base_score", 4), F.round("score", 4))
+    b = maxent_lm.score(docs, F.col("doc_id") % 3 != 0, maxent_lm.MaxentConfig(hot_bound=50)).select("doc_id", "n_known", F.round("base_score", 4), F.round("score", 4))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_classes_sum_to_one():
+    rng = np.random.default_rng(0)
+    weights = rng.normal(size=(60, 8)).astype(np.float32)
+    p = np.exp(maxent_lm.class_log_probabilities(weights, np.zeros(8, np.float32), rng.integers(0, 60, (20, 6))))
+    assert np.allclose(p.sum(1), 1, atol=1e-5)
+
+
+def test_scores_of_edge_cases(edges, none):
+    found = maxent_lm.score(edges, F.col("doc_id") != 6).collect()
+    assert len(found) == len(EDGES) and {r["n_tokens"] for r in found if r["doc_id"] in (1, 2)} == {1}
+    assert maxent_lm.score(none, F.lit(True)).count() == 0
+    assert all(r["n_known"] == 0 for r in maxent_lm.score(edges, F.lit(False)).collect())
+
+
+# --- tokens -----------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    rng = random.Random(7)
+    parts = ["a", "'s", "'ll", "'", "re", " ", "  ", "\n", "\t", "é", "ß", "1", "23", "!", "...", "'t", "'d", "m", "漢", "字", "́", "😀", "\x85", "\x1c", "'ve", "'r", "e", "S", " '", "''", "½", " ", " "]
+    fuzz = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    return [r["text"] for r in docs.collect()] + fuzz + ["a" * k for k in range(40)] + ["-" * 300, " " * 50]
+
+
+def test_pretokens_are_the_pattern_s_matches(texts):
+    pattern = regex.compile(P.PATTERN)
+    got = [[] for _ in texts]
+    for first, _last, data, offs in textbatch.chunks(pa.array(texts)):
+        rows, starts = pretokens.pretokens(data, offs)
+        raw = data.tobytes()
+        for r, a, b in zip(rows, starts, pretokens.pretoken_ends(rows, starts, offs), strict=True):
+            got[first + r].append(raw[a:b].decode())
+    assert got == [pattern.findall(t) for t in texts]
+
+
+def test_ids_are_the_library_s(texts, ranks):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, out = byte_bpe.BatchEncoder(byte_bpe.ByteBpe(ranks)), []
+    for _first, _last, data, offs in textbatch.chunks(pa.array(texts)):
+        ids, at = coder.encode(data, offs)
+        assert coder.decode(ids).tobytes() == data.tobytes()
+        out += [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+    assert out == [library.encode_ordinary(t) for t in texts]
+
+
+def test_appends_and_edits_are_exact(ranks):
+    bpe, rng = byte_bpe.ByteBpe(ranks), random.Random(3)
+    table_ = byte_bpe.PrefixEncoding(bpe)
+    for _ in range(60):
+        a = rng.randint(0, len(table_.piece))
+        b = rng.randint(a, min(len(table_.piece), a + 3))
+        table_.replace(a, b, bytes(rng.choice(b"abcdethin ") for _ in range(rng.randint(0, 6))))
+        assert table_.ids() == byte_bpe.PrefixEncoding(bpe, table_.piece).ids()
+        assert table_.append(b"ing").ids() == byte_bpe.PrefixEncoding(bpe, table_.piece).ids()
+
+
+def test_op4_and_op3_match_brute_force(spark, sf, docs, ranks):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op4_byte_bpe(spark, sf).collect():
+        ids = library.encode_ordinary(text[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text[r["doc_id"]].encode()).hexdigest())
+    scores, pattern, memo = token_counts.unigram_scores(ranks), regex.compile(P.PATTERN), {}
+
+    def best(piece):
+        if piece not in memo:
+            found = [(0, 0)]
+            for end in range(1, len(piece) + 1):
+                found.append(max((found[i][0] + scores[piece[i:end]], found[i][1] - 1) for i in range(end) if piece[i:end] in scores))
+            memo[piece] = (-found[-1][1], found[-1][0])
+        return memo[piece]
+
+    for r in queries.op3_token_counts(spark, sf).collect():
+        pieces = [best(p.encode()) for p in pattern.findall(text[r["doc_id"]])]
+        assert (r["n_pretokens"], r["n_tokens"]) == (len(pieces), sum(p[0] for p in pieces)) and abs(r["log_prob"] - sum(p[1] for p in pieces) / 1e6) < 1e-6
+
+
+def test_a_full_trie_begins_anew(ranks):
+    scores = token_counts.unigram_scores(ranks)
+    small, large = token_counts.ForwardTrie(scores, max_nodes=5), token_counts.ForwardTrie(scores)
+    for piece in (b"there", b"then", b"hello", b"other", b"there"):
+        assert small.insert(piece) == large.insert(piece)
+
+
+def test_tokens_of_edge_cases(edges, none):
+    path = P.path("byte_bpe_50k.tiktoken")
+    found = byte_bpe.encode(edges, path, ids=True).collect()
+    assert len(found) == len(EDGES) and {r["n_tokens"] for r in found if r["doc_id"] in (1, 2)} == {0}
+    assert {r["decoded_sha256"] for r in found if r["doc_id"] == 3} == {hashlib.sha256(LONG.encode()).hexdigest()}
+    assert byte_bpe.encode(none, path).count() == 0 and token_counts.count(none, path).count() == 0
+    assert token_counts.count(edges, path).count() == len(EDGES)
+
+
+# --- personal data ----------------------------------------------------------------------------------------------------
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_base_spans_match_brute_force(spark, docs):
+    rng = random.Random(5)
+    parts = ["a@b.com", ".", "+", "x", "4111 1111 1111 1111", "4111-1111-1111-1111", "1.2.3.4", "256.1.1.1", "+1 (555) 123-4567", "@", "a.b@c-d.e.f", " ", "7", "12345678", "é", "😀", "-", "%", "_", "..", "1.2.3.4.5.6.7.8", "\n", "00012.1.1.1"]
+    fuzz = [(10_000 + i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for i in range(1500)]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(fuzz, "doc_id long, text string"))
+    text = {r["doc_id"]: r["text"] for r in frame.collect()}
+    for r in pii.detect(frame).select("doc_id", pii.listed(F.col("base")).alias("s")).collect():
+        assert r["s"] == brute_spans(text[r["doc_id"]]), text[r["doc_id"]]
+
+
+def test_disclosing_terms_are_found_and_taken_out(spark):
+    rows = [(i, f"reach Zorblat Quimby at z.quimby@mail.example.com about item number {i} of the list") for i in range(5)] + [(10 + i, f"about the item number {i} of other lists at home") for i in range(60)]
+    found = pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), keep=("doc_id", "text"))
+    clean = {r["doc_id"]: r["c"] for r in found.select("doc_id", pii.sanitised(F.col("text"), F.col("base"), F.col("terms")).alias("c")).collect()}
+    assert "orblat" not in clean[1] and "example.com" not in clean[1] and "[EMAIL]" in clean[1] and clean[11] == dict(rows)[11]
+
+
+def test_long_runs_do_not_overflow(spark):
+    hard = [(1, "1" * 60_000), (2, "a" * 60_000), (3, "1.2." * 20_000), (4, "+1" + " 2" * 30_000), (5, "a@" + "b." * 30_000)]
+    assert pii.detect(spark.createDataFrame(hard, "doc_id long, text string")).count() == 5
+
+
+def test_personal_data_of_edge_cases(edges, none):
+    found = pii.detect(edges).collect()
+    assert len(found) == len(EDGES) and not any(r["base"] or r["terms"] for r in found)
+    assert pii.detect(none).count() == 0
+
+
+# --- secrets ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train_forest(secret_scan.generated_findings(spark))
+
+
+def test_forest_on_findings_it_has_not_seen(spark, forest):
+    rows = secret_scan.with_votes(secret_scan.with_features(secret_scan.generated_findings(spark, 1000, seed=77)), forest)
+    right = rows.where((F.col("votes") >= 50) == (F.col("label") == 1)).count()
+    assert right / rows.count() > 0.97
+
+
+def test_walk_equals_the_trees(spark, forest):
+    rows = secret_scan.with_features(secret_scan.generated_findings(spark, 200, seed=8))
+
+    def vote(tree, x):
+        while not isinstance(tree, int):
+            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for r in secret_scan.with_votes(rows, forest).collect():
+        x = [r[f] for f in secret_scan.FEATURES]
+        assert r["votes"] == sum(vote(t, x) for t in forest) // len(forest)
+
+
+def test_secrets_go_and_the_rest_stays(spark, forest):
+    key = hashlib.sha1(b"x").hexdigest()
+    rows = [(1, f'on of token = "{key}" thth', "s"), (2, f'é😀 token = "{key}"', "s"), (3, "plain words only", "s"), (4, None, None), (4, None, None), (5, "Supercalifragilistic words.", "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame, forest).collect()}
+    assert found == {1: 'on of token = "[SECRET]" thth', 2: 'é😀 token = "[SECRET]"', 3: rows[2][1], 4: None, 5: rows[5][1]}
+    assert secret_scan.redact(frame, forest).count() == 6
+
+
+def test_secrets_of_edge_cases(edges, none, forest):
+    assert secret_scan.report(edges, forest).count() == len(EDGES) and secret_scan.redact(edges, forest).columns == edges.columns
+    assert secret_scan.redact(none, forest).count() == 0 and secret_scan.train_forest(secret_scan.generated_findings(none.sparkSession).where("false")) == []
+
+
+# --- decontamination --------------------------------------------------------------------------------------------------
+
+
+def brute_hits(text, items):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    w, hit, ids = word.findall(lower(text or "")), set(), set()
+    for item, t in items:
+        v = word.findall(lower(t or ""))
+        k = min(8, len(v))
+        wins = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)} if v else set()
+        for i in range(len(w) - k + 1):
+            if k and tuple(w[i : i + k]) in wins:
+                hit.update(range(i, i + k))
+                ids.add(str(item))
+    return len(w), len(hit), sorted(ids)
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_hits_match_brute_force_by_broadcast_and_by_shuffle(spark, monkeypatch, limit):
+    items = [(1, "One two three four five six seven eight nine ten"), (2, "short ÉTÉ item"), (3, None), (4, ""), (5, "two three four five six seven eight nine"), (6, "a a a a a a a a a a")]
+    rows = [(1, "x one TWO three, four five six seven eight nine y short été item"), (2, "short ÉTÉ item. Short ÉTÉ item"), (3, None), (4, ""), (5, "a " * 30), (5, "a " * 30), (None, "two three four five six seven eight nine"), (7, "nothing here")]
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("w", "_key", "items", "n_hit", "window", "token")})
+    found = decontaminate.report(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in found) == sorted((str(d), *brute_hits(t, items)) for d, t in rows)
+    assert decontaminate.report(frame.where("false"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert decontaminate.report(frame, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
+
+
+def test_op7_matches_brute_force(spark, sf, docs):
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()]
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op7_decontaminate(spark, sf).collect():
+        n, hit, ids = brute_hits(text[r["doc_id"]], items)
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(ids) >= 2)
+
+
+# --- media ------------------------------------------------------------------------------------------------------------
+
+
+def test_checksum_is_the_format_s():
+    def bitwise(data):
+        c = 0
+        for x in data:
+            c ^= x << 24
+            for _ in range(8):
+                c = (c << 1 ^ 0x04C11DB7) & 0xFFFFFFFF if c >> 31 else c << 1 & 0xFFFFFFFF
+        return c
+
+    for data in (b"", b"a", bytes(range(256))):
+        assert ogg_media.page_checksum(data) == bitwise(data)
+
+
+@pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 1920, 65_025, 130_050, 300_001])
+def test_media_round_trip(n):
+    rng = random.Random(n)
+    text = rng.randbytes(n)
+    payload = ogg_media.payload_of(text)
+    assert len(payload) % 192 == 0 and len(payload) == max(192, -(-n // 192) * 192) and payload[:n] == text
+    data = ogg_media.write(payload, n)
+    sound = ogg_media.read(data)
+    assert (sound.payload, sound.n_bytes) == (payload, n) and sound.times[-1] == len(payload) * 125
+    for _ in range(20):
+        bad = bytearray(data)
+        bad[rng.randrange(len(bad))] ^= 1 << rng.randrange(8)
+        with pytest.raises(ogg_media.OggError):
+            ogg_media.read(bytes(bad))
+    for cut in (1, len(data) // 2):
+        with pytest.raises(ogg_media.OggError):
+            ogg_media.read(data[:-cut])
+
+
+def test_media_queries(spark, sf, docs, edges, none):
+    text = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    for r in queries.op8_ogg_media(spark, sf).collect():
+        payload = ogg_media.payload_of(text[r["doc_id"]])
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text[r["doc_id"]]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    stored = ogg_media.store(edges)
+    back = ogg_media.read_column(stored).collect()
+    assert len(back) == len(EDGES) and not any(r["error"] for r in back)
+    assert ogg_media.read_column(stored.withColumn("media", F.substring("media", 1, 100))).where("error is null").count() == 0
+    assert ogg_media.store(none).count() == 0
+
+
+# --- classifiers ------------------------------------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op9_pu_quality(spark, sf).where("held_out").join(table(spark, sf, "labels"), "doc_id").select("predicted", "quality").collect()
+    assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.9
+
+
+def test_prior_is_estimated_without_judged_texts():
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(1.5, 1, (3000, 3)), rng.normal(-1.5, 1, (3000, 3))
+    unlabelled = np.concatenate([good[1000:2400], bad[:600]])
+    assert abs(pu_quality.estimate_prior(good[:1000], unlabelled, pu_quality.QualityConfig(epochs=20)) - 0.7) < 0.15
+
+
+def test_quality_of_edge_cases(spark, sf, edges, none):
+    labels = spark.createDataFrame([(2, 0), (3, 1), (4, 1), (None, 1), (6, None)], "doc_id long, quality int")
+    model = pu_quality.train(edges, labels)
+    found = pu_quality.predict(edges, model).collect()
+    assert len(found) == len(EDGES) and all(0 <= r["score"] <= 1 for r in found)
+    assert pu_quality.predict(none, pu_quality.train(none, labels)).count() == 0
+
+
+def test_languages_on_held_out_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op10_language_id(spark, sf).where("held_out").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.98
+
+
+def test_languages_of_edge_cases(edges, none):
+    model = language_id.train(edges)
+    found = language_id.predict(edges, model).collect()
+    assert len(found) == len(EDGES) and {r["lang_pred"] for r in found if r["doc_id"] in (1, 2, 6)} == {"und"}
+    assert language_id.predict(none, language_id.train(none)).count() == 0
+    assert {r["lang_pred"] for r in language_id.predict(edges, language_id.train(none)).collect()} == {"und"}
+
+
+# --- pipeline ---------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_matches_its_stages_by_brute_force(spark, sf, docs, ranks):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import tiktoken
+
+    result = {r["doc_id"]: r for r in pipeline.run(spark, sf).collect()}
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    languages = {r["doc_id"] for r in pipeline.keep_known_language(spark, docs, sf).select("doc_id").collect()}
+    left = [(d, rows[d]) for d in languages]
+    firsts = {d for d, c in brute_classes(left).items() if d == c}
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()]
+    clean = {d for d in firsts if not brute_hits(rows[d], items)[2]}
+    leaks = {d for d in firsts if len(brute_hits(rows[d], items)[2]) >= 2}
+    assert clean <= set(result) <= firsts - leaks
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for d, r in result.items():
+        if "token = " not in rows[d].lower():
+            assert r["ids"] == library.encode_ordinary(rows[d])
+        else:
+            assert not re.search("[0-9a-fA-F]{40}", library.decode(r["ids"]))
+
+
+def test_pipeline_stages_of_edge_cases(edges, none, spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for frame in (edges, none):
+        for name, stage in pipeline.STAGES[:-1]:
+            assert stage(spark, frame, sf).columns == frame.columns, name
+            assert stage(spark, frame, sf).count() <= frame.count()
