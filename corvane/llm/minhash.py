@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.structural import number
 from ..session import broadcast_if_small, cut, ship
 from . import textbatch as tb
 
@@ -161,7 +162,11 @@ def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: st
     bands = [f"b{k}" for k in range(config.bands)]
     sketch = base.mapInArrow(_sketch(config), f"id {kind}, digest string, " + ", ".join(f"{b} bigint" for b in bands) + ", n int")
     # one representative of equal texts; they have the same bands
-    reps = cut(sketch.groupBy("digest").agg(F.min("id").alias("id"), *(F.min(b).alias(b) for b in [*bands, "n"])))
+    reps = cut(sketch.groupBy("digest").agg(F.min("id").alias("own"), *(F.min(b).alias(b) for b in [*bands, "n"])))
+    if reps.groupBy("own").agg(F.count(F.lit(1)).alias("of")).where("of > 1").isEmpty():
+        reps, numbered = reps.withColumn("id", F.col("own")), False
+    else:  # several texts under one id: numbers in the order of ids stand for them
+        reps, numbered = cut(number(reps, [F.asc("own"), F.asc("digest")], "id")), True
     # texts whose sizes allow the threshold are in the same or in neighbouring classes of size, so each goes to two buckets a band
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(config.threshold))).cast("long")
     entries = reps.where("n > 0").select("id", "n", F.explode(F.array(*bands)).alias("key"), size_class.alias("size"))
@@ -170,12 +175,14 @@ def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: st
     members = cut(entries.join(crowded, "bucket"))
     crowds = members.groupBy("id").agg(F.sum("of").alias("crowd"))
     members = cut(members.drop("of").join(crowds, "id"))
-    wanted = members.select("id").distinct().join(reps.select("id", "digest"), "id")
-    wanted = broadcast_if_small(wanted, members.count() * 64)
-    sets = base.join(wanted, ["id", "digest"], "left_semi").mapInArrow(_sets(config), f"id {kind}, grams array<bigint>").groupBy("id").agg(F.first("grams").alias("grams"))
+    wanted = members.select("id").distinct().join(reps.select("id", "own", "digest"), "id")
+    wanted = broadcast_if_small(wanted.select(F.col("id").alias("rep"), F.col("own").alias("id"), "digest"), members.count() * 64)
+    sets = base.join(wanted, ["id", "digest"]).select(F.col("rep").alias("id"), "txt").mapInArrow(_sets(config), f"id {reps.schema['id'].dataType.simpleString()}, grams array<bigint>").groupBy("id").agg(F.first("grams").alias("grams"))
     rep_class = reps.select("digest", F.col("id").alias("label"))
     for moved in _moves(members, cut(sets), config):
         rep_class = rep_class.join(moved.toDF("label", "to"), "label", "left").select("digest", F.coalesce("to", "label").alias("label"))
+    if numbered:
+        rep_class = rep_class.join(reps.select(F.col("id").alias("label"), "own"), "label").select("digest", F.col("own").alias("label"))
     out = base.select("id", "digest").join(rep_class, "digest").select("id", F.col("label").alias("class_id"), "digest").unionByName(alone)
     return out.select(F.col("id").alias(doc_id), "class_id", *["digest"] * digest)
 

@@ -114,6 +114,14 @@ def test_classes_of_edge_cases(edges, none):
     assert kept.columns == edges.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, [1, 2, 3, 4, None, 5, 6]))
 
 
+def test_texts_under_one_id_stay_apart(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).split(), [f"x{i}" for i in range(30)], [f"y{i}" for i in range(30)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(b)), (3, " ".join(b[:29] + ["z"])), (0, " ".join(c)), (4, " ".join(a))]
+    found = {(r["doc_id"], r["digest"], r["class_id"]) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()}
+    md5 = lambda w: hashlib.md5(" ".join(w).encode()).hexdigest()
+    assert found == {(1, md5(a), 1), (4, md5(a), 1), (1, md5(b), 1), (2, md5(b), 1), (3, md5(b[:29] + ["z"]), 1), (0, md5(c), 0)}
+
+
 # --- language model ---------------------------------------------------------------------------------------------------
 
 
