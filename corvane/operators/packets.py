@@ -34,14 +34,14 @@ def candidate_order() -> list[Column]:
     return [F.asc(M.ordinal(F.col("priority"), M.PRIORITIES)), F.desc("authority"), F.desc("freshness"), F.asc("id")]
 
 
-def assemble(evidence: DataFrame, limits: PacketLimits = PacketLimits(), group: list[str] | None = None) -> DataFrame:
+def assemble(evidence: DataFrame, limits: PacketLimits = PacketLimits(), group: list[str] | None = None, by: list[Column] | None = None) -> DataFrame:
     """One row a group: selected ids, omitted ids, raw bytes, estimated tokens, truncated, failed (a required item that doesn't fit).
 
-    evidence: id, prov_source, prov_locator, content, priority, authority, freshness. Each group's first max_candidates in order come into one
+    evidence: id, prov_source, prov_locator, content, priority, authority, freshness; `by`: another total order. Each group's first max_candidates in order come into one
     array, a bound of the operator; a fold over it decides item by item, because what fits depends on all that was chosen before.
     """
     group = group or []
-    order = Window.partitionBy(*group).orderBy(*candidate_order())
+    order = Window.partitionBy(*group).orderBy(*(by or candidate_order()))
     rows = evidence.withColumns({"__n": F.row_number().over(order), "__bytes": F.octet_length(encoded()).cast("long")})
     listed = rows.where(F.col("__n") <= limits.max_candidates).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), "id", F.col("__bytes").alias("bytes"), "priority"))).alias("items"))
     none = F.array().cast("array<string>")
@@ -83,3 +83,24 @@ def freshness_key(freshness: Column) -> Column:
     """The first eight bytes of a freshness string as a whole number, big end first."""
     head = F.hex(F.substring(F.encode(freshness, "UTF-8"), 1, 8))
     return F.coalesce(F.conv(F.when(head != "", head), 16, 10).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+
+
+TIERS = ["primary-canonical", "required-dependency", "conflict-or-superseded", "follow-up"]
+
+
+def assemble_tiers(evidence: DataFrame, limits: PacketLimits = PacketLimits(), group: list[str] | None = None) -> DataFrame:
+    """A packet in the order of tiers (column tier, then position, then id); items of the first two tiers must fit, an id counts in its first tier only."""
+    place = M.ordinal(F.col("tier"), TIERS)
+    first = Window.partitionBy(*(group or []), "id").orderBy(place, "position")
+    rows = evidence.withColumn("__k", F.row_number().over(first)).where(F.col("__k") == 1).drop("__k")
+    rows = rows.withColumn("priority", F.when(place < 2, "required").otherwise("related"))
+    return assemble(rows, limits, group, [F.asc(place), F.asc("position"), F.asc("id")])
+
+
+def compression_outcome(payload: Column, compressed: Column, anchors: Column, max_bytes: int, codes: Column) -> Column:
+    """Whether a compressed payload may stand for the payload: no data-loss code, every anchor kept, smaller, and within bounds; else the payload stays, with the reason."""
+    lost = F.exists(anchors, lambda a: ~F.contains(compressed, a))
+    return (
+        F.when(compressed.isNull(), "unavailable").when(F.size(codes) > 0, "refused-data-loss").when(lost, "refused-anchor").when(F.octet_length(compressed) > max_bytes, "refused-size")
+        .when(F.octet_length(compressed) >= F.octet_length(payload), "not-smaller").otherwise("admitted")
+    )

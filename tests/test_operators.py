@@ -293,3 +293,29 @@ def test_descriptions_must_be_fresh_and_first(spark):
     rows = [(1, json.dumps({"path": "a", "sha256": sha, "description": "first"})), (2, json.dumps({"path": "a", "sha256": sha, "description": "second"})), (3, json.dumps({"path": "b", "sha256": "0" * 64, "description": "stale"})), (4, "broken")]
     found = corpus.valid_descriptions(spark, spark.createDataFrame(rows, "ord int, line string"), spark.createDataFrame([("a", "body"), ("b", "other")], "path string, text string"))
     assert [(r["path"], r["description"]) for r in found.collect()] == [("a", "first")]
+
+
+def test_tiers_in_a_packet(spark):
+    rows = [("a", "follow-up", 1, "x" * 20), ("b", "primary-canonical", 1, "y"), ("c", "required-dependency", 1, "z"), ("b", "follow-up", 2, "y"), ("d", "conflict-or-superseded", 1, "w" * 500)]
+    frame = spark.createDataFrame(rows, "id string, tier string, position int, content string").withColumns({"prov_source": F.lit("s"), "prov_locator": F.lit("l")})
+    row = packets.assemble_tiers(frame, packets.PacketLimits(max_bytes=250)).first()
+    assert (row["selected"], row["omitted"], row["failed"]) == (["b", "c", "a"], ["d"], None)
+
+
+@pytest.mark.parametrize(("compressed", "codes", "out"), [(None, [], "unavailable"), ("keep k1", ["email"], "refused-data-loss"), ("lost", [], "refused-anchor"), ("k1 " + "x" * 60, [], "refused-size"), ("k1", [], "admitted"), ("k1 a longer one", [], "not-smaller")])
+def test_compression_fails_closed(spark, compressed, codes, out):
+    cell = F.lit(compressed).cast("string")
+    listed = F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")
+    assert values(spark, packets.compression_outcome(F.lit("k1 payload xy"), cell, F.array(F.lit("k1")), 40, listed)) == out
+
+
+def test_policies(spark):
+    from corvane.sources import policy
+
+    text = "version: 1\nallowed_tags: [a, b]\nrequired_fields: [type]\nallowed_fields: [tags]\ncanonical_documents: [docs/a.md, docs/gone.md]\nlegacy_documents: [docs/old.md]\nroots: [docs]\nstrict_migration: true"
+    found = policy.parse_policy(text)
+    docs = spark.createDataFrame([("docs/a.md", "---\ntype: x\ntags: [a, z]\n---\n"), ("docs/old.md", "---\nother: 1\n---\n"), ("docs/new.md", "---\ntype: y\n---\n"), ("else/n.md", "plain")], "path string, text string")
+    assert {(r["path"], r["code"]) for r in policy.policy_diagnostics(docs, found).collect()} == {("docs/a.md", "tag-value"), ("docs/old.md", "fm-required"), ("docs/old.md", "fm-disallowed"), ("docs/old.md", "migration-strict-legacy"), ("docs/gone.md", "doc-missing"), ("docs/new.md", "doc-unclassified")}
+    for bad in ("version: 2", "version: 1\nnope: 1", "version: 1\nroots: x", "version: 1\ncanonical_documents: [../x]", "version: 1\ncanonical_documents: [a]\nlegacy_documents: [a]"):
+        with pytest.raises(policy.PolicyError):
+            policy.parse_policy(bad)
