@@ -36,7 +36,7 @@ class MaxentConfig:
     """top: words that are classes of their own. endings: classes by ending, each in four shapes. buckets: a power of two, rows of weights a feature.
 
     hot_bound: the most words whose counts are broadcast. share: the part of the training texts for gradients, cut into `rounds` slices, each
-    dealt to `shards` tasks. rate: Adagrad's step. batch: tokens a step. flush: distinct words that a counting task holds.
+    dealt to `shards` tasks at most, whose changes are added up in `groups` tasks. rate: Adagrad's step. batch: tokens a step. flush: distinct words that a counting task holds.
     """
 
     top: int = 31
@@ -45,7 +45,8 @@ class MaxentConfig:
     hot_bound: int = 1 << 21
     share: float = 1 / 16
     rounds: int = 3
-    shards: int = 16
+    shards: int = 32
+    groups: int = 4
     rate: float = 0.15
     batch: int = 4096
     flush: int = 1 << 20
@@ -165,7 +166,7 @@ def _counting(config: MaxentConfig):
 
 def count_words(texts: DataFrame, config: MaxentConfig) -> Vocabulary:
     """Counts all tokens of `texts` (column txt). The counts stay in a table of the shared folder; what the driver gets is bounded."""
-    counts = cut(texts.mapInArrow(_counting(config), "h long, shared long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("shared").alias("shared")))
+    counts = cut(texts.mapInArrow(tb.tidy(_counting(config)), "h long, shared long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("shared").alias("shared")))
     end = np.int64(END)
     all_of = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = all_of["n"], all_of["v"]
@@ -230,25 +231,39 @@ def train(texts: DataFrame, words: Vocabulary) -> np.ndarray:
             start, words = shared.value
             own, squares, bias = start.copy(), np.ones(start.shape, np.float32), _bias(words)
             used = np.zeros(len(own), bool)
-            seen = 0
             for batch in batches:
                 for _, _, data, offs in tb.chunks(batch.column("txt")):
                     rows, hashes, classes = prepared(data, offs, words)
                     where = contexts(rows, hashes, classes, words.config.buckets)
                     sgd(own, squares, bias, where, classes, words.config)
                     used[where.ravel()] = True
-                    seen += len(rows)
-            if seen:
-                at = np.flatnonzero(used)
-                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([(own[at] - start[at]).astype(np.float16).tobytes()], pa.binary())], ["seen", "at", "change"])
-
-        # as many answers as shards, each no larger than the weights
-        sums, total = np.zeros(shape, np.float32), np.zeros((len(weights), 1), np.float32)
-        for row in picked.coalesce(config.shards).mapInArrow(shard, "seen long, at binary, change binary").toLocalIterator():
+            at = np.flatnonzero(used).astype(np.int32)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (at.tobytes(), (own[at] - start[at]).astype(np.float16).tobytes(), np.ones(len(at), np.int32).tobytes())], ["at", "change", "n"])
+
+        def added(batches):
+            sums, counts = None, None
+            for batch in batches:
+                for at, change, n in zip(batch.column("at"), batch.column("change"), batch.column("n"), strict=True):
+                    if sums is None:
+                        # double precision adds half-precision values without rounding, so their order is no matter
+                        sums, counts = np.zeros(shape), np.zeros(shape[0], np.int32)
+                    rows = np.frombuffer(at.as_py(), np.int32)
+                    sums[rows] += np.frombuffer(change.as_py(), np.float16).reshape(len(rows), -1)
+                    counts[rows] += np.frombuffer(n.as_py(), np.int32)
+            if sums is not None:
+                at = np.flatnonzero(counts).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([sums[at].astype(np.float16).tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())], ["at", "change", "n"])
+
+        # shards work at once; executors add them up by groups, so the driver gets as many answers as groups, each no larger than the weights
+        schema = "at binary, change binary, n binary"
+        changes = picked.coalesce(config.shards).mapInArrow(tb.tidy(shard), schema).withColumn("group", F.spark_partition_id() % config.groups).repartition(config.groups, "group")
+        sums, total = np.zeros(shape), np.zeros((len(weights), 1), np.int64)
+        for row in changes.mapInArrow(tb.tidy(added), schema).collect():
             at = np.frombuffer(row["at"], np.int32)
-            sums[at] += np.frombuffer(row["change"], np.float16).reshape(len(at), -1).astype(np.float32)
-            total[at] += 1
-        weights = weights + sums / np.maximum(total, 1)
+            sums[at] += np.frombuffer(row["change"], np.float16).reshape(len(at), -1)
+            total[at, 0] += np.frombuffer(row["n"], np.int32)
+        weights = (weights + sums / np.maximum(total, 1)).astype(np.float32)
         shared.unpersist()
     return weights
 
@@ -304,7 +319,7 @@ def score(docs: DataFrame, training: Column, config: MaxentConfig = MaxentConfig
     weights = train(texts, words)
     counts, words.counts = words.counts, None
     shared = spark.sparkContext.broadcast((weights, words))
-    partial = cut(base.mapInArrow(_scoring(shared), f"id {kind}, mark boolean, n_tokens long, n_known long, base double, score double, cold array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id()))
+    partial = cut(base.mapInArrow(tb.tidy(_scoring(shared)), f"id {kind}, mark boolean, n_tokens long, n_known long, base double, score double, cold array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id()))
     # rare words: no one has more than one in hot_bound of the tokens
     cold = partial.select("row", F.explode(F.arrays_zip("cold", "times")).alias("c")).select("row", F.col("c.cold").alias("h"), F.col("c.times").alias("times"))
     rare = counts.where(F.col("n") * config.hot_bound < words.total).select("h", "n")
