@@ -30,7 +30,9 @@ from . import textbatch as tb
 from .pretokens import pretoken_ends, pretokens
 
 #: Distinct pre-tokens that a worker keeps; beyond it forgets all and begins anew.
-KEEP_PIECES = 2_000_000
+KEEP_PIECES = 500_000
+#: Pairs of tokens whose border a worker remembers.
+KEEP_PAIRS = 100_000
 _NEVER = 1 << 30
 
 
@@ -81,7 +83,7 @@ class ByteBpe:
         """Whether BPE leaves x and y as they are when they are all there is."""
         found = self._apart.get((x, y))
         if found is None:
-            if len(self._apart) > 1_000_000:
+            if len(self._apart) > KEEP_PAIRS:
                 self._apart.clear()
             found = self._apart[x, y] = self._stays_apart(x, y)
         return found
@@ -261,4 +263,4 @@ def encode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",)
                 yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
 
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, frame.schema.fields, strict=False))
-    return frame.mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return frame.mapInArrow(tb.tidy(run), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

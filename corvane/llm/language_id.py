@@ -103,7 +103,7 @@ def train(docs: DataFrame, config: LanguageIdConfig = LanguageIdConfig(), text:
         which, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(at), pa.array(counts[which, at])], ["l", "b", "n"])
 
-    sums = sample.mapInArrow(count, "l long, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
+    sums = sample.mapInArrow(tb.tidy(count), "l long, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), config.buckets))
     counts[sums["l"], sums["b"]] = sums["n"]
     log_prob = np.log(counts + config.alpha) - np.log(counts.sum(1, keepdims=True) + config.alpha * config.buckets)
@@ -126,7 +126,9 @@ def score_chunk(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> tup
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, lang_pred and score, one row for each of `docs`."""
     ship(docs.sparkSession)
-    frame = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("txt"))
+    # a text that is kept travels once
+    source = f"k{keep.index(text)}" if text in keep else "txt"
+    frame = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if text in keep else [F.col(text).cast("string").alias("txt")]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))]
 
@@ -135,7 +137,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
         labels = np.array([*m.languages, "und"], object)
         for batch in batches:
             found, scores = [], []
-            for first, last, data, offs in tb.chunks(batch.column("txt")):
+            for first, last, data, offs in tb.chunks(batch.column(source)):
                 if m.languages:
                     best, score = score_chunk(m, data, offs)
                 else:
@@ -146,4 +148,4 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(cat(found, object), pa.string()), pa.array(cat(scores, float), pa.float64())], [*names, "lang_pred", "score"])
 
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, frame.schema.fields, strict=False))
-    return frame.mapInArrow(run, f"{fields}, lang_pred string, score double").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return frame.mapInArrow(tb.tidy(run), f"{fields}, lang_pred string, score double").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

@@ -170,8 +170,10 @@ def count_words(texts: DataFrame, config: MaxentConfig) -> Vocabulary:
     end = np.int64(END)
     all_of = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = all_of["n"], all_of["v"]
-    hot = counts.where((F.col("n") * config.hot_bound >= total) | (F.col("h") == int(end))).toPandas()
     top = counts.where(F.col("h") != int(end)).orderBy(F.desc("n"), "h").limit(config.top).toPandas()
+    # words that are classes of their own count as frequent, however few there are
+    own = F.col("h").isin([int(end), *map(int, top["h"])])
+    hot = counts.where((F.col("n") * config.hot_bound >= total) | own).toPandas()
     class_total = np.zeros(config.classes)
     shared = counts.where(F.col("h") != int(end)).groupBy("shared").agg(F.sum(F.col("n") + 1).alias("n")).toPandas()
     class_total[1 + config.top + shared["shared"].to_numpy(np.int64)] = shared["n"]
@@ -322,7 +324,7 @@ def score(docs: DataFrame, training: Column, config: MaxentConfig = MaxentConfig
     partial = cut(base.mapInArrow(tb.tidy(_scoring(shared)), f"id {kind}, mark boolean, n_tokens long, n_known long, base double, score double, cold array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id()))
     # rare words: no one has more than one in hot_bound of the tokens
     cold = partial.select("row", F.explode(F.arrays_zip("cold", "times")).alias("c")).select("row", F.col("c.cold").alias("h"), F.col("c.times").alias("times"))
-    rare = counts.where(F.col("n") * config.hot_bound < words.total).select("h", "n")
+    rare = counts.where(F.col("n") * config.hot_bound < words.total).where(~F.col("h").isin([int(x) for x in words.top.view(np.int64)])).select("h", "n")
     # millionths of millionths, so that sums don't depend on their order
     added = cold.join(rare, "h").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.round(F.log10(F.col("n") + 1) * 1e9).cast("long")).alias("logs"))
     gain = F.coalesce(F.col("logs"), F.lit(0)) / F.lit(1e9)

@@ -160,7 +160,7 @@ def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: st
     alone = base.where("id is null or txt is null").select("id", F.col("id").alias("class_id"), F.md5("txt").alias("digest"))
     base = base.where("id is not null and txt is not null").withColumn("digest", F.md5("txt"))
     bands = [f"b{k}" for k in range(config.bands)]
-    sketch = base.mapInArrow(_sketch(config), f"id {kind}, digest string, " + ", ".join(f"{b} bigint" for b in bands) + ", n int")
+    sketch = base.mapInArrow(tb.tidy(_sketch(config)), f"id {kind}, digest string, " + ", ".join(f"{b} bigint" for b in bands) + ", n int")
     # one representative of equal texts; they have the same bands
     reps = cut(sketch.groupBy("digest").agg(F.min("id").alias("own"), *(F.min(b).alias(b) for b in [*bands, "n"])))
     if reps.groupBy("own").agg(F.count(F.lit(1)).alias("of")).where("of > 1").isEmpty():
@@ -177,7 +177,7 @@ def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: st
     members = cut(members.drop("of").join(crowds, "id"))
     wanted = members.select("id").distinct().join(reps.select("id", "own", "digest"), "id")
     wanted = broadcast_if_small(wanted.select(F.col("id").alias("rep"), F.col("own").alias("id"), "digest"), members.count() * 64)
-    sets = base.join(wanted, ["id", "digest"]).select(F.col("rep").alias("id"), "txt").mapInArrow(_sets(config), f"id {reps.schema['id'].dataType.simpleString()}, grams array<bigint>").groupBy("id").agg(F.first("grams").alias("grams"))
+    sets = base.join(wanted, ["id", "digest"]).select(F.col("rep").alias("id"), "txt").mapInArrow(tb.tidy(_sets(config)), f"id {reps.schema['id'].dataType.simpleString()}, grams array<bigint>").groupBy("id").agg(F.first("grams").alias("grams"))
     rep_class = reps.select("digest", F.col("id").alias("label"))
     for moved in _moves(members, cut(sets), config):
         rep_class = rep_class.join(moved.toDF("label", "to"), "label", "left").select("digest", F.coalesce("to", "label").alias("label"))

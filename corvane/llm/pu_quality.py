@@ -162,7 +162,7 @@ def _features_of(frame: DataFrame) -> tuple[np.ndarray, list[int]]:
                 x = features(data, offs)
                 yield pa.RecordBatch.from_arrays([batch.column("mark")[first:last], batch.column("h")[first:last], pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["mark", "h", "x"])
 
-    rows = frame.withColumn("h", F.xxhash64("txt")).mapInArrow(run, "mark int, h long, x binary").toPandas()
+    rows = frame.withColumn("h", F.xxhash64("txt")).mapInArrow(tb.tidy(run), "mark int, h long, x binary").toPandas()
     rows = rows.sort_values(["h", "mark"], kind="stable")
     width = DENSE * (len(BINS) + 2) + PAIRS
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), width)
@@ -204,5 +204,5 @@ def predict(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[first:last] for c in names), pa.array(score)], [*names, "score"])
 
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, frame.schema.fields, strict=False))
-    out = frame.mapInArrow(run, f"{fields}, score double")
+    out = frame.mapInArrow(tb.tidy(run), f"{fields}, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

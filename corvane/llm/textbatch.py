@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+#: What the C library's mallopt calls the size from which blocks are mapped and go back to the system when freed.
+_M_MMAP_THRESHOLD = -3
+
+
+@lru_cache(1)
+def _c_library() -> ctypes.CDLL | None:
+    """The C library, told to map large arrays each on its own; None where it has no such call."""
+    with contextlib.suppress(OSError, AttributeError):
+        library = ctypes.CDLL(None)
+        library.mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+        library.malloc_trim(0)
+        return library
+    return None
+
+
+def tidy(run: Callable) -> Callable:
+    """The same batch function; at the end of a partition its worker, which stays for other tasks, gives freed memory back."""
+
+    def inner(batches):
+        library = _c_library()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if library is not None:
+            library.malloc_trim(0)
+
+    return inner
+
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

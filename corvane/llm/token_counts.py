@@ -29,7 +29,7 @@ from .byte_bpe import PieceStore
 from .pretokens import pretoken_ends, pretokens
 
 #: Nodes that a worker's trie may have; beyond it the trie begins anew.
-TRIE_NODES = 400_000
+TRIE_NODES = 150_000
 
 
 @dataclass(frozen=True)
@@ -115,4 +115,4 @@ def count(docs: DataFrame, vocabulary: str, config: UnigramConfig = UnigramConfi
                 yield pa.RecordBatch.from_arrays(columns, [*names, "n_pretokens", "n_tokens", "log_prob"])
 
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, frame.schema.fields, strict=False))
-    return frame.mapInArrow(run, f"{fields}, n_pretokens long, n_tokens long, log_prob double").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return frame.mapInArrow(tb.tidy(run), f"{fields}, n_pretokens long, n_tokens long, log_prob double").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
