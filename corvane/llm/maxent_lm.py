@@ -9,9 +9,9 @@ shared class keeps a place of count 0 for unseen words. So it is a distribution
 
 Counts cover every training token: executors count hashed words a partition at a time, one shuffle adds them up. Words with at least one
 in `hot_bound` of all training tokens, at most that many, travel by broadcast; a text's other words meet their counts by a shuffle, where no
-word is frequent. Weights are trained by distributed gradient updates: in each round every shard of a share of the training texts
-makes Adagrad steps from the broadcast weights, and the mean of the shards' weights starts the next round. Scoring works on sparse
-batches in numpy.
+word is frequent. Weights are trained by distributed gradient updates: in each round every shard of a slice of the training texts
+makes Adagrad steps from the broadcast weights, and the mean of the shards' weights starts the next round. Each text is in
+one round's slice, so all train. Scoring works on sparse batches in numpy.
 
 Defined results: a null or an empty text has one token, the end. Equal texts get equal scores. Rows keep their number; ids may be null or
 repeated. Without a training text every word is unseen.
@@ -35,7 +35,7 @@ from . import textbatch as tb
 class MaxentConfig:
     """top: words that are classes of their own. endings: classes by ending, each in four shapes. buckets: a power of two, rows of weights a feature.
 
-    hot_bound: the most words whose counts are broadcast. share: the part of the training texts for gradients, cut into `rounds` slices, each
+    hot_bound: the most words whose counts are broadcast. rounds: slices that all training texts are cut into for gradients, each
     dealt to `shards` tasks at most, whose changes are added up in `groups` tasks. rate: Adagrad's step. batch: tokens a step. flush: distinct words that a counting task holds.
     """
 
@@ -43,7 +43,6 @@ class MaxentConfig:
     endings: int = 8
     buckets: int = 1 << 13
     hot_bound: int = 1 << 21
-    share: float = 1 / 16
     rounds: int = 3
     shards: int = 32
     groups: int = 4
@@ -209,12 +208,15 @@ def sgd(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, where: np.nd
         at, y = where[begin : begin + config.batch], classes[begin : begin + config.batch]
         slope = np.exp(class_log_probabilities(weights, bias, at))
         slope[np.arange(len(y)), y] -= 1
-        flat = at.ravel()
-        order = np.argsort(flat, kind="stable")
-        cells, first = np.unique(flat[order], return_index=True)
-        gradient = np.add.reduceat(slope[order // at.shape[1]], first, axis=0)
-        squares[cells] += gradient**2
-        weights[cells] -= config.rate * gradient / np.sqrt(squares[cells] + 1e-6)
+        for own in at.T:  # no two features share a cell
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            cells = own[first]
+            gradient = np.add.reduceat(slope[order], first, axis=0)
+            grown = squares[cells] + gradient * gradient
+            squares[cells] = grown
+            weights[cells] -= config.rate * gradient / np.sqrt(grown + np.float32(1e-6))
 
 
 def train(texts: DataFrame, words: Vocabulary) -> np.ndarray:
@@ -224,10 +226,9 @@ def train(texts: DataFrame, words: Vocabulary) -> np.ndarray:
     shape = (FEATURES * config.buckets, config.classes)
     weights = np.zeros(shape, np.float32)
     lean = Vocabulary(words.total, words.distinct, np.zeros(0, np.uint64), np.zeros(0, np.int64), words.top, words.top_class, words.class_total, config)
-    space = round(1 / config.share) * config.rounds
     for n_round in range(config.rounds):
         shared = spark.sparkContext.broadcast((weights, lean))
-        picked = texts.where(F.pmod(F.xxhash64("txt", F.lit(17)), F.lit(space)) == n_round)
+        picked = texts.where(F.pmod(F.xxhash64("txt", F.lit(17)), F.lit(config.rounds)) == n_round)
 
         def shard(batches, shared=shared):
             start, words = shared.value

@@ -148,6 +148,16 @@ def test_rare_words_by_shuffle_change_no_score(docs):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_every_training_text_gives_gradients(spark):
+    rows = [f"only{i} stands{i} here{i} once{i}" for i in range(60)]
+    texts = spark.createDataFrame([(x,) for x in rows], "txt string")
+    words = maxent_lm.count_words(texts, maxent_lm.MaxentConfig())
+    learned = np.abs(maxent_lm.train(texts, words)).sum(1) > 0
+    for _first, _last, data, offs in textbatch.chunks(pa.array(rows)):
+        at, hashes, classes = maxent_lm.prepared(data, offs, words)
+        assert learned[maxent_lm.contexts(at, hashes, classes, words.config.buckets)].all()
+
+
 def test_classes_sum_to_one():
     rng = np.random.default_rng(0)
     weights = rng.normal(size=(60, 8)).astype(np.float32)
