@@ -21,9 +21,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of key-like characters that make a candidate, with an optional name assigned before.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,512}(?![A-Za-z0-9+/_=.-])"
-
 #: Beginnings of public key formats.
 FORMATS = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|SG\.|npm_|eyJ|-----BEGIN)"
 
@@ -31,6 +28,17 @@ FORMATS = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|r
 NAMES = ["token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "authorization", "bearer", "credential", "private_key", "client_secret"]
 HARMLESS = ["example", "sample", "dummy", "placeholder", "changeme", "redacted", "xxxx", "your", "test", "sha256", "sha1", "md5", "commit", "checksum", "digest", "hash", "uuid", "integrity"]
 
+_NAMED = "|".join(NAMES).replace("-", r"\-")
+_KEY = "[A-Za-z0-9+/_=.-]"
+#: The place after a credential's name and an assignment sign; the short look-behinds come first, since they fail at nearly every place.
+_ASSIGNED = rf"(?<=[:=> \"'])(?<=[:=>][ \"']{{0,3}})(?<=(?i:{_NAMED})[\"' ]{{0,2}}(?::=|=>|[:=])[\"' ]{{0,3}})"
+#: Private keys; values assigned to a credential's name, of any length and signs, up to their quote or space; runs of key-like characters that don't have such a name assigned in them.
+CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    rf"|{_ASSIGNED}(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|[^\s\"']\S*(?<![\"',;)\]}}>.]))"
+    rf"|(?<!{_KEY})(?!(?i:[A-Za-z0-9_.-]*+=(?<=(?:{_NAMED})=))){_KEY}{{16,}}+"
+)
+
 #: Frequent letter pairs of words.
 PAIRS = ["th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "de", "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce", "li", "ch", "ll", "be", "ma", "si", "om", "ur", "un", "ge", "ei", "ie", "sc", "qu", "ue", "au", "ai", "os", "ci", "la"]
 
@@ -152,12 +160,15 @@ def generated_findings(spark: SparkSession, rows: int = 6000, seed: int = 5) ->
     rng = random.Random(seed)
     take = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
     hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
-    syllables = PAIRS
+    syllables, signs = PAIRS, "!@#$%&*^?"
     word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    leet = lambda: "".join(dict(a="@", o="0", e="3", i="1", s="5").get(c, c) if rng.random() < 0.7 else c for c in word(rng.randint(1, 3)))
     prose = lambda: " ".join(word(rng.randint(1, 3)) for _ in range(6))[-_WINDOW:]
     out = []
     for i in range(rows // 2):
         keys = [take(hexes, rng.choice([32, 40, 64])), take(alnum, rng.randint(24, 48)), "AKIA" + take(string.ascii_uppercase + string.digits, 16), "ghp_" + take(alnum, 36), "sk_live_" + take(alnum, 24), "eyJ" + take(alnum, 20) + "." + take(alnum, 40), take(alnum + "+/", 40), take(hexes.upper(), 40)]
+        # passwords, and tokens of any length
+        keys += [take(alnum + signs, rng.randint(8, 20)), f"{word(rng.randint(1, 3)).capitalize()}{take(signs, rng.randint(1, 2))}{take(string.digits, rng.randint(1, 4))}{take(alnum, rng.randint(0, 4))}", f"{word(2)}{take(string.digits, rng.randint(1, 2))}{take(signs, 1)}{take(alnum, rng.randint(1, 5))}", "".join(rng.choice([leet(), word(rng.randint(1, 2)), take(string.digits, rng.randint(1, 4))]) + take(signs, 1) for _ in range(rng.randint(2, 3))) + leet(), "eyJ" + ".".join(take(alnum + "-_", rng.randint(40, 600)) for _ in range(3))]
         kind = i % len(keys)
         name, quote = rng.choice(NAMES), rng.choice(['"', "'", '"', ""])
         bare = keys[kind] if kind in (2, 3, 4, 5) and rng.random() < 0.5 else None
@@ -168,11 +179,16 @@ def generated_findings(spark: SparkSession, rows: int = 6000, seed: int = 5) ->
             "x" * rng.randint(16, 40), "0123456789abcdef0123456789abcdef"[: rng.randint(16, 32)], f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T10:00:00".replace(":", "."), take(hexes, 40), "=" * rng.randint(16, 60), "-" * rng.randint(16, 60),
             f"your_{rng.choice(NAMES)}_here_{word(2)}", f"example{word(4)}{rng.randint(10, 99)}", f"{word(3)}.{word(3)}.example.com", f"{rng.randint(10, 255)}.{rng.randint(10, 255)}.{rng.randint(100, 255)}.{rng.randint(100, 255)}.", word(rng.randint(7, 12)).upper() + rng.choice([".", "", "..", "-"]), take("ab", rng.randint(16, 30)),
             word(rng.randint(6, 12)).capitalize() + rng.choice([".", "..."]) + word(rng.randint(0, 4)), word(rng.randint(8, 14)) + ".", f"{word(4)}.{rng.randint(10, 99)}", f"{word(5).upper()}-{word(5).upper()}", f"{word(3).upper()}_{word(3).upper()}_{word(3).upper()}", take("0123456789", 4) + "-" + take("0123456789", 4) + "-" + take("0123456789", 8),
+            word(rng.randint(1, 4)), word(rng.randint(1, 3)).capitalize() + rng.choice(["", ",", ":", "?", "!"]), rng.choice(["true", "false", "null", "None", "nil", "required", "string", "str", "%s", "***", "...", "|", "{", "[]", "()"]), rng.choice(["${%s}", "$%s", "{{ %s }}", "<%s>", "%%(%s)s", "process.env.%s", "os.environ[%s]", "get_%s()"]) % rng.choice([word(2), word(3).upper(), rng.choice(NAMES)]), " ".join(word(rng.randint(1, 3)) for _ in range(rng.randint(2, 9))), take(alnum + "+/", rng.randint(300, 2000)),
         ]
         kind = i % len(fakes)
         lead = f"{prose()} {rng.choice(['commit', 'sha1', 'checksum', 'digest'])} " if kind == 9 else f"{prose()} {rng.choice(['', '', 'see ', 'title: ', 'url = '])}"
         if kind in (12, 13, 6, 7) and rng.random() < 0.7:
             lead = f"{prose()} {rng.choice(NAMES)} = \""
+        if 24 <= kind < 29:
+            lead = f"{prose()} {rng.choice(NAMES)}{rng.choice([' = ', '=', ': ', ': '])}{rng.choice(['\"', chr(39), '', ''])}"
+        if kind == 29:
+            lead = f"{prose()} data:image/png;base64,"
         out.append((fakes[kind], lead[-_WINDOW:], " " + prose(), rng.choice(["src/app.py", "tests/test_app.py", "docs/guide.md", "web"]), 0))
     return spark.createDataFrame(out, "value string, before string, after string, path string, label int")
 

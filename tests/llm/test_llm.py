@@ -341,6 +341,18 @@ def test_secrets_go_and_the_rest_stays(spark, forest):
     assert secret_scan.redact(frame, forest).count() == 6
 
 
+def test_secrets_of_any_length_and_signs_go(spark, forest):
+    rng = random.Random(3)
+    long = "eyJ" + ".".join("".join(rng.choice("ABCDEFGHIJKLMNabcdefghijklmn0123456789-_") for _ in range(n)) for n in (40, 420, 180))
+    rows = [
+        (1, f'token = "{long}" end', 'token = "[SECRET]" end'), (2, 'password = "hunter2!Xy9"', 'password = "[SECRET]"'), (3, "password: Tr0ub4dor&3 is it", "password: [SECRET] is it"), (4, 'db_password="p@ssw0rd!2024#prod"', 'db_password="[SECRET]"'),
+        (5, "my_database_password=p@ssw0rd!2024#prod", "my_database_password=[SECRET]"), (6, "password: required and token = None", "password: required and token = None"), (7, "the author: Smith said so", "the author: Smith said so"), (8, "token " * 30_000, "token " * 30_000), (9, "a=" * 60_000 + " end", None),
+    ]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("source", F.lit("web"))
+    found = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame, forest).collect()}
+    assert len(found) == len(rows) and {d: found[d] for d, _, t in rows if t} == {d: t for d, _, t in rows if t}
+
+
 def test_secrets_of_edge_cases(edges, none, forest):
     assert secret_scan.report(edges, forest).count() == len(EDGES) and secret_scan.redact(edges, forest).columns == edges.columns
     assert secret_scan.redact(none, forest).count() == 0 and secret_scan.train_forest(secret_scan.generated_findings(none.sparkSession).where("false")) == []
