@@ -4,7 +4,8 @@ Words are runs of letters and digits, A-Z lower-cased; a shingle is five consecu
 is one plus the natural logarithm of its count, so that repetition counts little. Each shingle sends a Poisson process of arrivals
 whose rate is its weight; every arrival hits one of the signature's components, and the earliest shingle of a component is its value.
 A shingle stops as soon as its next arrival is later than the latest component's best. Two texts agree in a component with the
-probability Jaccard of their weighted shingles.
+probability Jaccard of their weighted shingles. Since the sets' Jaccard decides, which repetition doesn't change, each text has bands by
+weights of one too; they are the same bands where no shingle is repeated.
 
 Texts that share a band are linked only if the exact Jaccard of their shingle sets reaches the threshold. Candidates are stars, not all
 pairs: in each bucket all are held against one centre, and bounds from what they share with it spare nearly all other pairs (see _moves).
@@ -88,22 +89,34 @@ def signatures(rows: np.ndarray, values: np.ndarray, weights: np.ndarray, n_rows
     return who.reshape(n_rows, size)
 
 
+def _band_keys(rows: np.ndarray, values: np.ndarray, weights: np.ndarray, n_rows: int, config: MinHashConfig) -> np.ndarray:
+    """The key of each row's bands (n_rows x bands)."""
+    who = signatures(rows, values, weights, n_rows, config.bands * config.rows).reshape(n_rows, config.bands, config.rows)
+    key = np.zeros((n_rows, config.bands), np.uint64)
+    for k in range(config.rows):
+        key = tb.mix(key * np.uint64(5) + who[:, :, k])
+    return tb.mix(key + np.arange(config.bands, dtype=np.uint64))
+
+
 def _sketch(config: MinHashConfig):
     def run(batches):
-        size = config.bands * config.rows
         for batch in batches:
             for first, last, data, offs in tb.chunks(batch.column("txt")):
                 rows, values, counts = shingles(data, offs, config.words)
                 n = last - first
-                who = signatures(rows, values, 1 + np.log(counts), n, size).reshape(n, config.bands, config.rows)
-                key = np.zeros((n, config.bands), np.uint64)
-                for k in range(config.rows):
-                    key = tb.mix(key * np.uint64(5) + who[:, :, k])
-                key = tb.mix(key + np.arange(config.bands, dtype=np.uint64))
+                plain = _band_keys(rows, values, np.ones(len(rows)), n, config)
+                # the weights of texts without a repeated shingle are all one, so only the others have bands of their own by weight
+                again = np.zeros(n, bool)
+                again[rows[counts > 1]] = True
+                weighted, some = plain.copy(), again[rows]
+                if some.any():
+                    place = np.cumsum(again) - 1
+                    weighted[again] = _band_keys(place[rows[some]], values[some], 1 + np.log(counts[some]), int(again.sum()), config)
                 empty = np.ones(n, bool)
                 empty[rows] = False
-                columns = [pa.array(key[:, k].view(np.int64), mask=empty) for k in range(config.bands)]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[first:last], batch.column("digest")[first:last], *columns, pa.array(np.bincount(rows, minlength=n).astype(np.int32))], ["id", "digest", *(f"b{k}" for k in range(config.bands)), "n"])
+                columns = [pa.array(plain[:, k].view(np.int64), mask=empty) for k in range(config.bands)]
+                columns += [pa.array(weighted[:, k].view(np.int64), mask=weighted[:, k] == plain[:, k]) for k in range(config.bands)]
+                yield pa.RecordBatch.from_arrays([batch.column("id")[first:last], batch.column("digest")[first:last], *columns, pa.array(np.bincount(rows, minlength=n).astype(np.int32))], ["id", "digest", *(f"b{k}" for k in range(2 * config.bands)), "n"])
 
     return run
 
@@ -159,7 +172,7 @@ def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: st
     # rows without an id or a text never meet others
     alone = base.where("id is null or txt is null").select("id", F.col("id").alias("class_id"), F.md5("txt").alias("digest"))
     base = base.where("id is not null and txt is not null").withColumn("digest", F.md5("txt"))
-    bands = [f"b{k}" for k in range(config.bands)]
+    bands = [f"b{k}" for k in range(2 * config.bands)]
     sketch = base.mapInArrow(tb.tidy(_sketch(config)), f"id {kind}, digest string, " + ", ".join(f"{b} bigint" for b in bands) + ", n int")
     # one representative of equal texts; they have the same bands
     reps = cut(sketch.groupBy("digest").agg(F.min("id").alias("own"), *(F.min(b).alias(b) for b in [*bands, "n"])))
@@ -169,7 +182,7 @@ def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: st
         reps, numbered = cut(number(reps, [F.asc("own"), F.asc("digest")], "id")), True
     # texts whose sizes allow the threshold are in the same or in neighbouring classes of size, so each goes to two buckets a band
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(config.threshold))).cast("long")
-    entries = reps.where("n > 0").select("id", "n", F.explode(F.array(*bands)).alias("key"), size_class.alias("size"))
+    entries = reps.where("n > 0").select("id", "n", F.explode(F.array_compact(F.array(*bands))).alias("key"), size_class.alias("size"))
     entries = entries.select("id", "n", F.explode(F.array(F.xxhash64("key", "size"), F.xxhash64("key", F.col("size") + 1))).alias("bucket"))
     crowded = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
     members = cut(entries.join(crowded, "bucket"))

@@ -114,6 +114,15 @@ def test_classes_of_edge_cases(edges, none):
     assert kept.columns == edges.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, [1, 2, 3, 4, None, 5, 6]))
 
 
+def test_copies_with_repeated_passages_are_found(spark):
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        words = [f"v{i}x{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + words[140:] * 20))]
+    found = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_classes(rows) and found[1] == 0
+
+
 def test_texts_under_one_id_stay_apart(spark):
     a, b, c = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).split(), [f"x{i}" for i in range(30)], [f"y{i}" for i in range(30)]
     rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(b)), (3, " ".join(b[:29] + ["z"])), (0, " ".join(c)), (4, " ".join(a))]
