@@ -8,7 +8,7 @@ Two neighbouring tokens stay apart unless, while pieces on both sides of their b
 comes first. The pieces at the border are the right spine of one token's merge tree and the left spine of the other's.
 
 Pre-tokens are cut in numpy; each distinct one is encoded once a worker, under a bound on what is kept, and ids are gathered in numpy.
-The decoded bytes are compared with the text, so a clash of hashes can't pass.
+Kept pieces are found by hash and compared by their bytes, so a clash of hashes changes nothing.
 
 Defined results: a null or an empty text has no tokens and decodes to no bytes.
 """
@@ -31,6 +31,8 @@ from .pretokens import pretoken_ends, pretokens
 
 #: Distinct pre-tokens that a worker keeps; beyond it forgets all and begins anew.
 KEEP_PIECES = 500_000
+#: Bytes of them at most, before what a chunk adds.
+KEEP_BYTES = 1 << 24
 #: Pairs of tokens whose border a worker remembers.
 KEEP_PAIRS = 100_000
 _NEVER = 1 << 30
@@ -150,7 +152,10 @@ def encode_pieces(bpe: ByteBpe, pieces: list[bytes]) -> list[list[int]]:
 
 
 class PieceStore:
-    """Values of distinct pieces by their hash, as flat arrays; a lookup of many pieces is a sorted search."""
+    """Values of distinct pieces by their hash, as flat arrays; a lookup of many pieces is a sorted search.
+
+    The bytes of the kept pieces are compared with those looked up. Pieces whose hash belongs to other bytes go by their bytes.
+    """
 
     def __init__(self, compute, keep: int = KEEP_PIECES) -> None:
         self.compute, self.keep = compute, keep
@@ -161,28 +166,52 @@ class PieceStore:
         self.place = np.zeros(0, np.int64)
         self.offsets = np.zeros(1, np.int64)
         self.values = np.zeros(0, np.int64)
+        self.byte_offsets = np.zeros(1, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
+
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        """The places of new pieces."""
+        found = self.compute(pieces)
+        places = np.arange(len(pieces)) + len(self.offsets) - 1
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)])
+        self.values = np.concatenate([self.values, np.array([y for x in found for y in x], np.int64)])
+        self.byte_offsets = np.concatenate([self.byte_offsets, self.byte_offsets[-1] + np.cumsum([len(x) for x in pieces], dtype=np.int64)])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
+        return places
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The place of each piece's values; offsets and values hold them."""
+        """The place of each piece's values; offsets and values hold them. The pieces are in order and leave no gap."""
         hashes, first, inverse = np.unique(tb.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(hashes) > self.keep:
+        if len(self.hashes) + len(hashes) > self.keep or len(self.bytes) > KEEP_BYTES:
             self._clear()
         at = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(hashes), bool)
         inside = at < len(self.hashes)
         known[inside] = self.hashes[at[inside]] == hashes[inside]
         new = np.flatnonzero(~known)
+        raw = data.tobytes() if len(new) else b""
         if len(new):
-            raw = data.tobytes()
-            found = self.compute([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            lengths = np.array([len(x) for x in found], np.int64)
-            places = np.arange(len(new)) + len(self.offsets) - 1
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-            self.values = np.concatenate([self.values, np.array([y for x in found for y in x], np.int64)])
+            places = self._add([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             self.hashes = np.insert(self.hashes, at[new], hashes[new])
             self.place = np.insert(self.place, at[new], places)
             at = np.searchsorted(self.hashes, hashes)
-        return self.place[at][inverse]
+        found = self.place[at][inverse]
+        same_size = self.byte_offsets[found + 1] - self.byte_offsets[found] == ends - starts
+        if same_size.all() and np.array_equal(self.bytes[gather(self.byte_offsets, found)[0]], data[starts[0] : ends[-1]] if len(starts) else data[:0]):
+            return found
+        return self._by_bytes(data.tobytes(), starts, ends, found)
+
+    def _by_bytes(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The places, where some pieces have the hash of others: those get places that no hash leads to."""
+        kept = self.bytes.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        bounds = self.byte_offsets
+        wrong = [i for i, (piece, p) in enumerate(zip(pieces, found.tolist(), strict=True)) if kept[bounds[p] : bounds[p + 1]] != piece]
+        own = sorted({pieces[i] for i in wrong})
+        places = dict(zip(own, self._add(own).tolist(), strict=True))
+        found = found.copy()
+        found[wrong] = [places[pieces[i]] for i in wrong]
+        return found
 
 
 def gather(offsets: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +246,6 @@ class BatchEncoder:
         at, lengths = gather(self.store.offsets, places)
         ids = self.store.values[at]
         counts = np.bincount(rows, weights=lengths, minlength=len(offs) - 1).astype(np.int64)
-        if not np.array_equal(self.decode(ids), data):
-            raise ValueError("two pre-tokens have the same hash")
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
 

@@ -1,15 +1,19 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are texts marked good; unlabelled ones are web texts of any kind. With the class prior p, a loss l and a score g the risk is
+Trusted positives are texts marked good; unlabelled ones are all training texts. With the class prior p, the sigmoid loss l and a score g the risk is
 p * E+[l(g)] + max(0, Eu[l(-g)] - p * E+[l(-g)]): where the second part falls below zero, a step is taken that raises it, so the model can't fit the
-unlabelled texts as if they were all bad. The prior is estimated from the data: a first classifier tells positives from unlabelled
-texts, its mean output over held-back positives is the share of positives that are labelled as such, which gives the share of positives among
-unlabelled ones; where a sample of judged texts is given, their share of good ones is used instead.
+unlabelled texts as if they were all bad. The prior is estimated from the data: a classifier tells one half of the positives from unlabelled texts;
+its mean output over unlabelled texts, as a part of its median over the other half, is the share of positives among them. Labels of bad texts aren't used.
 
 Features are ratios of kinds of characters, lengths of words and lines, repetition of words, lines and word pairs, and hashed byte pairs. They are
 computed for whole texts in numpy; the model is linear with crossed bins, small, and travels by broadcast.
 
-Defined results: a null or an empty text is scored by its features, all zero. Equal texts get equal scores. Without a positive every score is the prior.
+No text is left out: the features of all positives and of all unlabelled texts are summed up in cells, 2 ** bits of each kind, whose borders are random planes
+through the mean of the positives. A cell stands in the risk with its mean and its number of texts. Sums are whole numbers, so neither order
+nor partitions matter; the driver gets the cells alone and takes the same number of full steps over them at every size.
+
+Defined results: a null or an empty text is scored by its features, all zero. Equal texts get equal scores. Without a positive every score is 0.5.
+Labels of one id that differ: one that says good counts. Rows that repeat an id or a text count each.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import broadcast_if_small, ship
 from . import textbatch as tb
 
 #: Edges of bins; each dense feature becomes one column a bin, plus itself.
@@ -32,13 +36,13 @@ PAIRS = 256
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """max_rows: expected bound of positives and of unlabelled texts that training takes. The rest: epochs, step, penalty, seed."""
+    """bits: planes that cut texts into cells. steps, rate, penalty: of the risk's descent. prior_penalty: of the classifier that estimates the prior. seed: of the planes."""
 
-    max_rows: int = 8_000
-    epochs: int = 40
-    batch: int = 512
-    rate: float = 0.05
-    penalty: float = 1e-4
+    bits: int = 11
+    steps: int = 400
+    rate: float = 0.1
+    penalty: float = 5e-3
+    prior_penalty: float = 2e-2
     seed: int = 7
 
 
@@ -115,78 +119,149 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, config: QualityConfig) -> QualityModel:
-    """A linear model of the least non-negative risk, with the logistic loss, by Adam."""
-    rng = np.random.default_rng(config.seed)
-    size = positive.shape[1] + 1
-    one = lambda x: np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
-    p, u = one(positive), one(unlabelled)
-    w, m, v, t = np.zeros(size), np.zeros(size), np.zeros(size), 0
-    for epoch in range(config.epochs):
-        order_p, order_u = rng.permutation(len(p)), rng.permutation(len(u))
-        steps = max(1, len(u) // config.batch)
-        for k in range(steps):
-            xu = u[order_u[k::steps]]
-            xp = p[order_p[k::steps]] if len(p) >= steps else p
-            gp, gu = xp @ w, xu @ w
-            # slopes of the three means: loss of positives as good, as bad, of unlabelled as bad
-            good = (-_sigmoid(-gp)) @ xp / len(xp)
-            bad = _sigmoid(gp) @ xp / len(xp)
-            other = _sigmoid(gu) @ xu / len(xu)
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            slope = prior * good + (other - prior * bad) if negative >= 0 else prior * bad - other
-            slope = slope + config.penalty * w
-            t += 1
-            m = 0.9 * m + 0.1 * slope
-            v = 0.999 * v + 0.001 * slope**2
-            rate = config.rate * (1 - epoch / config.epochs)
-            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+@dataclass
+class Cells:
+    """Means of features (cells x features) with their numbers of texts."""
+
+    x: np.ndarray
+    n: np.ndarray
+
+    @property
+    def share(self) -> np.ndarray:
+        return self.n / self.n.sum()
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1))], 1)
+
+
+def nnpu(positive: Cells, unlabelled: Cells, prior: float, config: QualityConfig) -> QualityModel:
+    """A linear model of the least non-negative risk with the sigmoid loss, by Adam over all cells from a zero model with the prior's bias."""
+    p, u = _with_one(positive.x), _with_one(unlabelled.x)
+    w = np.zeros(p.shape[1])
+    w[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+    penalty = np.full(len(w), config.penalty)
+    penalty[-1] = 0
+    for t in range(1, config.steps + 1):
+        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+        # slopes of the means of losses: positives as bad (as good: the same downwards), unlabelled as bad
+        bad = (positive.share * sp * (1 - sp)) @ p
+        other = (unlabelled.share * su * (1 - su)) @ u
+        negative = unlabelled.share @ su - prior * (positive.share @ sp)
+        slope = (other - 2 * prior * bad if negative >= 0 else prior * bad - other) + penalty * w
+        m = 0.9 * m + 0.1 * slope
+        v = 0.999 * v + 0.001 * slope**2
+        w = w - config.rate * (1 - t / config.steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return QualityModel(w[:-1], float(w[-1]), prior)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, config: QualityConfig) -> float:
-    """The share of positives among unlabelled texts, from a classifier of positives against unlabelled ones."""
-    fold = np.arange(len(positive)) % 5 == 0
-    plain = nnpu(positive[~fold], unlabelled, 0.5, config)
-    share = np.median(_sigmoid(positive[fold] @ plain.weights + plain.bias)) if fold.any() else 1.0
-    found = _sigmoid(unlabelled @ plain.weights + plain.bias).mean()
-    return float(np.clip(found / max(share, 1e-6), 0.05, 0.95))
+def _told_apart(positive: Cells, unlabelled: Cells, penalty: float) -> np.ndarray:
+    """Weights of the logistic classifier of positives against unlabelled texts, both kinds of the same weight, by Newton's method."""
+    x = np.concatenate([_with_one(positive.x), _with_one(unlabelled.x)])
+    y = np.concatenate([np.ones(len(positive.x)), np.zeros(len(unlabelled.x))])
+    share = np.concatenate([positive.share, unlabelled.share]) / 2
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+    ridge[-1] = 1e-9
+    for _ in range(12):
+        s = _sigmoid(x @ w)
+        w = w - np.linalg.solve((x * (share * s * (1 - s))[:, None]).T @ x + np.diag(ridge), x.T @ (share * (s - y)) + ridge * w)
+    return w
+
+
+def estimate_prior(halves: tuple[Cells, Cells], unlabelled: Cells, config: QualityConfig) -> float:
+    """The share of positives among unlabelled texts: the mean over both halves of the positives as the ones that are learned."""
+    found = []
+    for learned, kept in (halves, halves[::-1]):
+        w = _told_apart(learned, unlabelled, config.prior_penalty)
+        out = _sigmoid(_with_one(kept.x) @ w)
+        order = np.argsort(out, kind="stable")
+        median = out[order][min(np.searchsorted(np.cumsum(kept.share[order]), 0.5), len(out) - 1)]
+        found.append(unlabelled.share @ _sigmoid(_with_one(unlabelled.x) @ w) / max(median, 1e-6))
+    return float(np.clip(np.mean(found), 0.05, 0.97))
+
+
+#: Features are added up in whole parts of one.
+UNIT = 1 << 24
+WIDTH = DENSE * (len(BINS) + 2) + PAIRS
 
+_CELL = "kind int, cell int, n long, sums binary"
 
-def _features_of(frame: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Features and marks of a bounded frame (txt, mark), ordered so that the model doesn't depend on the order of rows."""
+
+def _cell_batch(found: dict[tuple[int, int], list]) -> pa.RecordBatch:
+    keys = sorted(found)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1].tobytes() for k in keys], pa.binary())],
+        ["kind", "cell", "n", "sums"],
+    )
+
+
+def _celled(planes: np.ndarray, bounds: np.ndarray):
+    """Sums features of rows (txt, kind) by kind and cell; kind 0 is unlabelled, 1 and 2 are halves of the positives, whose rows are unlabelled ones too."""
 
     def run(batches):
+        found: dict[tuple[int, int], list] = {}
         for batch in batches:
             for first, last, data, offs in tb.chunks(batch.column("txt"), rows=4096):
                 x = features(data, offs)
-                yield pa.RecordBatch.from_arrays([batch.column("mark")[first:last], batch.column("h")[first:last], pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["mark", "h", "x"])
-
-    rows = frame.withColumn("h", F.xxhash64("txt")).mapInArrow(tb.tidy(run), "mark int, h long, x binary").toPandas()
-    rows = rows.sort_values(["h", "mark"], kind="stable")
-    width = DENSE * (len(BINS) + 2) + PAIRS
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), width)
-    return x, rows["mark"].astype(int).tolist()
+                cell = (x @ planes > bounds) @ (1 << np.arange(planes.shape[1]))
+                whole = np.rint(x * UNIT).astype(np.int64)
+                kinds = batch.column("kind")[first:last].to_numpy(zero_copy_only=False)
+                for kind in (0, 1, 2):
+                    own = np.arange(last - first) if kind == 0 else np.flatnonzero(kinds == kind)
+                    own = own[np.argsort(cell[own], kind="stable")]
+                    begin = np.flatnonzero(np.append(True, cell[own][1:] != cell[own][:-1])) if len(own) else own
+                    for at, n, sums in zip(cell[own][begin].tolist(), np.diff(np.append(begin, len(own))).tolist(), np.add.reduceat(whole[own], begin, axis=0) if len(own) else [], strict=True):
+                        held = found.setdefault((kind, at), [0, np.zeros(WIDTH, np.int64)])
+                        held[0] += n
+                        held[1] += sums
+        if found:
+            yield _cell_batch(found)
+
+    return run
+
+
+def _added(batches):
+    """Adds up the sums of equal cells."""
+    found: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        for kind, at, n, sums in zip(*(batch.column(c).to_pylist() for c in ("kind", "cell", "n", "sums")), strict=True):
+            held = found.setdefault((kind, at), [0, np.zeros(WIDTH, np.int64)])
+            held[0] += n
+            held[1] += np.frombuffer(sums, np.int64)
+    if found:
+        yield _cell_batch(found)
+
+
+def _cells(frame: DataFrame, planes: np.ndarray, bounds: np.ndarray) -> dict[int, Cells]:
+    """The cells of each kind of rows (txt, kind); so many rows at most as there are cells come to the driver."""
+    parts = frame.mapInArrow(tb.tidy(_celled(planes, bounds)), _CELL).repartition(8, "kind", "cell").mapInArrow(_added, _CELL)
+    rows = sorted(parts.collect(), key=lambda r: (r["kind"], r["cell"]))
+    out = {}
+    for kind in {r["kind"] for r in rows}:
+        n = np.array([r["n"] for r in rows if r["kind"] == kind], np.int64)
+        sums = np.stack([np.frombuffer(r["sums"], np.int64) for r in rows if r["kind"] == kind])
+        out[kind] = Cells(sums / UNIT / n[:, None], n)
+    return out
 
 
 def train(texts: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
     """Learns from `texts` and the labels of the same rows: those marked 1 are the positives, all texts are the unlabelled ones."""
     ship(texts.sparkSession)
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label)).cast("int").alias("q"))
-    base = texts.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("txt"))
-    ids = base.select("id").join(known, "id", "left")
-    totals = ids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("q") == 1, 1)), F.lit(0)).alias("good"), F.count("q").alias("judged")).first()
-    if not totals["good"]:
-        return QualityModel(np.zeros(DENSE * (len(BINS) + 2) + PAIRS), 0.0, 0.5)
-    draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    share_good, share_all = min(1.0, config.max_rows / totals["good"]), min(1.0, config.max_rows / totals["n"])
-    # ids are picked before they meet texts; what is joined is bounded by max_rows
-    good = known.where((F.col("q") == 1) & (draw < share_good)).select("id")
-    positive, _ = _features_of(base.join(F.broadcast(good), "id", "left_semi").select(F.coalesce("txt", F.lit("")).alias("txt"), F.lit(1).alias("mark")))
-    other = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    unlabelled, _ = _features_of(base.where(other < share_all).select(F.coalesce("txt", F.lit("")).alias("txt"), F.lit(0).alias("mark")))
-    prior = totals["good"] / totals["judged"] if totals["judged"] > totals["good"] else estimate_prior(positive, unlabelled, config)
-    return nnpu(positive, unlabelled, float(np.clip(prior, 0.05, 0.97)), config)
+    good = labels.where(F.col(doc_id).isNotNull() & (F.col(label) == 1)).select(F.col(doc_id).alias("id")).distinct().withColumn("good", F.lit(True))
+    base = texts.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("txt"))
+    half = F.when(F.col("good"), F.pmod(F.xxhash64("txt"), F.lit(2)) + 1).otherwise(0).cast("int")
+    marked = base.join(broadcast_if_small(good, good.count() * 16), "id", "left").select("txt", half.alias("kind"))
+    none = np.zeros((WIDTH, 0))
+    centre = _cells(marked.where("kind > 0"), none, np.zeros(0))
+    if not centre:
+        return QualityModel(np.zeros(WIDTH), 0.0, 0.5)
+    planes = np.random.default_rng(config.seed).normal(size=(WIDTH, config.bits))
+    cells = _cells(marked, planes, centre[0].x[0] @ planes)
+    halves = [cells[k] for k in (1, 2) if k in cells]
+    positive = Cells(np.concatenate([h.x for h in halves]), np.concatenate([h.n for h in halves]))
+    prior = estimate_prior((halves[0], halves[-1]), cells[0], config)
+    return nnpu(positive, cells[0], prior, config)
 
 
 def predict(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -42,7 +43,6 @@ def tidy(run: Callable) -> Callable:
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,27 +54,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _P)
+#: Spans of more bytes are hashed one by one by a digest.
+LONG_SPAN = 64
 
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as asked for."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, CHUNK_BYTES + 1)
-            for name, base in (("up", _P), ("down", _P_INVERSE)):
-                steps = np.full(size, base)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,11 +89,30 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES, rows: int = 32768) -> Iterat
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, that doesn't depend on its place."""
-    up, down = _POWERS.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _P)
+    """A 64-bit hash of the bytes of each span, that doesn't depend on its place.
+
+    Spans are taken in blocks of eight bytes from their start, each mixed into what came before; of spans of one length up to eight bytes no two
+    have the same hash. Longer ones than LONG_SPAN go through BLAKE2b, of which there are at most len(data) / LONG_SPAN in words that don't overlap.
+    """
+    sizes = (ends - starts).astype(np.int64)
+    out = mix((sizes.astype(np.uint64) + np.uint64(1)) * _P)
+    if not len(starts):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    long = np.flatnonzero(sizes > LONG_SPAN)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    left = np.flatnonzero((sizes > 0) & (sizes <= LONG_SPAN))
+    at, size = starts[left], sizes[left]
+    while len(left):
+        block = blocks[at] & _KEEP[np.minimum(size, 8)]
+        out[left] = mix((out[left] ^ block) + _P)
+        more = size > 8
+        left, at, size = left[more], at[more] + 8, size[more] - 8
+    return out
 
 
 def doc_starts(offs: np.ndarray, n: int) -> np.ndarray:

@@ -254,6 +254,48 @@ def test_op4_and_op3_match_brute_force(spark, sf, docs, ranks):
         assert (r["n_pretokens"], r["n_tokens"]) == (len(pieces), sum(p[0] for p in pieces)) and abs(r["log_prob"] - sum(p[1] for p in pieces) / 1e6) < 1e-6
 
 
+def thue_morse(n):
+    """Two words of n letters that every polynomial hash with an odd base modulo a power of two takes for one."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_that_clash_under_polynomial_hashes_stay_apart(spark, n, ranks):
+    import tiktoken
+
+    a, b = thue_morse(n)
+    frame = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}")], "doc_id long, text string")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert {r["doc_id"]: r["ids"] for r in byte_bpe.encode(frame, path, ids=True).collect()} == {1: library.encode_ordinary(a), 2: library.encode_ordinary(b), 3: library.encode_ordinary(f"{a} {b}")}
+    trie = token_counts.ForwardTrie(token_counts.unigram_scores(ranks))
+    n_tokens = {1: trie.insert(a.encode())[0], 2: trie.insert(b.encode())[0], 3: trie.insert(a.encode())[0] + trie.insert(f" {b}".encode())[0]}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count(frame, path).collect()} == n_tokens
+    assert {r["doc_id"]: r["n_known"] for r in maxent_lm.score(frame, F.col("doc_id") == 1).collect()} == {1: 2, 2: 1, 3: 2}
+    assert {r["doc_id"]: r["class_id"] for r in minhash.classes(frame).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_pieces_of_equal_hashes_go_by_their_bytes(texts, ranks, monkeypatch):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    trie = token_counts.ForwardTrie(token_counts.unigram_scores(ranks))
+    real = textbatch.span_hashes
+    monkeypatch.setattr(textbatch, "span_hashes", lambda data, starts, ends: real(data, starts, ends) % np.uint64(50))
+    coder, store = byte_bpe.BatchEncoder(byte_bpe.ByteBpe(ranks)), byte_bpe.PieceStore(lambda pieces: [trie.insert(p) for p in pieces])
+    for first, last, data, offs in textbatch.chunks(pa.array(texts[:400] * 2), rows=100):
+        ids, at = coder.encode(data, offs)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode_ordinary(t) for t in (texts[:400] * 2)[first:last]]
+        rows, starts = pretokens.pretokens(data, offs)
+        ends = pretokens.pretoken_ends(rows, starts, offs)
+        places = store.lookup(data, starts, ends)
+        raw = data.tobytes()
+        assert store.values[store.offsets[places]].tolist() == [trie.insert(raw[a:b])[0] for a, b in zip(starts, ends, strict=True)]
+
+
 def test_a_full_trie_begins_anew(ranks):
     scores = token_counts.unigram_scores(ranks)
     small, large = token_counts.ForwardTrie(scores, max_nodes=5), token_counts.ForwardTrie(scores)
@@ -454,21 +496,67 @@ def test_media_queries(spark, sf, docs, edges, none):
 # --- classifiers ------------------------------------------------------------------------------------------------------
 
 
-def test_quality_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_quality_on_held_out_labels(spark, size):
+    sf = f"/root/testdata/{size}"
     rows = queries.op9_pu_quality(spark, sf).where("held_out").join(table(spark, sf, "labels"), "doc_id").select("predicted", "quality").collect()
     assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.9
 
 
-def test_prior_is_estimated_without_judged_texts():
+def test_prior_is_estimated():
     rng = np.random.default_rng(2)
     good, bad = rng.normal(1.5, 1, (3000, 3)), rng.normal(-1.5, 1, (3000, 3))
+    cells = lambda x: pu_quality.Cells(x, np.ones(len(x)))
     unlabelled = np.concatenate([good[1000:2400], bad[:600]])
-    assert abs(pu_quality.estimate_prior(good[:1000], unlabelled, pu_quality.QualityConfig(epochs=20)) - 0.7) < 0.15
+    assert abs(pu_quality.estimate_prior((cells(good[:500]), cells(good[500:1000])), cells(unlabelled), pu_quality.QualityConfig()) - 0.7) < 0.15
+
+
+@pytest.mark.parametrize("prior", [0.6, 0.95])
+def test_risk_is_minimised_as_by_brute_force(prior):
+    rng = np.random.default_rng(3)
+    good, other = rng.normal(0.6, 1, (12, 2)), np.concatenate([rng.normal(0.6, 1, (14, 2)), rng.normal(-1, 1, (9, 2))])
+    config = pu_quality.QualityConfig(steps=25)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def risk(w, positives_as_good):
+        """The part of the risk that the step goes down, by loops over rows."""
+        g = lambda x: w[0] * x[0] + w[1] * x[1] + w[2]
+        good_loss, bad_loss = sum(sig(-g(x)) for x in good) / len(good), sum(sig(g(x)) for x in good) / len(good)
+        rest = sum(sig(g(x)) for x in other) / len(other) - prior * bad_loss
+        return rest if positives_as_good is None else prior * good_loss + rest
+
+    w, m, v, rises = [0.0, 0.0, math.log(prior / (1 - prior))], [0.0] * 3, [0.0] * 3, 0
+    for t in range(1, config.steps + 1):
+        down = risk(w, None) >= 0
+        rises += not down
+        of = (lambda x: risk(x, 1)) if down else (lambda x: -risk(x, None))
+        slope = [(of([*w[:k], w[k] + 1e-6, *w[k + 1 :]]) - of([*w[:k], w[k] - 1e-6, *w[k + 1 :]])) / 2e-6 + (config.penalty * w[k] if k < 2 else 0) for k in range(3)]
+        for k in range(3):
+            m[k], v[k] = 0.9 * m[k] + 0.1 * slope[k], 0.999 * v[k] + 0.001 * slope[k] ** 2
+            w[k] -= config.rate * (1 - t / config.steps) * (m[k] / (1 - 0.9**t)) / (math.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    found = pu_quality.nnpu(pu_quality.Cells(good, np.ones(12)), pu_quality.Cells(other, np.ones(23)), prior, config)
+    assert np.allclose([*found.weights, found.bias], w, atol=1e-4) and (rises > 0) == (prior == 0.95)
+
+
+def test_all_texts_stand_in_the_risk_in_any_order(spark, docs):
+    texts = [r["text"] for r in docs.collect()]
+    x = np.concatenate([pu_quality.features(data, offs) for _, _, data, offs in textbatch.chunks(pa.array(texts))])
+    labels = spark.createDataFrame([(r["doc_id"], 1) for r in docs.select("doc_id").collect() if r["doc_id"] % 3], "doc_id long, quality int")
+    kept = {}
+    found = pu_quality.nnpu
+    try:
+        pu_quality.nnpu = lambda p, u, prior, config: kept.update(p=p, u=u) or found(p, u, prior, config)
+        a = pu_quality.train(docs, labels)
+        b = pu_quality.train(docs.repartition(5, "lang").orderBy(F.desc("n_chars")), labels)
+    finally:
+        pu_quality.nnpu = found
+    assert kept["u"].n.sum() == len(texts) and kept["p"].n.sum() == labels.count()
+    assert np.allclose((kept["u"].x * kept["u"].n[:, None]).sum(0), x.sum(0), atol=1e-4)
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
 
 
 def test_quality_of_edge_cases(spark, sf, edges, none):
-    labels = spark.createDataFrame([(2, 0), (3, 1), (4, 1), (None, 1), (6, None)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(2, 0), (3, 1), (3, 1), (4, 1), (4, 0), (None, 1), (6, None)], "doc_id long, quality int")
     model = pu_quality.train(edges, labels)
     found = pu_quality.predict(edges, model).collect()
     assert len(found) == len(EDGES) and all(0 <= r["score"] <= 1 for r in found)
