@@ -5,7 +5,9 @@ samples; the note stream has one packet with the text's length in bytes. Pages h
 stream's serial number, the granule position (samples up to the last packet that ends on the page) and a checksum.
 
 Reading: every page's checksum is verified, packets are put together from lacing values, also over pages, the logical streams
-are told apart by serial number, and each packet's time comes from the granule positions and the sample rate.
+are told apart by serial number, and each packet's time comes from the granule positions and the sample rate: the last packet that ends on a page
+ends at the page's granule position, those before it end earlier by the samples of the packets after them. Positions that go back, or
+that a page's packets don't fill up from the page before, are errors.
 
 Defined results: a null text counts as empty; its payload is one block of spaces. Equal texts make equal files. A damaged file raises
 OggError, or is reported as a damaged row by `read_column`.
@@ -96,7 +98,7 @@ def write(payload: bytes, n_bytes: int, config: OggConfig = OggConfig()) -> byte
 
 @dataclass
 class Packet:
-    """A packet with its granule position at its end, None where no page gives one."""
+    """A packet with the granule position of the page that it ends on, None where it isn't the last one to end there."""
 
     data: bytes
     granule: int | None
@@ -170,13 +172,30 @@ def read(data: bytes) -> Sound:
     if sound is None or note is None:
         raise OggError("a stream is missing")
     rate = _SOUND.unpack(sound[0].data)[1]
-    position, times = 0, []
-    for packet in sound[1:]:
-        position += len(packet.data)
-        if packet.granule is not None and packet.granule != position:
+    if not rate:
+        raise OggError("the sample rate is zero")
+    ends = granule_ends(sound[1:])
+    return Sound(b"".join(p.data for p in sound[1:]), _NOTE.unpack(note[0].data)[1], rate, [end * 1_000_000 // rate for end in ends])
+
+
+def granule_ends(packets: list[Packet]) -> list[int]:
+    """The sample at which each packet ends, counted back from the granule position of its page."""
+    ends, page, at = [], [], 0
+    for packet in packets:
+        page.append(packet)
+        if packet.granule is None:
+            continue
+        end, own = packet.granule, []
+        for each in reversed(page):
+            own.append(end)
+            end -= len(each.data)
+        if end != at:
             raise OggError("a granule position doesn't agree with the samples")
-        times.append(position * 1_000_000 // rate)
-    return Sound(b"".join(p.data for p in sound[1:]), _NOTE.unpack(note[0].data)[1], rate, times)
+        ends += own[::-1]
+        at, page = packet.granule, []
+    if page:
+        raise OggError("a page with the end of a packet has no granule position")
+    return ends
 
 
 def payload_of(text: bytes) -> bytes:
