@@ -1,12 +1,14 @@
 """Personal data: patterns for protected entities, and terms whose co-occurrence reveals them, on built-in functions only.
 
 Base entities are e-mail addresses, IP addresses, card numbers and phone numbers, leftmost matches per kind that don't overlap; matches that fail
-a kind's test are dropped. Terms (words of four letters or more) within a window around an entity may disclose it: over all rows,
+a kind's test are dropped. Terms (words of four letters or more) anywhere in a text with an entity may disclose it: over all rows,
 PMI(term; entity) = log2(n(term, entity) * N / (n(term) * n(entity))) is held against the entity's own information log2(N / n(entity)). A term whose
-share of it reaches the threshold, in at least `support` different texts, is a span of kind `term`: it is generalised, or removed
-if it gives the entity away altogether. Counts cover all rows; copies of a text count as one text for `support`.
+share of it reaches the threshold is telling. It must stand with the entity in at least `support` different texts, two unless asked otherwise:
+one text alone has every pair of its rare words in common, and copies count as one. A telling term is a span wherever it stands, in texts without
+the entity too, since it reveals it there; it is generalised to its kind of word, or removed if it gives the entity away altogether.
 
 Defined results: null and empty texts have no spans. Rows keep their number; ids may be null or repeated. Offsets count code points.
+Words longer than MAX_TERM letters are no terms.
 Patterns are written so that Java matches them without recursion and without trying a long run again from each of its characters.
 """
 
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import BROADCAST_BYTES, broadcast_if_small, cut
 from .secret_scan import matches
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -34,19 +36,22 @@ MAY_HAVE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[
 
 _PART = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}{4,}"
+#: Letters of a term at most.
+MAX_TERM = 64
+#: Parts into which the rows of one text are dealt.
+SALTS = 16
 
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """window: code points around an entity whose terms count. threshold: share of the entity's information from which a term discloses it.
+    """threshold: share of the entity's information from which a term discloses it. removed: the share from which the term goes instead of being generalised.
 
-    removed: the share from which the term goes instead of being generalised. support: different texts that have both.
+    support: different texts that have both.
     """
 
-    window: int = 40
     threshold: float = 0.75
     removed: float = 0.999
-    support: int = 3
+    support: int = 2
 
 
 def _digits(value: Column) -> Column:
@@ -64,20 +69,6 @@ def _test(kind: str):
     return lambda m: _passes(kind, m["value"])
 
 
-def _span(i: int, text: Column, w: int):
-    """Makes the span of a match of the kind with number i."""
-
-    def span(m: Column) -> Column:
-        start, end = m["start"], m["start"] + F.length(m["value"])
-        low = F.greatest(start - w, F.lit(0))
-        return F.struct(
-            F.lit(i).alias("kind"), start.alias("start"), end.alias("end"), m["value"].alias("value"), low.alias("from"), F.substring(text, low + 1, start - low).alias("before"),
-            F.substring(text, end + 1, F.lit(w)).alias("after"), (F.length(text) > end + w).alias("rest"),
-        )
-
-    return span
-
-
 def _passes(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(rf"^(?:{_PART}\.){{3}}{_PART}$")
@@ -88,65 +79,78 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-_SPANS = "array<struct<kind:int,start:int,end:int,value:string,from:int,before:string,after:string,rest:boolean>>"
+def _span(kind: int):
+    """Makes the span of a match of the kind with this number."""
+    return lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value"))
+
 
+_SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
-def base_spans(text: Column, config: PiiConfig) -> Column:
-    """Array of (kind, start, end, value, and the window around it) by kind and start."""
+
+def base_spans(text: Column) -> Column:
+    """Array of (kind, start, end, value) by kind and start."""
     parts = []
     for i, kind in enumerate(KINDS):
         may = F.instr(text, MAY_HAVE[kind]) > 0 if kind == "email" else text.rlike(MAY_HAVE[kind])
         found = F.filter(matches(text, PATTERNS[kind]), _test(kind))
-
-        parts.append(F.when(may, F.transform(found, _span(i, text, config.window))).otherwise(F.array().cast(_SPANS)))
+        parts.append(F.when(may, F.transform(found, _span(i))).otherwise(F.array().cast(_SPANS)))
     return F.coalesce(F.concat(*parts), F.array().cast(_SPANS))
 
 
-def _terms(span: Column) -> Column:
-    """Array of (entity, term, start, end) of the whole words in a span's window."""
-    entity = F.concat_ws(":", span["kind"].cast("string"), F.lower(span["value"]))
-
-    def side(window: Column, at: Column, whole: Column, cut_left: Column, cut_right: Column) -> Column:
-        found = F.filter(matches(window, TERM), lambda m: ~(cut_left & (m["start"] == 0)) & ~(cut_right & (m["start"] + F.length(m["value"]) == F.length(window))))
-        return F.transform(found, lambda m: F.struct(entity.alias("entity"), F.lower(m["value"]).alias("term"), (at + m["start"]).alias("start"), (at + m["start"] + F.length(m["value"])).alias("end")))
-
-    no = F.lit(False)
-    return F.concat(side(span["before"], span["from"], no, span["from"] > 0, no), side(span["after"], span["end"], no, no, span["rest"]))
+def _words(text: Column) -> Column:
+    """The different terms of a text, lower-cased."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))), lambda w: F.length(w) <= MAX_TERM)
 
 
-def detect(docs: DataFrame, config: PiiConfig = PiiConfig(), keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns `keep` of every row with base (array of kind, start, end, value) and terms (array of start, end, removed)."""
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = cut(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.md5(value).alias("key"), value.alias("txt")).select(*[f"k{i}" for i in range(len(keep))], "key", base_spans(F.col("txt"), config).alias("spans")))
-    n_rows = base.count()
-    with_spans = base.where(F.size("spans") > 0)
-    near = with_spans.select("key", F.flatten(F.transform("spans", _terms)).alias("near"))
+def telling_terms(base: DataFrame, docs: DataFrame, value: Column, n_rows: int, config: PiiConfig) -> DataFrame:
+    """(term, removed) of the terms that disclose an entity, from rows (key, spans, txt) with spans and all rows of `docs`, whose text is `value`."""
     entity = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))
-    per_text = with_spans.select("key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity", "key").agg(F.count(F.lit(1)).alias("n"))
+    per_text = base.select("key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity", "key").agg(F.count(F.lit(1)).alias("n"))
     entities = per_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= config.support).drop("texts")
-    both = near.select("key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term", "key").agg(F.count(F.lit(1)).alias("n"))
-    both = both.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= config.support).drop("texts")
-    linked = cut(both.join(entities, "entity"))
-    # in how many rows each such term stands, over all rows: words are counted before they meet the terms, so no step makes a row for each
-    # place where a frequent term stands (a semi join would be pushed below the count)
+    # texts once with the number of their rows; only those with an entity that several texts have go on
+    held = cut(per_text.join(entities, "entity"))
+    texts = base.select("key", "txt").join(held.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("txt").alias("txt"))
+    both = texts.select("key", F.explode(_words(F.col("txt"))).alias("term")).join(held, "key")
+    both = both.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= config.support).drop("texts")
+    # a term has no fewer rows than stand with the entity, so its share is at most what it has if it stands nowhere else
+    total = F.lit(float(max(n_rows, 1)))
+    information = F.greatest(F.log2(total / F.col("n_entity")), F.lit(1e-9))
+    linked = cut(both)
     n_terms = linked.count()
     terms = linked.select("term").distinct()
-    if n_terms * 64 <= 64 << 20:
+    if n_terms * (MAX_TERM + 64) <= BROADCAST_BYTES:
         terms = F.broadcast(terms)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(TERM), F.lit(0)))
-    counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term") if n_terms else terms.withColumn("n_term", F.lit(1).cast("long"))
-    pmi = F.log2(F.col("n_both") * F.lit(float(max(n_rows, 1))) / (F.greatest("n_term", "n_both") * F.col("n_entity")))
-    share = pmi / F.greatest(F.log2(F.lit(float(max(n_rows, 1))) / F.col("n_entity")), F.lit(1e-9))
-    telling = linked.join(counted, "term").withColumn("share", share).where(F.col("share") >= config.threshold).select("entity", "term", (F.col("share") >= config.removed).alias("removed"))
-    occurring = near.select("key", F.explode("near").alias("o")).select("key", "o.*").distinct().join(telling, ["entity", "term"])
-    added = occurring.groupBy("key", "start", "end").agg(F.max("removed").alias("removed")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    # words are counted before they meet the terms, so no step makes a row for each place where a frequent term stands
+    counted = docs.select(F.explode(_words(value)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term") if n_terms else terms.withColumn("n_term", F.lit(1).cast("long"))
+    share = F.log2(F.col("n_both") * total / (F.greatest("n_term", "n_both") * F.col("n_entity"))) / information
+    return linked.join(counted, "term").withColumn("share", share).where(F.col("share") >= config.threshold).groupBy("term").agg(F.max(F.col("share") >= config.removed).alias("removed"))
+
+
+def detect(docs: DataFrame, config: PiiConfig = PiiConfig(), keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns `keep` of every row with base (array of kind, start, end, value) and terms (array of start, end, removed)."""
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    kept = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.md5(value).alias("key"), value.alias("txt"))
+    # texts with an entity stay in the table beside their spans, so that they needn't be found again
+    base = cut(rows.withColumn("spans", base_spans(F.col("txt"))).withColumn("txt", F.when(F.size("spans") > 0, F.col("txt"))))
+    telling = cut(telling_terms(base.where(F.size("spans") > 0).select("key", "spans", "txt"), docs, value, base.count(), config))
+    n_telling = telling.count()
+    short = F.col("spans").alias("base")
+    none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
+    if not n_telling:
+        return base.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], short, none.alias("terms"))
+    known = broadcast_if_small(telling, n_telling * (MAX_TERM + 64))
+    # which texts have a telling term; telling terms stand in few texts, since they say much about one entity
+    keys = rows.select("key", F.explode(_words(F.col("txt"))).alias("term")).join(known, "term", "left_semi").select("key").distinct()
+    keys = cut(keys)
+    different = rows.select("key", "txt").join(broadcast_if_small(keys, keys.count() * 64), "key", "left_semi").groupBy("key").agg(F.first("txt").alias("txt"))
+    places = different.select("key", F.explode(matches(F.col("txt"), TERM)).alias("m")).select("key", F.lower("m.value").alias("term"), F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.value")).alias("end"))
+    added = places.join(known, "term").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "removed"))).alias("terms"))
     # rows meet their text's terms by salted keys, since one text may be a third of all rows
-    salts = 16
-    rows = base.withColumn("salt", F.pmod(F.xxhash64(*[f"k{i}" for i in range(len(keep))]), F.lit(salts)))
-    added = added.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    out = rows.join(added, ["key", "salt"], "left")
-    short = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], short.alias("base"), F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")).alias("terms"))
+    salted = base.withColumn("salt", F.pmod(F.xxhash64(*kept), F.lit(SALTS)))
+    added = added.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    out = salted.join(added, ["key", "salt"], "left")
+    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], short, F.coalesce("terms", none).alias("terms"))
 
 
 def listed(base: Column) -> Column:
@@ -156,11 +160,11 @@ def listed(base: Column) -> Column:
 
 
 def sanitised(text: Column, base: Column, terms: Column) -> Column:
-    """The text with entities as [KIND], disclosing terms as [TERM] or, if they give an entity away, without them."""
+    """The text with entities as [KIND], disclosing terms as [NAME] or [WORD], by their first letter, or, if they give an entity away, without them."""
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     all_spans = F.concat(
         F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(marks, s["kind"]).alias("mark"))),
-        F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("mark"))),
+        F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], F.lit("")).when(F.substring(text, s["start"] + 1, F.lit(1)).rlike(r"\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit("[WORD]")).alias("mark"))),
     )
     # of spans that overlap the first stands for all
     folded = F.aggregate(
