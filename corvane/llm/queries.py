@@ -54,8 +54,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document that the forest, trained from generated labelled findings, keeps."""
-    forest = secret_scan.train_forest(secret_scan.generated_findings(spark))
-    return secret_scan.report(table(spark, sf_dir, "documents"), forest)
+    docs = table(spark, sf_dir, "documents")
+    words = secret_scan.dictionary(docs)
+    forest = secret_scan.train_forest(secret_scan.generated_findings(spark, words), words)
+    return secret_scan.report(docs, forest)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
