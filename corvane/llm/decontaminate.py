@@ -6,7 +6,8 @@ the texts; since a window has to be contained whole, its prefix is one token, it
 that word only; the place of the word in the window fixes where the window would begin, places that don't fit into the text go
 (length and positional bounds), and the slice of the text is compared with the window word by word before anything is shuffled.
 
-The benchmark's windows are broadcast if their measured size is under a bound; else texts and windows meet by a shuffle on the word.
+The benchmark's windows are broadcast if their measured size is under a bound. Else a row of text, place and word for each word of each different
+text meets the prefixes by a shuffle on the word, salted since a word may be frequent; what passes the bounds meets its text once more for the comparison.
 
 Defined results: a null text has no words; nor has a null item. Repeated rows each keep their row, since hits are found per distinct
 text. Null ids stay. Items with equal ids are one item.
@@ -32,11 +33,15 @@ SALTS = 16
 
 @dataclass(frozen=True)
 class DecontaminateConfig:
-    """words: window length. min_items: from so many items with an occurring window a text is contaminated. item_share: of one item's windows, for a leak."""
+    """words: window length. min_items: from so many items with an occurring window a text is contaminated.
+
+    item_share: of one item's windows, for a leak; item_windows: the least number of them, so that a short phrase alone is no leak.
+    """
 
     words: int = 8
     min_items: int = 2
     item_share: float = 0.5
+    item_windows: int = 3
 
 
 def lower_ascii(text: Column) -> Column:
@@ -61,8 +66,12 @@ def _measured(frame: DataFrame, *cols: str) -> int:
     return frame.agg(F.coalesce(F.sum(sum(F.octet_length(F.col(c).cast("string")) for c in cols) + 64), F.lit(0)).alias("n")).first()["n"]
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(key, item, start, length, window): where windows of items occur; key is the MD5 of the text, start counts from 0."""
+def occurrences(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int | None = None) -> DataFrame:
+    """(key, item, start, length, window): where windows of items occur; key is the MD5 of the text, start counts from 0.
+
+    limit: bytes of windows that are broadcast, BROADCAST_BYTES unless given.
+    """
+    limit = BROADCAST_BYTES if limit is None else limit
     wins = windows(benchmark, config, item_id, item_text)
     n_bytes = _measured(wins, "item", "window")
     texts = docs.select(F.md5(F.col(text).cast("string")).alias("key"), word_array(F.col(text).cast("string")).alias("w"))
@@ -73,22 +82,29 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConf
     ranked = placed.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("first"))
     # a word that no text has leaves its window without an occurrence
     prefix = ranked.where("first.n > 0").select("window", F.col("first.token").alias("token"), F.col("first.offset").alias("offset"))
-    prefix = broadcast_if_small(prefix, n_bytes, limit)
-    met = texts.select("key", "w", F.posexplode("w").alias("at", "token")).join(prefix, "token")
-    start, size = F.col("at") - F.col("offset"), F.size("window")
-    found = met.where((start >= 0) & (start + size <= F.size("w"))).where(F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("window"))
-    found = found.select("key", start.alias("start"), size.alias("length"), "window")
+    if n_bytes <= limit:
+        met = texts.select("key", "w", F.posexplode("w").alias("at", "token")).join(F.broadcast(prefix), "token")
+        start, size = F.col("at") - F.col("offset"), F.size("window")
+        fitting = met.where((start >= 0) & (start + size <= F.size("w"))).withColumn("start", start)
+    else:
+        different = texts.groupBy("key").agg(F.first("w").alias("w"))
+        placed = different.select("key", F.size("w").alias("n"), F.posexplode("w").alias("at", "token")).withColumn("salt", F.pmod("at", F.lit(SALTS)))
+        met = placed.join(prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["token", "salt"])
+        start, size = F.col("at") - F.col("offset"), F.size("window")
+        fitting = met.where((start >= 0) & (start + size <= F.col("n"))).select("key", start.alias("start"), "window").join(different, "key")
+    found = fitting.where(F.slice("w", F.greatest("start", F.lit(0)) + 1, F.size("window")) == F.col("window"))
+    found = found.select("key", "start", F.size("window").alias("length"), "window")
     return found.join(broadcast_if_small(wins, n_bytes, limit), "window").select("key", "item", "start", "length", "window")
 
 
 def leaking_keys(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key): MD5 of texts that are contaminated, or that have at least `item_share` of one item's windows."""
+    """(key): MD5 of texts that are contaminated, or that have at least `item_share` and `item_windows` of one item's windows."""
     found = occurrences(docs, benchmark, config, text, item_id, item_text)
     sizes = windows(benchmark, config, item_id, item_text).groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
     per_item = found.groupBy("key", "item", "window").agg(F.lit(1).alias("one")).groupBy("key", "item").agg(F.count(F.lit(1)).alias("n"))
     per_item = per_item.join(broadcast_if_small(sizes, _measured(sizes, "item")), "item")
-    per_key = per_item.groupBy("key").agg(F.count(F.lit(1)).alias("items"), F.max(F.col("n") / F.col("windows")).alias("share"))
-    return per_key.where((F.col("items") >= config.min_items) | (F.col("share") >= config.item_share)).select("key")
+    per_key = per_item.groupBy("key").agg(F.count(F.lit(1)).alias("items"), F.max(F.when(F.col("n") >= config.item_windows, F.col("n") / F.col("windows"))).alias("share"))
+    return per_key.where((F.col("items") >= config.min_items) | F.coalesce(F.col("share") >= config.item_share, F.lit(False))).select("key")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), keep: tuple[str, ...] = ("doc_id",), text: str = "text", **names) -> DataFrame:
