@@ -41,7 +41,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, found secrets replaced in the text."""
-    return secret_scan.redact(docs, secret_scan.train_forest(secret_scan.generated_findings(spark)))
+    words = secret_scan.dictionary(docs)
+    return secret_scan.redact(docs, secret_scan.train_forest(secret_scan.generated_findings(spark, words), words))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
