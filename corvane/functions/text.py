@@ -12,6 +12,9 @@ STOP_WORDS = (
     "until upon use using very via was were what when where which who whom whose will with would"
 ).split()
 
+# Words that are no terms of a default query.
+QUERY_STOP_WORDS = ["about", "and", "for", "from", "not", "the", "this", "with"]
+
 # Languages by extension.
 LANGUAGES = {
     "rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp",
@@ -102,19 +105,31 @@ def estimate_tokens(n_bytes: Column) -> Column:
 
 def identifier_runs(text: Column) -> Column:
     """Runs of letters, digits and -_. without those signs at their ends."""
-    runs = F.regexp_extract_all(text, F.lit("[A-Za-z0-9._-]+"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}._-]+"), F.lit(0))
     return F.filter(F.transform(runs, lambda r: F.regexp_replace(r, "^[-_.]+|[-_.]+$", "")), lambda r: r != "")
 
 
 def query_entities(text: Column) -> Column:
-    """Distinct lower-case runs of six or more that hold one of -_. , sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(identifier_runs(text), lambda r: (F.length(r) >= 6) & r.rlike("[-_.]")), F.lower)))
+    """Distinct lower-case runs of six bytes or more that hold one of -_. , sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(identifier_runs(text), lambda r: (F.octet_length(r) >= 6) & r.rlike("[-_.]")), lower_ascii)))
 
 
 def query_terms(text: Column) -> Column:
-    """Distinct lower-case runs of three or more that are neither entities nor stop words, sorted."""
-    plain = F.filter(identifier_runs(text), lambda r: ~((F.length(r) >= 6) & r.rlike("[-_.]")) & (F.length(r) >= 3))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(plain, F.lower), lambda r: ~r.isin(STOP_WORDS))))
+    """Distinct lower-case runs of three bytes or more without one of -_. that are no stop words, sorted."""
+    plain = F.filter(identifier_runs(text), lambda r: ~r.rlike("[-_.]") & (F.octet_length(r) >= 3))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(plain, lower_ascii), lambda r: ~r.isin(QUERY_STOP_WORDS))))
+
+
+def match_positions(text: Column, pattern: str) -> Column:
+    """Array of (start, value) of the pattern's leftmost matches; start counts code points from 0."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    folded = F.aggregate(
+        F.arrays_zip(values.alias("v"), F.slice(gaps, 1, F.size(values)).alias("g")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out")),
+        lambda a, x: F.struct((a["at"] + x["g"] + F.length(x["v"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), x["v"].alias("value")))).alias("out")),
+    )
+    return folded["out"]
 
 
 def is_iso_date(text: Column) -> Column:
@@ -123,16 +138,37 @@ def is_iso_date(text: Column) -> Column:
 
 
 def light_stem(word: Column) -> Column:
-    """A plain stem of a lower-case word: plural and -ed, -ing endings off, a doubled last consonant single."""
-    undouble = lambda w: F.regexp_replace(w, "([bcdfghjkmnpqrtvwx])\\1$", "$1")
-    return (
-        F.when(word.rlike("^.{2,}ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("^.{2,}(?:s|x|z|ch|sh)es$"), F.regexp_replace(word, "es$", ""))
-        .when(word.rlike("^.{3,}ing$"), undouble(F.regexp_replace(word, "ing$", "")))
-        .when(word.rlike("^.{3,}ed$"), undouble(F.regexp_replace(word, "ed$", "")))
-        .when(word.rlike("^.{2,}[^su]s$"), F.regexp_replace(word, "s$", ""))
-        .otherwise(word)
+    """A plain stem of a lower-case word of five letters or more, null where none is safe: plural, -ed and -ing endings off, a doubled last consonant single."""
+    single = lambda w: F.regexp_replace(w, r"^(.{2,})([bcdfghjkmnpqrtvwxyz])\2$", "$1$2")
+    made = (
+        F.when(F.endswith(word, F.lit("ies")), F.regexp_replace(word, "ies$", "y"))
+        .when(word.rlike("(?:sh|ch|ss|x|z)es$"), F.regexp_replace(word, "es$", ""))
+        .when(word.rlike("(?<![sui])s$"), F.regexp_replace(word, "s$", ""))
+        .when(F.endswith(word, F.lit("ed")), single(F.regexp_replace(word, "ed$", "")))
+        .when(word.rlike("....ing$"), single(F.regexp_replace(word, "ing$", "")))
     )
+    return F.when(word.rlike("^[a-z]{5,}$") & (F.length(made) >= 3), made)
+
+
+def morph_norm(word: Column) -> Column:
+    """The form by which a question's word meets tokens: its stem, or itself if it ends in y; null for words without either."""
+    stem = light_stem(word)
+    return F.when(word.rlike("^[a-z]{3,}$"), F.coalesce(stem, F.when(F.endswith(word, F.lit("y")), word)))
+
+
+def has_morph_token(text: Column, norm: str) -> Column:
+    """Whether a whole token of the text, or its stem, is the form; only tokens that begin with the form's root are stemmed."""
+    root = norm.removesuffix("y")
+    tokens = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}])\Q{root}\E[A-Za-z0-9]*+(?![\p{{L}}\p{{N}}])"), F.lit(0))
+    return F.exists(F.transform(tokens, lower_ascii), lambda t: (t == norm) | F.coalesce(light_stem(t) == norm, F.lit(False)))
+
+
+def has_morph_subword(text: Column, root: str, least: int) -> Column:
+    """Whether the root, a word of `least` letters or more, begins at a token's start, at a hump of camel case or after a digit; case of A-Z aside."""
+    if len(root) < least or not root.isascii():
+        return F.lit(False)
+    begin = r"(?:\A|(?<=[\x00-\x7F&&[^A-Za-z0-9]])|(?<=[a-z0-9])(?=[A-Z])|(?<=[0-9])(?=[^0-9]))"
+    return text.rlike(rf"{begin}(?i:\Q{root}\E)")
 
 
 def has_alnum_token(text: Column, token: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.header_yaml import as_json
+from ..sources.header_yaml import with_json
 from .rules import split_front_matter
 
 # Statuses of the family.
@@ -45,15 +45,13 @@ def _any(items: Column, broken) -> Column:
     return F.exists(items, broken)
 
 
-def family_diagnostics(docs: DataFrame) -> DataFrame:
-    """(profile, path, code) of documents whose header can be read."""
-    rows = split_front_matter(docs).where("header is not null")
-    v = F.col("v")
+def family_rules(v: Column) -> list[tuple[str, Column]]:
+    """The rules as (code, predicate) on a header as VARIANT."""
     mapping = lambda x: _kind(x) == "OBJECT"
     events = F.when(_is(v, "verified", "OBJECT"), F.array(_get(v, "$.verified", "variant"))).otherwise(F.filter(_items(v, "verified"), mapping))
     attested = F.coalesce(_get(v, "$.type", "string") == "Attested Computation", F.lit(False))
     executor = _get(v, "$.executor", "variant")
-    rules = [
+    return [
         ("sources-not-sequence", _there(v, "sources") & ~_is(v, "sources", "ARRAY")), ("source-entry-not-mapping", _any(_items(v, "sources"), lambda e: ~mapping(e))), ("source-entry-resource", _any(_items(v, "sources"), lambda e: mapping(e) & ~_text(e, "resource"))),
         ("usage-window-not-mapping", _there(v, "usage_window") & ~_is(v, "usage_window", "OBJECT")), ("usage-window-from", _is(v, "usage_window", "OBJECT") & ~_text(v, "usage_window.from")), ("usage-window-to", _is(v, "usage_window", "OBJECT") & ~_text(v, "usage_window.to")),
         ("generated-not-mapping", _there(v, "generated") & ~_is(v, "generated", "OBJECT")), ("generated-by", _is(v, "generated", "OBJECT") & ~_text(v, "generated.by")), ("generated-at", _is(v, "generated", "OBJECT") & _there(v, "generated.at") & ~_text(v, "generated.at")),
@@ -63,6 +61,11 @@ def family_diagnostics(docs: DataFrame) -> DataFrame:
         ("ac-computation", attested & _there(v, "computation") & ~_text(v, "computation")), ("ac-executor", attested & executor.isNotNull() & ~(mapping(executor) & _text(v, "executor.resource") & (~_there(v, "executor.receipt") | _is(v, "executor.receipt", "ARRAY")))),
         ("ac-attester", attested & _there(v, "attester") & ~(_is(v, "attester", "OBJECT") & _text(v, "attester.resource"))),
     ]
-    read = as_json(rows.select("path", "header")).where("json is not null").select("path", F.parse_json("json").alias("v"))
-    codes = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for code, broken in rules]))
+
+
+def family_diagnostics(docs: DataFrame) -> DataFrame:
+    """(profile, path, code) of documents whose header can be read."""
+    rows = split_front_matter(docs).where("header is not null")
+    read = with_json(rows.select("path", "header"), "header", "json").where("json is not null").select("path", F.parse_json("json").alias("v"))
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for code, broken in family_rules(F.col("v"))]))
     return read.select(F.lit("families").alias("profile"), "path", F.explode(codes).alias("code"))

@@ -30,10 +30,16 @@ def classify_deltas(diff: DataFrame) -> DataFrame:
     return renames.unionByName(unclear).unionByName(gone).unionByName(new).unionByName(other)
 
 
-def snapshot_digest(rows: DataFrame, path: str = "path", sha: str = "sha256") -> DataFrame:
-    """One row: number of files, and a digest that changes with any path or content; per-file digests are combined by an order-free sum, so no task holds all."""
-    part = F.conv(F.substring(F.sha2(F.concat_ws("\n", path, sha), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.count(F.lit(1)).alias("files"), F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string")), 256).alias("digest"))
+def snapshot_digest(rows: DataFrame, path: str = "path", sha: str = "sha256", parts: int = 256) -> DataFrame:
+    """One row: number of files, and a SHA-256 of the digests of `parts` ranges, each the SHA-256 of its files' lines (path, NUL, digest) in order of path.
+
+    Ranges go by the hash of the path, so no task holds all files; the digest depends on neither order nor partitions.
+    """
+    line = F.concat_ws("\u0000", path, sha)
+    ranges = rows.groupBy(F.pmod(F.crc32(F.encode(path, "UTF-8")), F.lit(parts)).alias("part")).agg(F.count(F.lit(1)).alias("files"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    ranges = ranges.select("files", F.struct("part", F.sha2(F.encode("lines", "UTF-8"), 256).alias("digest")).alias("d"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("d")), lambda d: F.concat_ws(":", d["part"].cast("string"), d["digest"])), "\n")
+    return ranges.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.sha2(F.encode(whole, "UTF-8"), 256).alias("digest"))
 
 
 def apply_changes(previous: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:

@@ -1,24 +1,27 @@
-"""Validation rules over bundles of documents, boundary and data-loss checks on lines, citations, lifecycle and body preservation.
+"""Flat front matter, links and citations, boundary and data-loss checks on lines and payloads, and body preservation.
 
 A bundle is a table docs(path, text). Front matter is a leading block between lines of three dashes with flat `key: value` rows and lists.
-Diagnostics are (profile, path, code).
+The profiles of validation are in `validation`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 _HEADER = r"^---\n((?:(?!---\n)[^\n]*\n)*)---\n"
 
-# Kinds of statuses and pages.
-STATUSES = ["draft", "active", "deprecated", "archived"]
-HELPERS = ["index.md", "log.md"]
-CREDENTIAL_NAMES = ["password", "passwd", "secret", "token", "api_key", "apikey"]
-PLACEHOLDERS = ["example", "placeholder", "changeme", "redacted", "none", "null", "xxxx"]
-PROPRIETARY = ["confidential", "internal use only", "proprietary"]
+# Names of credentials, values that stand for none, what a text of the inside says.
+CREDENTIALS = ["api_key", "apikey", "api-key", "token", "secret", "password"]
+PLACEHOLDERS = ["null", "none", "undefined", "todo", "tbd", "changeme", "change-me", "placeholder", "redacted", "example", "dummy", "string", "number", "boolean", "unknown", "any"]
+INTERNAL_PATHS = ["tools/agents/", "docs/plans/", ".codex/skills/"]
+PROPRIETARY = ["prompt text", "scoring formula", "calibration value", "proprietary threshold"]
+
+# What a payload must not hold, by family.
+PAYLOAD_NAMES = ["api_key", "token", "secret", "password"]
+TOKEN_PREFIXES = ["sk-", "sk_", "xoxb-", "xoxp-", "glpat-", "github_pat_"]
 
 
 # --- front matter ----------------------------------------------------------------------------------------------------
@@ -43,63 +46,6 @@ def field(name: str) -> Column:
     return F.try_element_at("fields", F.lit(name))
 
 
-def _collect(rows: DataFrame, profile: str, rules: list[tuple[str, Column]]) -> DataFrame:
-    """One row for each rule that a document breaks, in one pass."""
-    codes = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for code, broken in rules]))
-    return rows.select(F.lit(profile).alias("profile"), "path", F.explode(codes).alias("code"))
-
-
-def base_profile(docs: DataFrame) -> DataFrame:
-    """Front matter that can be parsed, with a type that isn't blank; index pages with links under headings; log pages with dates in order."""
-    rows = split_front_matter(docs)
-    name = tx.file_name(F.col("path"))
-    plain = ~name.isin(HELPERS)
-    rules = [
-        ("missing-front-matter", plain & F.col("header").isNull() & ~F.startswith(F.coalesce("text", F.lit("")), F.lit("---\n"))), ("malformed-front-matter", F.startswith(F.coalesce("text", F.lit("")), F.lit("---\n")) & (F.col("header").isNull() | ~F.col("unique_keys"))),
-        ("missing-type", plain & F.col("header").isNotNull() & field("type").isNull()), ("blank-type", plain & (F.trim(field("type")) == "")), ("non-string-type", plain & field("type").rlike(r"^(?:\[.*|\{.*|-?[0-9]+(?:\.[0-9]+)?|true|false|null|~)$")),
-    ]
-    return _collect(rows, "base", rules).unionByName(index_rules(rows)).unionByName(log_rules(rows))
-
-
-def strict_profile(docs: DataFrame) -> DataFrame:
-    """Title, status, tags, dates, boundary, allowed fields and a body."""
-    rows = split_front_matter(docs)
-    plain = ~tx.file_name(F.col("path")).isin(HELPERS) & F.col("header").isNotNull()
-    allowed = ["type", "title", "status", "tags", "freshness", "timestamp", "authority", "canonical", "resource", "public_boundary", "owner", "supersedes", "predecessor", "description"]
-    unknown = F.size(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, allowed)))) > 0
-    rules = [
-        ("missing-title", plain & (F.trim(F.coalesce(field("title"), F.lit(""))) == "")), ("missing-status", plain & field("status").isNull()), ("invalid-status", plain & ~field("status").isin(STATUSES)),
-        ("missing-tags", plain & field("tags").isNull()), ("invalid-tags", plain & ~field("tags").rlike(r"^\[[a-z0-9, -]*\]$")), ("missing-freshness", plain & field("freshness").isNull() & field("timestamp").isNull()),
-        ("invalid-freshness", plain & ~tx.is_iso_date(field("freshness"))), ("invalid-boundary", plain & ~field("public_boundary").isin("public", "safe", "private")), ("unknown-field", plain & unknown),
-        ("canonical-without-authority", plain & (field("canonical") == "true") & field("authority").isNull() & field("resource").isNull()), ("empty-body", plain & (F.trim("body") == "")),
-    ]
-    return _collect(rows, "strict", rules)
-
-
-def index_rules(rows: DataFrame) -> DataFrame:
-    """Index pages: no link before the first heading, no heading without a link."""
-    lines = rows.where(tx.file_name(F.col("path")) == "index.md").select("path", F.posexplode(F.split("body", "\n")).alias("n", "line"))
-    heading, link = F.col("line").rlike("^#+ "), F.col("line").rlike(r"\]\([^)]+\)")
-    order = Window.partitionBy("path").orderBy("n")
-    grouped = lines.withColumns({"section": F.sum(heading.cast("int")).over(order), "is_link": link.cast("int")})
-    sections = grouped.groupBy("path", "section").agg(F.sum("is_link").alias("links"))
-    code = F.when((F.col("section") == 0) & (F.col("links") > 0), "index-link-before-heading").when((F.col("section") > 0) & (F.col("links") == 0), "index-empty-section")
-    return sections.select(F.lit("base").alias("profile"), "path", code.alias("code")).where("code is not null").distinct()
-
-
-def log_rules(rows: DataFrame) -> DataFrame:
-    """Log pages: headings are dates, strictly falling, none without an entry."""
-    lines = rows.where(tx.file_name(F.col("path")) == "log.md").select("path", F.posexplode(F.split("body", "\n")).alias("n", "line"))
-    heads = lines.where(F.col("line").rlike("^## ")).withColumn("date", F.trim(F.substring("line", 4, 100)))
-    order = Window.partitionBy("path").orderBy("n")
-    dated = heads.withColumns({"before": F.lag("date").over(order), "ok": tx.is_iso_date(F.col("date"))})
-    bad_date = dated.where("not ok").select("path", F.lit("log-invalid-date").alias("code"))
-    bad_order = dated.where("ok and before is not null and date >= before").select("path", F.lit("log-not-falling").alias("code"))
-    section = lines.withColumn("section", F.sum(F.col("line").rlike("^## ").cast("int")).over(order)).where("section > 0")
-    empty = section.groupBy("path", "section").agg(F.count_if(F.col("line").rlike(r"^\s*[-*] ")).alias("entries")).where("entries = 0").select("path", F.lit("log-empty-group").alias("code"))
-    return bad_date.unionByName(bad_order).unionByName(empty).distinct().select(F.lit("base").alias("profile"), "path", "code")
-
-
 # --- links, citations, lifecycle -----------------------------------------------------------------------------------
 
 
@@ -130,13 +76,6 @@ def bad_citations(docs: DataFrame) -> DataFrame:
     return both.select("path", "cited", "line", F.when(F.col("lines").isNull(), "citation-missing-file").when((F.col("line") > F.col("lines")) | (F.col("line") == 0), "citation-beyond-end").alias("code")).where("code is not null")
 
 
-def superseded_references(docs: DataFrame) -> DataFrame:
-    """(path, target): active documents that link to deprecated or archived ones."""
-    rows = split_front_matter(docs).select("path", field("status").alias("status"))
-    old = rows.where(F.col("status").isin("deprecated", "archived")).select(F.col("path").alias("target"))
-    return links(docs).join(rows.where("status = 'active'").select("path"), "path", "left_semi").join(old, "target", "left_semi").select("path", "target")
-
-
 def body_preservation(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, state): whether bodies without their headers are the same byte for byte in two bundles."""
     digest = lambda frame, name: split_front_matter(frame).select("path", F.sha2(F.encode("body", "UTF-8"), 256).alias(name))
@@ -147,14 +86,40 @@ def body_preservation(before: DataFrame, after: DataFrame) -> DataFrame:
 # --- lines: boundary and data loss -----------------------------------------------------------------------------------
 
 
+def _octets() -> str:
+    part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+    return rf"(?<![0-9.])(?:0*10\.{part}|0*192\.0*168|0*172\.0*(?:1[6-9]|2[0-9]|3[01]))\.{part}\.{part}(?![0-9.])"
+
+
+#: Text in which every quote that opens is closed; a backslash takes the next character within quotes only.
+_BALANCED = r"""^(?:[^'"`]|'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|`(?:[^`\\]|\\.)*+`)*+$"""
+_NO_VALUE = r"(?i)^(?:" + "|".join(PLACEHOLDERS) + r"|your[-_].*|replace[-_].*|[x*-]*)$"
+
+
+def _assigns(line: Column, start: Column, size: Column) -> Column:
+    """Whether the credential's name at a place (from 0) of a line is given a value that is no placeholder."""
+    before, tail = F.substring(line, 1, start), F.substring(line, start + size + 1, F.length(line))
+    quote = F.substring(before, -1, F.lit(1))
+    named = (start > 0) & quote.isin("'", '"') & F.startswith(tail, quote)
+    after = F.regexp_replace(F.when(named, F.substring(tail, 2, F.length(tail))).otherwise(tail), r"(?U)^\s+", "")
+    given = after.rlike(r"(?U)^(?::|=(?!\s*[=>]))")
+    value = F.regexp_replace(F.substring(after, 2, F.length(after)), r"(?U)^\s+", "")
+    quoted = value.rlike("^['\"`]")
+    token = F.trim(F.when(quoted, F.regexp_extract(value, "^(['\"`])((?:(?!\\1).)*)", 2)).otherwise(F.regexp_extract(value, r"(?U)^[^\s,;]*", 0)))
+    in_pattern = before.rlike(r"^(?:.*[=(\[{,:;!&|?])?\s*/[^/]*$") & F.substring(line, start + 1, F.length(line)).rlike(r"(?<!\\)/")
+    runtime = F.lower(value).rlike(r"^(?:process\.env\.|os\.environ\[|std::env::)")
+    real = ~token.rlike(r"^\$\{.*\}$") & ~F.regexp_replace(token, r"^[<>\[\]{}]+|[<>\[\]{}]+$", "").rlike(_NO_VALUE) & (F.regexp_count(token, F.lit("[A-Za-z0-9._%+/-]")) >= 6)
+    return ~before.rlike("[A-Za-z0-9_$-]$") & ~in_pattern & given & (before.rlike(_BALANCED) | named | runtime) & real
+
+
 def boundary_codes(line: Column) -> Column:
-    """Codes of a line: home paths, internal paths, proprietary words, private networks, credential assignments."""
-    names, fakes = "|".join(CREDENTIAL_NAMES), "|".join(PLACEHOLDERS)
-    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    private = rf"(?<![0-9.])(?:10\.{octet}\.{octet}\.{octet}|172\.(?:1[6-9]|2[0-9]|3[01])\.{octet}\.{octet}|192\.168\.{octet}\.{octet})(?![0-9.])"
-    assigned = rf"(?i)(?<![a-z0-9_])(?:{names})[\"']?\s*[:=]\s*[\"']?(?!(?:{fakes})|[<$\{{%*])[a-z0-9+/_.-]{{6,}}"
-    low = F.lower(line)
-    tests = [("credential-assignment", line.rlike(assigned)), ("home-path", line.rlike(r"(?:/home/|/Users/|C:\\Users\\)[A-Za-z0-9_.-]+")), ("internal-path", line.rlike(r"(?i)(?:^|[\s\"'(])(?:\\\\|//)[a-z0-9-]+\.(?:corp|internal|local)\b")), ("private-network", line.rlike(private)), ("proprietary-words", low.rlike("|".join(PROPRIETARY)))]
+    """Codes of a line, sorted: credential assignments, paths of the inside, home paths with a user and more, private networks, words of the inside."""
+    assigned = F.exists(tx.match_positions(line, "(?i)" + "|".join(CREDENTIALS)), lambda m: _assigns(line, m["start"], F.length(m["value"])))
+    low = tx.lower_ascii(line)
+    tests = [
+        ("credential_assignment", line.rlike("(?i)" + "|".join(CREDENTIALS)) & assigned), ("internal_agent_path", line.rlike("|".join(f"\\Q{x}\\E" for x in INTERNAL_PATHS))), ("private_home_path", line.rlike(r"/home/[^/]+/.|/Users/[^/]+/.|C:\\Users\\[^\\]+\\.")),
+        ("private_network_literal", line.rlike(_octets())), ("proprietary_scoring_language", low.rlike("|".join(PROPRIETARY))),
+    ]
     return F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in tests]))
 
 
@@ -166,8 +131,13 @@ def boundary_findings(docs: DataFrame, allowlist: DataFrame | None = None) -> Da
 
 
 def dlp_codes(text: Column) -> Column:
-    """Families of data that must not leave: private keys, key formats, credential words with values, addresses of persons."""
-    tests = [("private-key", F.contains(text, F.lit("PRIVATE KEY-----"))), ("key-format", text.rlike(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})")), ("assigned-secret", text.rlike("(?i)(?:token|secret|password|api_?key)[\"']? ?[:=] ?[\"'][^\"'\\s]{8,}[\"']")), ("email", text.rlike("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z]"))]
+    """Families that a payload holds: credentials with a sign after them, home paths, bearers and tokens, private keys."""
+    low = tx.lower_ascii(text)
+    names, prefixes = "|".join(PAYLOAD_NAMES), "|".join(TOKEN_PREFIXES)
+    tests = [
+        ("credential_assignment", low.rlike(rf'(?:{names})[=:]|"(?:{names})":')), ("private_home_path", F.contains(text, F.lit("/home/"))),
+        ("bearer_or_token", low.rlike(rf"bearer |gh[po]_|(?<![a-z0-9_-])(?=[a-z0-9_-]{{12}})(?:{prefixes})")), ("private_key", F.contains(text, F.lit("-----BEGIN PRIVATE KEY-----"))),
+    ]
     return F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in tests]))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import evidence_log, facts, incremental, packets, rules, symbols
+from ..operators.structural import number
 from ..session import table
 from ..sources import corpus, sql_gate
 
@@ -41,25 +42,6 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATH).alias("path"), F.expr(_TEXT).alias("text"))
 
 
-@query(
-    "rules_base",
-    f"with {_BUNDLE} select 'base' profile, path, 'missing-type' code from b where not regexp_matches(txt, '^---\\n(([^\\n]*\\n)*?)type:') or doc_id % 10 = 0",
-)
-def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base profile."""
-    return rules.base_profile(bundle(spark, sf_dir))
-
-
-@query(
-    "rules_strict",
-    f"with {_BUNDLE}, h as (select path, split_part(txt, '---' || chr(10), 2) h from b) select 'strict' profile, path, code from (select path, 'missing-title' code from h where not contains(h, 'title: ') union all select path, 'invalid-status' from h where contains(h, 'status: bogus') "
-    "union all select path, 'invalid-freshness' from h where try_cast(regexp_extract(h, 'freshness: ([0-9-]+)', 1) as date) is null)",
-)
-def rules_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strict profile."""
-    return rules.strict_profile(bundle(spark, sf_dir))
-
-
 @query("links_broken", f"with {_BUNDLE}, l as (select path, source_dir || '/doc-' || n || '.md' target from (select path, split_part(path, '/', 1) source_dir, unnest([doc_id + 20, doc_id + 40]) n from b)) select path, target from l where target not in (select path from b)")
 def links_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links to documents that aren't there."""
@@ -82,12 +64,6 @@ def citations_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.bad_citations(bundle(spark, sf_dir))
 
 
-@query("superseded_references", f"with {_BUNDLE} select a.path, t.path target from b a join b t on t.doc_id in (a.doc_id + 20, a.doc_id + 40) and t.doc_id % 5 = 0 where a.doc_id % 5 in (3, 4)")
-def superseded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active documents that link to deprecated ones; the bundle's links join documents of one kind, so there are none."""
-    return rules.superseded_references(bundle(spark, sf_dir))
-
-
 @query("body_preserved", f"with {_BUNDLE} select path, case when doc_id % 6 = 0 then 'changed' when doc_id % 11 = 0 then 'missing' else 'preserved' end state from b")
 def body_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies before and after a migration that rewrites headers, changes some bodies and loses some."""
@@ -97,35 +73,6 @@ def body_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.body_preservation(before, after)
 
 
-_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-
-
-@query(
-    "boundary_lines",
-    "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line from documents) select 'assigned' code, count(*) n from l where regexp_matches(line, '(^|[^A-Za-z0-9_])(password|passwd|secret|token|api_key|apikey)[\"'']?\\s*[:=]\\s*[\"'']?[a-z0-9+/_.-]{6,}', 'i')",
-)
-def boundary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that assign a credential."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    found = rules.boundary_findings(docs).where("code = 'credential-assignment'")
-    return found.agg(F.count(F.lit(1)).alias("n")).select(F.lit("assigned").alias("code"), "n")
-
-
-_DLP = "list_filter([case when regexp_matches(t, '(token|secret|password|api_?key)[\"'']? ?[:=] ?[\"''][^\"''\\s]{8,}[\"'']', 'i') then 'assigned-secret' end, case when regexp_matches(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z]') then 'email' end], lambda x: x is not null)"
-
-
-@query("dlp_documents", f"select doc_id, {_DLP} codes from (select doc_id, coalesce(text, '') t from documents)")
-def dlp_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Data-loss codes of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", rules.dlp_codes(F.coalesce("text", F.lit(""))).alias("codes"))
-
-
-@query("dlp_conversations", f"select code, count(*) n from (select unnest({_DLP}) code from (select coalesce(text, '') t from conversations)) group by code")
-def dlp_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many turns have each data-loss code."""
-    return table(spark, sf_dir, "conversations").select(F.explode(rules.dlp_codes(F.coalesce("text", F.lit("")))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- snapshots --------------------------------------------------------------------------------------------------------
 
 _OLD = "old as (select 'p' || doc_id path, sha256(coalesce(text, '')) s from documents where doc_id % 10 <> 1)"
@@ -168,7 +115,7 @@ def snapshot_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.apply_changes(old, changed, diff.where("state = 'removed'").select("path"))
 
 
-@query("snapshot_digest", f"with {_OLD}, p as (select sum(('0x' || substr(sha256(path || chr(10) || s), 1, 12))::ubigint) t, count(*) n from old) select n files, sha256(n || ':' || t::varchar) digest from p")
+@query("snapshot_digest")
 def snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest over all files that doesn't depend on their order."""
     return incremental.snapshot_digest(snapshots(spark, sf_dir)[0])
@@ -183,15 +130,14 @@ def store_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- evidence log ---------------------------------------------------------------------------------------------------
 
-_RANKED = "rk as (select 'q' || (doc_id % 9) request, source bundle, 'doc-' || doc_id locator, (doc_id % 13)::int rank, case doc_id % 4 when 0 then 'exact:path' when 1 then 'partial:path' else 'partial:body' end match_reason from documents where doc_id % 3 <> 0)"
+_RANKED = "rk as (select 'q' || (doc_id % 9) request, source bundle, 'doc-' || doc_id locator, (doc_id % 13)::int rank, case doc_id % 4 when 0 then 'exact:path' when 1 then 'partial:path' else 'partial:body' end match_reason from documents union all select 'q' || n_nationkey, 'gone', 'gone-' || n_nationkey, (n_nationkey % 13)::int, 'partial:path' from nation)"
 
 
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded rankings."""
-    key = F.col("doc_id")
-    return table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(
-        F.concat(F.lit("q"), (key % 9).cast("string")).alias("request"), F.col("source").alias("bundle"), F.concat(F.lit("doc-"), key.cast("string")).alias("locator"), (key % 13).cast("int").alias("rank"), F.when(key % 4 == 0, "exact:path").when(key % 4 == 1, "partial:path").otherwise("partial:body").alias("match_reason")
-    )
+    row = lambda name, key, bundle, prefix, reason: table(spark, sf_dir, name).select(F.concat(F.lit("q"), (F.col(key) % 9 if name == "documents" else F.col(key)).cast("string")).alias("request"), bundle.alias("bundle"), F.concat(F.lit(prefix), F.col(key).cast("string")).alias("locator"), (F.col(key) % 13).cast("int").alias("rank"), reason.alias("match_reason"))
+    kind = F.when(F.col("doc_id") % 4 == 0, "exact:path").when(F.col("doc_id") % 4 == 1, "partial:path").otherwise("partial:body")
+    return row("documents", "doc_id", F.col("source"), "doc-", kind).unionByName(row("nation", "n_nationkey", F.lit("gone"), "gone-", F.lit("partial:path")))
 
 
 @query("ranking_diff", f"with {_RANKED}, c as (select request, bundle, locator, case when rank = 5 then 6 else rank end rank, match_reason from rk where locator not like '%7') select coalesce(rk.bundle, c.bundle) bundle, coalesce(rk.locator, c.locator) locator, case when c.locator is null then 'removed' else 'changed' end \"change\" from rk full join c using (bundle, locator) where c.locator is null or rk.rank <> c.rank")
@@ -202,7 +148,7 @@ def ranking_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.ranking_differences(recorded, current, ["bundle", "locator"], ["rank", "match_reason"])
 
 
-_GAPS = f"""with {_RANKED}, docs as (select 'doc-' || doc_id locator, doc_id from documents where doc_id % 50 <> 1), lg as (select unnest(['term' || (doc_id % 4), 'word' || (doc_id % 3)]) item from documents where doc_id < 60),
+_GAPS = f"""with {_RANKED}, docs as (select 'doc-' || doc_id locator, doc_id from documents union all select 'note-' || s_suppkey, s_suppkey from supplier), lg as (select unnest(['term' || (doc_id % 4), 'word' || (doc_id % 3)]) item from documents),
 g as (select 'unanswered-term' kind, item, count(*) n from lg group by item union all select 'retrieved', locator, count(*) from rk group by locator union all select 'path-only', locator, count(*) from rk group by locator having bool_and(match_reason in ('exact:path', 'partial:path'))
 union all select 'never-retrieved', locator, 0 from docs where locator not in (select locator from rk) union all select 'unclassified', locator, 0 from docs where doc_id % 2 = 0 union all select 'stale', locator, 1 from docs where doc_id % 8 = 0
 union all select distinct 'missing-locator', locator, 0 from rk where locator not in (select locator from docs))"""
@@ -211,9 +157,9 @@ union all select distinct 'missing-locator', locator, 0 from rk where locator no
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the log shows to be missing."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("locator"), "doc_id")
-    log = docs.where("doc_id < 60").select(F.array(F.concat(F.lit("term"), (F.col("doc_id") % 4).cast("string")), F.concat(F.lit("word"), (F.col("doc_id") % 3).cast("string"))).alias("unmatched"))
-    there = docs.where("doc_id % 50 <> 1")
-    return evidence_log.gap_summary(log, rankings(spark, sf_dir), there.select("locator"), docs.where("doc_id % 2 <> 0").select("locator"), there.where("doc_id % 8 = 0").select("locator", F.lit("freshness").alias("code")))
+    there = docs.unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("note-"), F.col("s_suppkey").cast("string")).alias("locator"), F.col("s_suppkey").alias("doc_id")))
+    log = docs.select(F.array(F.concat(F.lit("term"), (F.col("doc_id") % 4).cast("string")), F.concat(F.lit("word"), (F.col("doc_id") % 3).cast("string"))).alias("unmatched"))
+    return evidence_log.gap_summary(log, rankings(spark, sf_dir), there.select("locator"), there.where("doc_id % 2 <> 0").select("locator"), there.where("doc_id % 8 = 0").select("locator", F.lit("freshness").alias("code")))
 
 
 @query("evidence_gaps", _GAPS + " select kind, item, n from g")
@@ -334,13 +280,12 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SYM = "sym as (select 'sym ' || p_brand || '/' || p_partkey || '().' symbol, lower(p_brand) name, p_partkey from part), occ as (select l_partkey p_partkey, 'order-' || l_orderkey path, l_linenumber start_line, l_linenumber % 4 = 0 is_def from lineitem)"
 
 
-@query("symbol_evidence", f"with {_SYM}, rk as (select 'order-' || o_orderkey path, row_number() over (order by o_orderkey) rank from orders qualify rank <= 200), e as (select rank, path, start_line, is_def definition, symbol from occ join sym using (p_partkey) join rk using (path) where name in ('brand#11', 'brand#12')) select row_number() over (order by rank, path, start_line, definition, symbol) position, * from e qualify position <= 64")
+@query("symbol_evidence", f"with {_SYM}, rk as (select 'order-' || o_orderkey path, row_number() over (order by o_totalprice desc, o_orderkey) rank from orders), e as (select rank, path, start_line, is_def definition, symbol from occ join sym using (p_partkey) join rk using (path) where name in ('brand#11', 'brand#12')) select row_number() over (order by rank, path, start_line, definition, symbol) position, * from e qualify position <= 64")
 def symbol_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of named symbols in ranked documents, the first 64."""
     sym = table(spark, sf_dir, "part").select(F.concat(F.lit("sym "), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit("().")).alias("symbol"), F.lower("p_brand").alias("name"), "p_partkey")
     occ = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_linenumber").alias("start_line"), (F.col("l_linenumber") % 4 == 0).alias("definition")).join(sym.select("p_partkey", "symbol"), "p_partkey")
-    orders = table(spark, sf_dir, "orders").orderBy("o_orderkey").limit(200)
-    ranked = orders.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("path"), F.row_number().over(Window.orderBy("o_orderkey")).alias("rank"))
+    ranked = number(table(spark, sf_dir, "orders"), [F.desc("o_totalprice"), F.asc("o_orderkey")], "rank").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("path"), "rank")
     return symbols.evidence(sym, occ, ranked, ["brand#11", "brand#12"], 64)
 
 
@@ -392,10 +337,11 @@ def first_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.min_by("source", "doc_id").alias("value"), F.min("doc_id").alias("ord"))
 
 
-_RUNS = "list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._-]+'), lambda r: regexp_replace(r, '^[-_.]+|[-_.]+$', '', 'g')), lambda r: r <> '')"
+_RUNS = "list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}._-]+'), lambda r: regexp_replace(r, '^[-_.]+|[-_.]+$', '', 'g')), lambda r: r <> '')"
+_ASCII = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-@query("query_entities", f"select doc_id, len(list_distinct(list_transform(list_filter(r, lambda x: length(x) >= 6 and regexp_matches(x, '[-_.]')), lambda x: lower(x)))) n_entities, len(list_distinct(list_filter(list_transform(list_filter(r, lambda x: not (length(x) >= 6 and regexp_matches(x, '[-_.]')) and length(x) >= 3), lambda x: lower(x)), lambda x: x not in ({', '.join(chr(39) + w + chr(39) for w in tx.STOP_WORDS)})))) n_terms from (select doc_id, {_RUNS} r from documents)")
+@query("query_entities", f"select doc_id, len(list_distinct(list_transform(list_filter(r, lambda x: octet_length(encode(x)) >= 6 and regexp_matches(x, '[-_.]')), lambda x: {_ASCII.format(x='x')}))) n_entities, len(list_distinct(list_filter(list_transform(list_filter(r, lambda x: not regexp_matches(x, '[-_.]') and octet_length(encode(x)) >= 3), lambda x: {_ASCII.format(x='x')}), lambda x: x not in ({', '.join(chr(39) + w + chr(39) for w in tx.QUERY_STOP_WORDS)})))) n_terms from (select doc_id, {_RUNS} r from documents)")
 def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities and terms of every document taken as a question."""
     text = F.coalesce("text", F.lit(""))
@@ -456,10 +402,10 @@ def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.count_if(size > 8192).alias("oversized"))
 
 
-@query("ignored_paths", "select doc_id, lang || '/' || case doc_id % 4 when 0 then 'node_modules/x.md' when 1 then 'tmp/keep.md' when 2 then 'tmp/a.md' else 'a.md' end path, doc_id % 4 in (0, 2) ignored from documents")
+@query("ignored_paths", "select doc_id, lang || '/' || case doc_id % 4 when 0 then case doc_id % 3 when 0 then 'node_modules/x.md' when 1 then 'vendor/a/x.md' else 'caches/x.md' end when 1 then 'tmp/keep.md' when 2 then 'tmp/a.md' else 'dist/a.md' end path, doc_id % 4 in (0, 2) ignored from documents")
 def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built-in folders, a rule, and its negation."""
-    path = F.concat("lang", F.lit("/"), F.when(F.col("doc_id") % 4 == 0, "node_modules/x.md").when(F.col("doc_id") % 4 == 1, "tmp/keep.md").when(F.col("doc_id") % 4 == 2, "tmp/a.md").otherwise("a.md"))
+    path = F.concat("lang", F.lit("/"), F.when(F.col("doc_id") % 4 == 0, F.when(F.col("doc_id") % 3 == 0, "node_modules/x.md").when(F.col("doc_id") % 3 == 1, "vendor/a/x.md").otherwise("caches/x.md")).when(F.col("doc_id") % 4 == 1, "tmp/keep.md").when(F.col("doc_id") % 4 == 2, "tmp/a.md").otherwise("dist/a.md"))
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), corpus.ignored(path, ["tmp", "!keep.md"]).alias("ignored"))
 
 

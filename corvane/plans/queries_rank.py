@@ -96,7 +96,7 @@ def fielded_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MANY_SQL = f"""
 with d as (select source || '/' || lang || '/doc-' || doc_id || '.md' path, {_terms_sql("coalesce(text, '')")} t from documents),
-q as (select distinct item_id question_id, unnest({_terms_sql('text')}[1:12]) term from benchmark),
+q as (select distinct item_id question_id, unnest({_terms_sql('text')}) term from benchmark),
 tf as (select path, len(t) dl, term, count(*) tf from (select path, t, unnest(t) term from d) where term in (select term from q) group by all),
 st as (select count(*) n, avg(len(t)) avgl from d), df as (select term, count(*) df from tf group by term),
 p as (select path, term, floor(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * 2.2::double * tf / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgl)) * 1000000)::bigint p from tf join df using (term), st),
@@ -107,8 +107,8 @@ select question_id, row_number() over (partition by question_id order by points
 
 @query("fielded_rank_many", MANY_SQL)
 def rank_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first terms of every benchmark item as a question, all ranked at once."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.slice(tx.terms(F.col("text")), 1, 12).alias("terms"))
+    """Every benchmark item as a question, all ranked at once."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), tx.terms(F.col("text")).alias("terms"))
     return fielded.rank_many(corpus.files_from_documents(table(spark, sf_dir, "documents")), asked)
 
 

@@ -145,7 +145,9 @@ def scan_tree(spark: SparkSession, root: str, glob: str | None = None, max_file_
     prefix = "^" + re.escape(root if "://" in root or root.startswith("file:") else f"file:{root}").replace("file:", "file:/*", 1).rstrip("/") + "/"
     path = F.regexp_replace("path", prefix.replace("file:/*/", "file:/+"), "")
     rows = raw.select(path.alias("path"), "content", F.col("length").alias("bytes")).where(~ignored(F.col("path")))
-    head_bad = F.instr(F.hex(F.substring("content", 1, 512)), "00") % 2 == 1
+    # a NUL byte, or no UTF-8, among the first 512 bytes; a character that the cut splits counts as none
+    head = F.substring("content", 1, 512)
+    head_bad = F.hex(head).rlike("^(?:[0-9A-F]{2})*?00") | ~F.is_valid_utf8(head.cast("string"))
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     kind = F.when(F.col("bytes") > max_file_bytes, F.when(head_bad, "unsupported-input").otherwise("oversized-input")).when(~valid, "unsupported-input")
     marked = rows.withColumn("kind", kind)
@@ -154,7 +156,7 @@ def scan_tree(spark: SparkSession, root: str, glob: str | None = None, max_file_
 
 
 # Folders that no scan enters.
-IGNORED = [".git", ".hg", ".svn", "node_modules", "target", "dist", "build", ".venv", "__pycache__"]
+IGNORED = [".git", ".bearing", "target", "node_modules", "vendor", "generated", "cache", "caches"]
 
 
 def ignored(path: Column, rules: list[str] | None = None) -> Column:

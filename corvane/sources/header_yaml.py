@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -56,14 +56,14 @@ def parse_header(header: str) -> dict:
             text = rows[at][1]
             if is_list:
                 rest = text[1:].strip()
-                if rest and re.match(r"[A-Za-z_][\w.-]*:(?:\s|$)", rest):
+                if rest and re.match(r"[A-Za-z0-9_][\w./-]*:(?:\s|$)", rest):
                     rows[at] = (indent + len(text) - len(rest), rest)
                     out.append(block(rows[at][0], depth + 1))
                     continue
                 at += 1
                 out.append(_scalar(rest) if rest else block(rows[at][0], depth + 1) if at < len(rows) and rows[at][0] > indent else None)
                 continue
-            match = re.match(r"([A-Za-z_][\w.-]*):(?:\s+(.*))?$", text)
+            match = re.match(r"([A-Za-z0-9_][\w./-]*):(?:\s+(.*))?$", text)
             if not match or match[1] in out:
                 raise HeaderError("no key, or a doubled one")
             at += 1
@@ -81,18 +81,15 @@ def parse_header(header: str) -> dict:
     return value
 
 
-def as_json(docs: DataFrame) -> DataFrame:
-    """(path, json) of (path, header) rows; json is null for a header that can't be read."""
-    ship(docs.sparkSession)
-
-    def one(header: str) -> str | None:
-        try:
-            return json.dumps(parse_header(header), ensure_ascii=False)
-        except HeaderError:
-            return None
+def _json_of(header: str | None) -> str | None:
+    try:
+        return None if header is None else json.dumps(parse_header(header), ensure_ascii=False)
+    except HeaderError:
+        return None
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "json": [one(h) for h in pdf["header"]]})
 
-    return docs.select("path", "header").mapInPandas(run, "path string, json string")
+def with_json(rows: DataFrame, header: str, out: str) -> DataFrame:
+    """Adds the header as JSON, null if there is none or it can't be read; only this column goes through Python."""
+    ship(rows.sparkSession)
+    read = F.pandas_udf(lambda column: column.map(_json_of), "string")
+    return rows.withColumn(out, read(F.col(header)))

@@ -1,18 +1,26 @@
-"""A repository's policy: allowed values, document classes, path rules; strict reading and cross-checks."""
+"""A repository's policy: which documents belong, which header fields and values they may have; strict reading and cross-checks."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..functions import text as tx
-from ..operators.rules import split_front_matter
 from .header_yaml import HeaderError, parse_header
 
 MAX_BYTES = 64 * 1024
-_LISTS = ["allowed_tags", "allowed_statuses", "allowed_boundaries", "required_fields", "optional_fields", "allowed_fields", "canonical_documents", "native_documents", "legacy_documents", "excluded_documents", "roots"]
+
+# Sections with their keys, lists of documents in the order of their classes, and classes of coverage.
+SECTIONS = {
+    "frontmatter": ["required", "optional", "allowed", "preserved_canonical_keys", "canonical_docs_frontmatter_state"],
+    "document_coverage": ["roots", "native_bundle", "canonical_documents", "legacy_documents", "excluded_documents", "bridge_targets"],
+    "source_links": ["require_prefix"],
+    "tags": ["allowed"],
+    "status": ["allowed"],
+    "public_boundary": ["values", "path_allowlist", "exact_allowlist"],
+}
+DOCUMENT_CLASSES = ["native_bundle", "canonical_documents", "legacy_documents", "bridge_targets", "excluded_documents"]
+COVERAGE = ["canonical", "legacy", "excluded", "unclassified"]
+MIGRATIONS = ["legacy_baseline", "strict"]
 
 
 class PolicyError(ValueError):
@@ -21,76 +29,106 @@ class PolicyError(ValueError):
 
 @dataclass(frozen=True)
 class Policy:
-    """Lists by name; a document is in one class at most."""
+    """Sections by name; a section that the policy lacks is absent, and checks that need it don't run."""
+
+    sections: dict[str, dict] = field(default_factory=dict)
+    coverage: tuple[str, ...] = ()
 
-    lists: dict[str, list[str]] = field(default_factory=dict)
-    strict_migration: bool = False
+    def has(self, section: str) -> bool:
+        """Whether the policy has a section."""
+        return section in self.sections
 
-    def get(self, name: str) -> list[str]:
-        """A list, empty if the policy lacks it."""
-        return self.lists.get(name, [])
+    def get(self, section: str, key: str, default=()):
+        """A value of a section, the default if the section or the key is absent."""
+        return self.sections.get(section, {}).get(key, default)
+
+    @property
+    def excluded(self) -> list[str]:
+        """Documents that are left out, whatever the reason."""
+        return sorted(self.get("document_coverage", "excluded_documents", {}))
 
     @property
-    def fields(self) -> list[str]:
-        """Fields that headers may have: required, optional and allowed ones."""
-        return sorted({*self.get("required_fields"), *self.get("optional_fields"), *self.get("allowed_fields")})
+    def classified(self) -> list[str]:
+        """Documents that the policy names as native, canonical or legacy."""
+        return sorted({p for name in DOCUMENT_CLASSES[:3] for p in self.get("document_coverage", name)})
+
+    def fields(self, canonical_only: bool = False) -> list[str]:
+        """Header fields that are allowed: required, optional and allowed ones, and for documents that are canonical only the preserved ones too."""
+        keys = ["required", "optional", "allowed", *["preserved_canonical_keys"] * canonical_only]
+        return sorted({x for key in keys for x in self.get("frontmatter", key)})
 
 
 def safe_path(path: str) -> bool:
-    """Whether a path is relative and stays below its root."""
-    return bool(path) and not path.startswith(("/", "~")) and "\\" not in path and ".." not in path.split("/") and ":" not in path
+    """Whether a path is relative to its root and doesn't leave it."""
+    drive = re.match(r"[A-Za-z]:", path)
+    return bool(path) and "\0" not in path and not drive and not path.startswith(("/", "\\")) and ".." not in path.split("/")
+
+
+def _strings(value: object, name: str) -> list[str]:
+    if not isinstance(value, list) or any(isinstance(x, dict | list) or x is None for x in value):
+        raise PolicyError(f"{name} must be a sequence of values")
+    return [str(x).lower() if isinstance(x, bool) else str(x) for x in value]
+
+
+def _paths(paths: list[str], name: str) -> None:
+    if not all(map(safe_path, paths)):
+        raise PolicyError(f"{name} holds an unsafe path")
+    if len(set(paths)) < len(paths):
+        raise PolicyError(f"{name} holds a path twice")
 
 
 def parse_policy(text: str) -> Policy:
-    """The policy in a text; raises PolicyError for unknown keys, wrong shapes, unsafe paths and documents of several classes."""
+    """The policy in a text; raises PolicyError for unknown keys, wrong shapes, unsafe or doubled paths and documents of several classes."""
     if len(text.encode()) > MAX_BYTES:
         raise PolicyError("too large")
     try:
         raw = parse_header(text)
     except HeaderError as reason:
-        raise PolicyError(str(reason)) from None
-    unknown = set(raw) - {*_LISTS, "version", "strict_migration"}
+        raise PolicyError(f"malformed: {reason}") from None
+    if str(raw.get("schema_version")) != "1":
+        raise PolicyError("schema_version must be 1")
+    unknown = set(raw) - {*SECTIONS, "schema_version", "coverage"}
     if unknown:
-        raise PolicyError(f"unknown key {sorted(unknown)[0]}")
-    if raw.get("version") != 1:
-        raise PolicyError("version")
-    lists = {}
-    for name in _LISTS:
-        value = raw.get(name, [])
-        if not isinstance(value, list) or not all(isinstance(x, str) and x for x in value) or len(set(value)) < len(value):
-            raise PolicyError(f"{name} must be a list of different strings")
-        if name.endswith("_documents") and not all(map(safe_path, value)):
-            raise PolicyError(f"{name} holds an unsafe path")
-        lists[name] = value
+        raise PolicyError(f"unknown field {sorted(unknown)[0]}")
+    coverage = _strings(raw.get("coverage", []), "coverage")
+    if set(coverage) - set(COVERAGE):
+        raise PolicyError("an unknown class of coverage")
+    sections: dict[str, dict] = {}
+    for name, keys in SECTIONS.items():
+        if name not in raw:
+            continue
+        if not isinstance(raw[name], dict):
+            raise PolicyError(f"{name} must be a mapping")
+        if set(raw[name]) - set(keys):
+            raise PolicyError(f"unknown field in {name}")
+        own = {}
+        for key, value in raw[name].items():
+            if key in ("require_prefix", "canonical_docs_frontmatter_state"):
+                if not isinstance(value, str):
+                    raise PolicyError(f"{name}.{key} must be a string")
+                own[key] = value
+            elif key in ("excluded_documents", "exact_allowlist"):
+                if not isinstance(value, dict):
+                    raise PolicyError(f"{name}.{key} must be a mapping")
+                own[key] = value
+            else:
+                own[key] = _strings(value, f"{name}.{key}")
+        sections[name] = own
+    if sections.get("frontmatter", {}).get("canonical_docs_frontmatter_state", MIGRATIONS[0]) not in MIGRATIONS:
+        raise PolicyError("an unknown state of migration")
+    covered = sections.get("document_coverage", {})
+    _paths(covered.get("roots", []), "roots")
+    _paths(sections.get("public_boundary", {}).get("path_allowlist", []), "path_allowlist")
     seen: dict[str, str] = {}
-    for name in _LISTS:
-        if name.endswith("_documents"):
-            for path in lists[name]:
-                if path in seen:
-                    raise PolicyError(f"{path} is in {seen[path]} and in {name}")
-                seen[path] = name
-    return Policy(lists, raw.get("strict_migration") is True)
-
-
-def policy_diagnostics(docs: DataFrame, policy: Policy) -> DataFrame:
-    """(profile, path, code): fields and values against the policy, configured documents that are missing, documents that no class has, legacy ones under strict migration."""
-    spark = docs.sparkSession
-    rows = split_front_matter(docs)
-    has = F.col("header").isNotNull()
-    values = lambda k: F.try_element_at("fields", F.lit(k))
-    texts = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    tags = F.split(F.regexp_replace(F.coalesce(values("tags"), F.lit("")), r"^\[|\]$", ""), r"\s*,\s*")
-    no = F.lit(False)
-    rules = [
-        ("fm-required", has & (F.size(F.array_except(texts(policy.get("required_fields")), F.map_keys("fields"))) > 0)), ("fm-disallowed", has & (F.size(F.array_except(F.map_keys("fields"), texts(policy.fields))) > 0) if policy.fields else no),
-        ("tag-value", has & values("tags").isNotNull() & (F.size(F.array_except(tags, texts(policy.get("allowed_tags")))) > 0) if policy.get("allowed_tags") else no), ("status", has & ~F.coalesce(values("status").isin(policy.get("allowed_statuses")), no) if policy.get("allowed_statuses") else no),
-        ("boundary-value", has & ~F.coalesce(values("public_boundary").isin(policy.get("allowed_boundaries")), no) if policy.get("allowed_boundaries") else no), ("migration-strict-legacy", F.col("path").isin(policy.get("legacy_documents")) if policy.strict_migration and policy.get("legacy_documents") else no),
-    ]
-    codes = F.array_compact(F.array(*[F.when(F.coalesce(broken, no), F.lit(code)) for code, broken in rules]))
-    out = rows.select(F.lit("policy").alias("profile"), "path", F.explode(codes).alias("code"))
-    classed = [p for name in _LISTS if name.endswith("_documents") for p in policy.get(name)]
-    named = spark.createDataFrame([(p,) for p in classed], "path string")
-    missing = named.join(docs.select("path"), "path", "left_anti").select(F.lit("policy").alias("profile"), "path", F.lit("doc-missing").alias("code"))
-    under = docs.select("path").where(F.lit(False) if not policy.get("roots") else tx.directory(F.col("path")).rlike("^(?:" + "|".join(f"\\Q{r}\\E" for r in policy.get("roots")) + ")(?:/|$)"))
-    unclassified = under.join(named, "path", "left_anti").select(F.lit("policy").alias("profile"), "path", F.lit("doc-unclassified").alias("code"))
-    return out.unionByName(missing).unionByName(unclassified)
+    for name in DOCUMENT_CLASSES:
+        paths = list(covered.get(name, []))
+        _paths(paths, name)
+        for path in paths:
+            if path in seen:
+                raise PolicyError(f"{path} is in {seen[path]} and in {name}")
+            seen[path] = name
+    if any(not str(reason or "").strip() for reason in covered.get("excluded_documents", {}).values()):
+        raise PolicyError("an exclusion without a reason")
+    if set(sections.get("public_boundary", {}).get("exact_allowlist", {})) - set(covered.get("bridge_targets", [])):
+        raise PolicyError("an exact allowlist for a path that is no bridge target")
+    return Policy(sections, tuple(coverage))

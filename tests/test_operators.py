@@ -156,18 +156,6 @@ def test_log_refuses_when_full(spark):
         append(log, spark.createDataFrame([("new", ["r"])], log.schema))
 
 
-def test_header_rules(spark):
-    docs = spark.createDataFrame([("a.md", "---\ntype: note\ntitle: A\nstatus: active\ntags: [a, b]\nfreshness: 2024-02-29\n---\nbody"), ("b.md", "no header"), ("c.md", "---\ntype: 5\n---\nx"), ("index.md", "[a](a.md)\n# H\n"), ("log.md", "## 2024-01-02\n- x\n## 2024-01-03\n"), ("d.md", "---\ntype: a\ntype: b\n---\n")], "path string, text string")
-    base = {(r["path"], r["code"]) for r in rules.base_profile(docs).collect()}
-    assert base == {("b.md", "missing-front-matter"), ("c.md", "non-string-type"), ("d.md", "malformed-front-matter"), ("index.md", "index-link-before-heading"), ("index.md", "index-empty-section"), ("log.md", "log-not-falling"), ("log.md", "log-empty-group")}
-    assert not [r for r in rules.strict_profile(docs).collect() if r["path"] == "a.md"]
-
-
-@pytest.mark.parametrize(("line", "codes"), [("see /home/ann/x", ["home-path"]), ("at 192.168.1.7 now", ["private-network"]), ("password = hunter2secret", ["credential-assignment"]), ("password = <your-password>", []), ("token: example-token", []), ("plain", []), ("1192.168.1.70.1", [])])
-def test_boundary_codes(spark, line, codes):
-    assert values(spark, rules.boundary_codes(F.lit(line))) == codes
-
-
 def test_declared_and_inferred_facts(spark):
     docs = spark.createDataFrame([("src/a.py", "def f(x):\n    pass\nimport os\n"), ("b.md", "---\ntags: [x, y]\nstatus: active\n---\n# Head\n")], "path string, text string")
     found = {(r["path"], r["key"], r["value"]) for r in facts.declared(docs).unionByName(facts.inferred(docs)).collect()}
@@ -302,20 +290,8 @@ def test_tiers_in_a_packet(spark):
     assert (row["selected"], row["omitted"], row["failed"]) == (["b", "c", "a"], ["d"], None)
 
 
-@pytest.mark.parametrize(("compressed", "codes", "out"), [(None, [], "unavailable"), ("keep k1", ["email"], "refused-data-loss"), ("lost", [], "refused-anchor"), ("k1 " + "x" * 60, [], "refused-size"), ("k1", [], "admitted"), ("k1 a longer one", [], "not-smaller")])
+@pytest.mark.parametrize(("compressed", "codes", "out"), [(None, [], "unavailable"), ("keep k1", ["private_key"], "refused-data-loss"), ("lost", [], "refused-anchor"), ("k1 " + "x" * 60, [], "refused-size"), ("k1", [], "admitted"), ("k1 a longer one", [], "not-smaller")])
 def test_compression_fails_closed(spark, compressed, codes, out):
     cell = F.lit(compressed).cast("string")
     listed = F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")
     assert values(spark, packets.compression_outcome(F.lit("k1 payload xy"), cell, F.array(F.lit("k1")), 40, listed)) == out
-
-
-def test_policies(spark):
-    from corvane.sources import policy
-
-    text = "version: 1\nallowed_tags: [a, b]\nrequired_fields: [type]\nallowed_fields: [tags]\ncanonical_documents: [docs/a.md, docs/gone.md]\nlegacy_documents: [docs/old.md]\nroots: [docs]\nstrict_migration: true"
-    found = policy.parse_policy(text)
-    docs = spark.createDataFrame([("docs/a.md", "---\ntype: x\ntags: [a, z]\n---\n"), ("docs/old.md", "---\nother: 1\n---\n"), ("docs/new.md", "---\ntype: y\n---\n"), ("else/n.md", "plain")], "path string, text string")
-    assert {(r["path"], r["code"]) for r in policy.policy_diagnostics(docs, found).collect()} == {("docs/a.md", "tag-value"), ("docs/old.md", "fm-required"), ("docs/old.md", "fm-disallowed"), ("docs/old.md", "migration-strict-legacy"), ("docs/gone.md", "doc-missing"), ("docs/new.md", "doc-unclassified")}
-    for bad in ("version: 2", "version: 1\nnope: 1", "version: 1\nroots: x", "version: 1\ncanonical_documents: [../x]", "version: 1\ncanonical_documents: [a]\nlegacy_documents: [a]"):
-        with pytest.raises(policy.PolicyError):
-            policy.parse_policy(bad)

@@ -58,17 +58,18 @@ def test_flagship(spark, sf):
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
 
 
-@pytest.mark.parametrize("name", ["view_filter_tree", "fielded_rank_plain", "graph_related", "scan_deltas", "rules_strict"])
+@pytest.mark.parametrize("name", ["view_filter_tree", "fielded_rank_plain", "graph_related", "scan_deltas", "validate_strict"])
 def test_order_of_input_rows_changes_nothing(name, spark, sf, monkeypatch):
     import corvane.plans.queries_graph as qg
     import corvane.plans.queries_ops as qo
     import corvane.plans.queries_rank as qr
+    import corvane.plans.queries_rules as qu
     import corvane.plans.star_graph as sg
     from corvane import session
 
     before = sorted(map(str, QUERIES[name](spark, sf).collect()))
     mixed = lambda s, d, n: session.table(s, d, n).repartition(7).orderBy(session.F.rand(3))
-    for module in (qg, qo, qr, sg):
+    for module in (qg, qo, qr, qu, sg):
         if hasattr(module, "table"):
             monkeypatch.setattr(module, "table", mixed)
     assert sorted(map(str, QUERIES[name](spark, sf).collect())) == before
