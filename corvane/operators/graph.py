@@ -103,34 +103,51 @@ def consumers(edges: DataFrame, target: str) -> DataFrame:
 # --- searches ---------------------------------------------------------------------------------------------------------
 
 
-def search(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | None = None, backward: bool = False, carry: list[str] | None = None) -> tuple[DataFrame, bool]:
+#: Rows of a level that are numbered in one window; larger ones are numbered by ranges of a sorted table.
+WINDOW_ROWS = 1 << 16
+
+
+def _numbered(level: DataFrame, order: list[str], n_rows: int, start: int) -> DataFrame:
+    """A level with discovery numbers after `start`."""
+    if n_rows > WINDOW_ROWS:
+        from .structural import number
+
+        return number(level, [F.asc(c) for c in order], "discovery").withColumn("discovery", F.col("discovery") + start)
+    return level.withColumn("discovery", (F.row_number().over(Window.orderBy(*order)) + start).cast("long"))
+
+
+def search(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | None = None, backward: bool = False, carry: list[str] | None = None, ordered: bool = True, target: str | None = None) -> tuple[DataFrame, bool]:
     """(id, depth, parent, edge_id, discovery and `carry`) of what seeds (id and `carry`) reach over `edges`, and whether a bound stopped it.
 
-    Of several edges to a node the one from the parent discovered first counts, then the least edge id. Discovery numbers are those of a queue.
+    Of several edges to a node the one from the parent discovered first counts, then the least edge id. Discovery numbers are those of a queue;
+    without `ordered` they are 0 and the least parent counts. A `target` ends the search with the level that has it.
     """
     carry = carry or []
     here, there = ("dst", "src") if backward else ("src", "dst")
-    first = F.row_number().over(Window.orderBy("id"))
-    seen = cut(seeds.select("id", *carry).withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "edge_id": F.lit(None).cast("string"), "discovery": first.cast("long")}))
-    frontier, n_seen = seen, seen.count()
-    n_seeds, stopped = n_seen, False
+    seen = cut(seeds.select("id", *carry).withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "edge_id": F.lit(None).cast("string")}))
+    n_seen = seen.count()
+    seen = _numbered(seen, ["id"], n_seen, 0) if ordered else seen.withColumn("discovery", F.lit(0).cast("long"))
+    frontier, n_seeds, stopped = seen, n_seen, False
     for depth in range(1, max_depth + 2):
         step = frontier.select(F.col("id").alias(here), F.col("discovery").alias("from_discovery"), *carry).join(edges.select("id", here, there), here)
         new = step.join(seen.select(F.col("id").alias(there)), there, "left_anti")
-        # the least (parent's discovery, edge) of each new node; the aggregate is partial before its shuffle
-        new = new.groupBy(F.col(there).alias("node")).agg(F.min(F.struct("from_discovery", "id", F.col(here).alias("parent"), *carry)).alias("b"))
-        order = Window.orderBy("b.from_discovery", "b.id", "node")
-        new = new.select(F.col("node").alias("id"), *[F.col(f"b.{c}").alias(c) for c in carry], F.lit(depth).alias("depth"), F.col("b.parent").alias("parent"), F.col("b.id").alias("edge_id"), (F.row_number().over(order) + n_seen).cast("long").alias("discovery"))
         if depth > max_depth:
             return seen, stopped or not new.isEmpty()
-        new = cut(new)
+        # the least (parent's discovery, edge) of each new node; the aggregate is partial before its shuffle
+        first = F.struct("from_discovery", F.col(here).alias("parent"), "id", *carry) if not ordered else F.struct("from_discovery", "id", F.col(here).alias("parent"), *carry)
+        new = new.groupBy(F.col(there).alias("node")).agg(F.min(first).alias("b"))
+        new = cut(new.select(F.col("node").alias("id"), *[F.col(f"b.{c}").alias(c) for c in carry], F.lit(depth).alias("depth"), F.col("b.parent").alias("parent"), F.col("b.id").alias("edge_id"), F.col("b.from_discovery").alias("from_discovery")))
         n_new = new.count()
+        if not n_new:
+            return seen, stopped
+        new = _numbered(new, ["from_discovery", "edge_id", "id"], n_new, n_seen) if ordered or max_nodes is not None else new.withColumn("discovery", F.lit(0).cast("long"))
+        new = new.drop("from_discovery")
         if max_nodes is not None and n_seen - n_seeds + n_new > max_nodes:
             new = new.where(F.col("discovery") <= n_seeds + max_nodes)
             return seen.unionByName(new), True
-        if not n_new:
-            return seen, stopped
         seen, frontier, n_seen = seen.unionByName(new), new, n_seen + n_new
+        if target is not None and not new.where(F.col("id") == target).isEmpty():
+            return seen, stopped
     return seen, stopped
 
 
@@ -143,17 +160,17 @@ def impact(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int, max_r
 
 def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int, backward: bool = False) -> DataFrame:
     """(id, depth): the least number of edges from any seed, up to max_depth."""
-    return search(edges, seeds, max_depth, backward=backward)[0].select("id", "depth")
+    return search(edges, seeds, max_depth, backward=backward, ordered=False)[0].select("id", "depth")
 
 
 def reachability(nodes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(id, outcome, reason, depth, truncated) of every node: one search from all entrypoints, one from the ends of uncertain edges."""
     known = edges.where("certainty = 'known'")
-    near, cut_short = search(known, nodes.where("role = 'entrypoint'").select("id"), max_depth)
+    near, cut_short = search(known, nodes.where("role = 'entrypoint'").select("id"), max_depth, ordered=False)
     depth_of = near.select("id", F.col("depth").alias("known_depth"))
     doubtful = edges.where("certainty <> 'known'")
     ends = doubtful.select(F.col("src").alias("id")).unionByName(doubtful.select(F.col("dst").alias("id"))).join(nodes.select("id"), "id", "left_semi").distinct()
-    tainted, taint_short = search(edges, ends, max_depth)
+    tainted, taint_short = search(edges, ends, max_depth, ordered=False)
     rows = nodes.join(depth_of, "id", "left").join(tainted.select("id", F.lit(True).alias("tainted")), "id", "left")
     bounded_search = F.lit(cut_short)
     partial = has_fact("coverage", "partial")
@@ -178,16 +195,17 @@ def trail(nodes: DataFrame, edges: DataFrame, start: str, target: str, max_depth
     known = edges.where("certainty = 'known'")
     # the order of a queue whose steps are sorted by (target, edge)
     keyed = known.withColumn("id", F.concat_ws("\u0000", "dst", "id"))
-    found, _ = search(keyed, nodes.where(F.col("id") == start).select("id"), max_depth)
-    found = cut(found)
-    at, rows = target, []
-    while at is not None and len(rows) <= max_depth:
-        row = found.where(F.col("id") == at).first()
-        if row is None:
-            break
-        rows.append((row["depth"] + 1, row["id"], row["edge_id"].split("\u0000")[1] if row["edge_id"] else None))
-        at = row["parent"]
-    return nodes.sparkSession.createDataFrame(rows[::-1], "position int, id string, edge_id string")
+    found, _ = search(keyed, nodes.where(F.col("id") == start).select("id"), max_depth, target=target)
+    end = found.where(F.col("id") == target).select("id", "depth", "parent", "edge_id").limit(1)
+    last = end.first()
+    if last is None:
+        return nodes.sparkSession.createDataFrame([], "position int, id string, edge_id string")
+    # the way back joins as often as there are steps, one row each time
+    rows = step = end
+    for _ in range(last["depth"]):
+        step = found.select("id", "depth", "parent", "edge_id").join(F.broadcast(step.select(F.col("parent").alias("id"))), "id")
+        rows = rows.unionByName(step)
+    return rows.select((F.col("depth") + 1).alias("position"), "id", F.get(F.split("edge_id", "\u0000"), F.lit(1)).alias("edge_id"))
 
 
 def dependency_closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 4, max_nodes: int = 256) -> tuple[DataFrame, bool]:

@@ -1,38 +1,16 @@
-"""Structural ranking, traversal, lineage rules and packet tiers."""
+"""Numbering in a total order, lineage rules and packet tiers of structural nodes; ranking and traversal are in `stages`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import model as M
 from ..session import cut
 
-# Orders of the rank key's parts.
-AUTHORITIES = ["canonical", "supporting", "derived", "unknown"]
-LIFECYCLES = ["current", "superseded", "draft"]
+# Tiers of a packet in their order.
 TIERS = ["primary-canonical", "required-dependency", "conflict-or-superseded", "follow-up"]
 
 
-def rank(nodes: DataFrame, required_domains: list[str], limit: int, evidence_kinds: list[str] | None = None) -> DataFrame:
-    """Adds position, eligible, contribution, frequency, capped, selected.
-
-    nodes: id, domains, lifecycle, authority, generated_status, raw, and kinds if evidence_kinds are given. Order: eligibility, authority, lifecycle,
-    contribution falling, capped frequency falling, id. Only the head of the order is numbered in one place: positions come from
-    ranges of a sorted table.
-    """
-    required = F.array(*map(F.lit, required_domains)) if required_domains else F.array().cast("array<string>")
-    contribution = F.size(F.array_intersect("domains", required))
-    if evidence_kinds:
-        contribution = contribution + F.size(F.array_intersect("kinds", F.array(*map(F.lit, evidence_kinds))))
-    eligible = ~((F.col("generated_status") == "generated") | (F.col("lifecycle") == "draft"))
-    rows = nodes.withColumns({"eligible": eligible, "contribution": contribution, "frequency": F.least("raw", F.lit(M.FREQUENCY_CAP)), "capped": F.col("raw") > M.FREQUENCY_CAP})
-    order = [F.desc("eligible"), F.asc(M.ordinal(F.col("authority"), AUTHORITIES)), F.asc(M.ordinal(F.col("lifecycle"), LIFECYCLES)), F.desc("contribution"), F.desc("frequency"), F.asc("id")]
-    numbered = number(rows, order, "position")
-    # eligible nodes come first, so their count is their position
-    return numbered.withColumn("selected", F.col("eligible") & (F.col("position") <= limit))
-
-
 def number(rows: DataFrame, order: list, name: str) -> DataFrame:
     """Adds the place of each row in a total order, from 1, without one task for all: ranges are sorted apart, and each begins after those before it."""
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
@@ -61,50 +39,6 @@ def generated_from_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where("kind = 'generated-from'").join(nodes.where("role = 'source'").select(F.col("id").alias("dst")), "dst", "left_anti")
 
 
-def predecessors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Superseded nodes with a known lineage edge to or from a current one."""
-    current = nodes.where("lifecycle = 'current'").select("id")
-    lineage = edges.where(F.col("kind").isin("supersedes", "predecessor") & (F.col("certainty") == "known"))
-    ends = lineage.join(current.toDF("src"), "src", "left_semi").select(F.col("dst").alias("id")).unionByName(lineage.join(current.toDF("dst"), "dst", "left_semi").select(F.col("src").alias("id")))
-    return nodes.where("lifecycle = 'superseded'").join(ends.distinct(), "id", "left_semi")
-
-
-def direct_kinds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id, kinds): kinds of known edges between each node and any seed."""
-    known = edges.where("certainty = 'known'")
-    ahead = known.join(seeds.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), "kind")
-    back = known.join(seeds.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), "kind")
-    return ahead.unionByName(back).groupBy("id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-
-
-def traverse(edges: DataFrame, seeds: DataFrame, kinds: list[str], max_depth: int, max_nodes: int, max_edges: int) -> tuple[DataFrame, str]:
-    """(id, depth, discovery) over allowed kinds in both directions, and why it ended: complete, depth, nodes or edges.
-
-    Edges are inspected in the order kind, source, target, locator, id within a level; the bound on inspected edges ends it.
-    """
-    from .graph import search
-
-    allowed = edges.where(F.col("kind").isin(kinds))
-    keyed = allowed.withColumn("id", F.concat_ws("\u0000", "kind", "src", "dst", "locator", "id"))
-    both = cut(keyed.select("id", "src", "dst").unionByName(keyed.select("id", F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    if both.limit(2 * max_edges + 1).count() > 2 * max_edges:
-        # the bound may end it early: only edges of levels before the one that exceeds it count
-        level, inspected = 0, 0
-        found, stopped = search(both, seeds, 0, max_nodes)
-        while level < max_depth:
-            reached = both.join(found.select(F.col("id").alias("src")), "src", "left_semi").count()
-            if reached > max_edges:
-                return found.select("id", "depth", "discovery"), "edges"
-            level, inspected = level + 1, reached
-            found, stopped = search(both, seeds, level, max_nodes)
-        return found.select("id", "depth", "discovery"), "depth" if stopped else "complete"
-    found, stopped = search(both, seeds, max_depth, max_nodes)
-    end = "complete"
-    if stopped:
-        end = "nodes" if found.count() >= max_nodes + seeds.count() else "depth"
-    return found.select("id", "depth", "discovery"), end
-
-
 def packet_tier():
     """The tier of a structural node by authority and lifecycle."""
     return F.when((F.col("authority") == "canonical") & (F.col("lifecycle") == "current"), TIERS[0]).when(F.col("lifecycle") == "superseded", TIERS[2]).when(F.col("lifecycle") == "current", TIERS[1]).otherwise(TIERS[3])

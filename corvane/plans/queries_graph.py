@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, packets, structural, views
+from ..operators import graph, packets, views
 from ..session import cut
 from .star_graph import EDGES_SQL, NODES_SQL, edges, nodes
 
@@ -257,67 +257,7 @@ def budget_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.take_until(rows, [F.desc("ts"), F.asc("event_id")], 300, 5_000, F.octet_length("props") + 1).select("position", "event_id", "total_bytes", "truncated")
 
 
-# --- structural graph -------------------------------------------------------------------------------------------------
-
-_SNODES = """snodes as (select 'part:' || p_partkey id, p_brand domain, case p_partkey % 5 when 0 then 'superseded' when 1 then 'draft' else 'current' end lifecycle, case p_partkey % 4 when 0 then 'canonical' when 1 then 'supporting' when 2 then 'derived' else 'unknown' end authority,
- case when p_partkey % 6 = 0 then 'generated' else 'authored' end generated_status, p_partkey % 900 raw from part)"""
-
-
-def snodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as structural nodes."""
-    from ..session import table
-
-    key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("part:"), key.cast("string")).alias("id"), F.array("p_brand").alias("domains"), F.when(key % 5 == 0, "superseded").when(key % 5 == 1, "draft").otherwise("current").alias("lifecycle"),
-        F.when(key % 4 == 0, "canonical").when(key % 4 == 1, "supporting").when(key % 4 == 2, "derived").otherwise("unknown").alias("authority"), F.when(key % 6 == 0, "generated").otherwise("authored").alias("generated_status"), (key % 900).alias("raw"),
-    )
-
-
-@query(
-    "stage_ranking",
-    f"with {_SNODES}, k as (select id, case when generated_status = 'generated' or lifecycle = 'draft' then 1 else 0 end eligibility, case authority when 'canonical' then 0 when 'supporting' then 1 when 'derived' then 2 else 3 end a, case lifecycle when 'current' then 0 when 'superseded' then 1 else 2 end l, "
-    "case when domain in ('Brand#11', 'Brand#12', 'Brand#13') then 1 else 0 end contribution, least(raw, 500) frequency, raw > 500 capped from snodes), o as (select *, row_number() over (order by eligibility, a, l, contribution desc, frequency desc, id) position from k), "
-    "s as (select *, sum(case when eligibility = 0 then 1 else 0 end) over (order by position) taken from o) select position, id, eligibility = 0 eligible, contribution, frequency, capped, eligibility = 0 and taken <= 25 selected from s",
-)
-def stage_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes by the rank key; the first 25 eligible ones are selected."""
-    ranked = structural.rank(snodes(spark, sf_dir), ["Brand#11", "Brand#12", "Brand#13"], limit=25)
-    return ranked.select("position", "id", "eligible", "contribution", "frequency", "capped", "selected")
-
-
-@query(
-    "missing_domains",
-    f"with {_SNODES} select list(d order by d) missing from (select unnest(['Brand#11', 'Brand#12', 'Nope#1']) d) where d not in (select domain from snodes where lifecycle = 'current')",
-)
-def missing_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required domains that no current node covers."""
-    return structural.missing_domains(snodes(spark, sf_dir).where("lifecycle = 'current'"), ["Brand#11", "Brand#12", "Nope#1"])
-
-
-@query("lineage_reciprocity", "with s as (select ps_a, ps_b from (values (1, 2), (2, 3), (4, 5)) t(ps_a, ps_b)), p as (select * from (values (1, 2), (4, 5), (6, 7)) t(a, b)) select 'supersedes-without-predecessor' rule, 'n' || ps_a src, 'n' || ps_b dst from s where (ps_a, ps_b) not in (select a, b from p) union all select 'predecessor-without-supersedes', 'n' || a, 'n' || b from p where (a, b) not in (select ps_a, ps_b from s)")
-def lineage_reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineage edges without their counterpart."""
-    rows = [("supersedes", 1, 2), ("supersedes", 2, 3), ("supersedes", 4, 5), ("predecessor", 1, 2), ("predecessor", 4, 5), ("predecessor", 6, 7)]
-    e = spark.createDataFrame([(k, f"n{a}", f"n{b}") for k, a, b in rows], "kind string, src string, dst string")
-    return structural.lineage_reciprocity(e)
-
-
-@query("structural_traversal")
-def structural_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An undirected search with bounds on depth, nodes and inspected edges."""
-    e = edges(spark, sf_dir).where("certainty = 'known'").select("id", F.col("relationship").alias("kind"), "src", "dst", F.lit("").alias("locator"))
-    return structural.traverse(e, nodes(spark, sf_dir).where("id = 'nation:4'").select("id"), ["dependency", "implementation"], 3, 200, 100_000)[0]
-
-
-@query(
-    "tier_counts",
-    f"with {_SNODES} select case when authority = 'canonical' and lifecycle = 'current' then 'primary-canonical' when lifecycle = 'superseded' then 'conflict-or-superseded' when lifecycle = 'current' then 'required-dependency' else 'follow-up' end tier, count(*) n, sum(octet_length(encode(id || domain)))::bigint bytes from snodes group by 1",
-)
-def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes and bytes of each packet tier."""
-    return structural.tier_counts(snodes(spark, sf_dir).withColumn("bytes", F.octet_length(F.concat("id", F.get("domains", F.lit(0)))).cast("long")))
-
+# --- cycles ---------------------------------------------------------------------------------------------------------
 
 @query("cyclic_nodes", f"with {EDGES_SQL} select id from (select unnest(['x', 'y', 'z']) id)")
 def cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
