@@ -29,6 +29,9 @@ from ..operators.structural import number
 from ..session import broadcast_if_small, cut, ship
 from . import textbatch as tb
 
+#: Texts with more than one in so many rows are joined by broadcast.
+HOT_TEXTS = 1024
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,7 +178,7 @@ def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: st
     bands = [f"b{k}" for k in range(2 * config.bands)]
     sketch = base.mapInArrow(tb.tidy(_sketch(config)), f"id {kind}, digest string, " + ", ".join(f"{b} bigint" for b in bands) + ", n int")
     # one representative of equal texts; they have the same bands
-    reps = cut(sketch.groupBy("digest").agg(F.min("id").alias("own"), *(F.min(b).alias(b) for b in [*bands, "n"])))
+    reps = cut(sketch.groupBy("digest").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("copies"), *(F.min(b).alias(b) for b in [*bands, "n"])))
     if reps.groupBy("own").agg(F.count(F.lit(1)).alias("of")).where("of > 1").isEmpty():
         reps, numbered = reps.withColumn("id", F.col("own")), False
     else:  # several texts under one id: numbers in the order of ids stand for them
@@ -196,7 +199,14 @@ def classes(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: st
         rep_class = rep_class.join(moved.toDF("label", "to"), "label", "left").select("digest", F.coalesce("to", "label").alias("label"))
     if numbered:
         rep_class = rep_class.join(reps.select(F.col("id").alias("label"), "own"), "label").select("digest", F.col("own").alias("label"))
-    out = base.select("id", "digest").join(rep_class, "digest").select("id", F.col("label").alias("class_id"), "digest").unionByName(alone)
+    # texts with more than one in HOT_TEXTS of the rows, so HOT_TEXTS at most, meet their rows by broadcast; their rows are spread over the other join
+    n_rows = reps.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = reps.where(F.col("copies") * HOT_TEXTS > n_rows).select("digest")
+    hot = cut(rep_class.join(F.broadcast(hot), "digest", "left_semi").withColumnRenamed("label", "hot"))
+    placed = base.select("id", "digest").join(F.broadcast(hot), "digest", "left")
+    place = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("id").cast("string")))
+    out = placed.withColumn("place", place).join(rep_class.withColumnRenamed("digest", "place"), "place", "left")
+    out = out.select("id", F.coalesce("hot", "label").alias("class_id"), "digest").unionByName(alone)
     return out.select(F.col("id").alias(doc_id), "class_id", *["digest"] * digest)
 
 
