@@ -289,13 +289,6 @@ def symbol_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.evidence(sym, occ, ranked, ["brand#11", "brand#12"], 64)
 
 
-@query("symbol_names", "select distinct 'sym ' || p_brand || '/' || p_partkey || '().' symbol, p_partkey::varchar \"name\", p_brand || '/' || p_partkey qualified from part")
-def symbol_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names out of symbol descriptors."""
-    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("sym "), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit("().")).alias("symbol"))
-    return rows.select("symbol", symbols.symbol_name(F.col("symbol")).alias("name"), symbols.qualified_name(F.col("symbol")).alias("qualified")).distinct()
-
-
 @query("anchor_budgets", "with a as (select 'a' || doc_id id, text from documents), k as (select id, octet_length(encode(text)) n from a where trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '' and octet_length(encode(text)) <= 8192) select id, n bytes, row_number() over (order by id) position from k qualify position <= 4096")
 def anchor_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors that aren't blank, not too long, the first 4,096 by id."""
@@ -330,11 +323,17 @@ def allowed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", F.array_sort(F.array_union(F.array(F.lit("type"), F.lit("title")), "langs")).alias("fields"), F.array_sort(F.array_except(F.array(*map(F.lit, ["de", "en", "xx"])), "langs")).alias("missing"))
 
 
-@query("first_declaration", "select lang path, arg_min(source, doc_id) \"value\", min(doc_id) ord from documents group by lang")
-def first_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first declaration of a key wins."""
-    rows = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("path"))
-    return rows.agg(F.min_by("source", "doc_id").alias("value"), F.min("doc_id").alias("ord"))
+@query(
+    "valid_descriptions",
+    "select 'd' || doc_id path, 'about ' || doc_id description from documents where doc_id % 3 <> 1 and doc_id % 5 <> 2",
+)
+def valid_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions of files out of lines: stale, broken and second ones are dropped."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    line = lambda n: F.to_json(F.struct("path", F.when(F.col("doc_id") % 3 == 1, F.lit("0")).otherwise(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha256"), F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias("description")))
+    first = docs.select((F.col("doc_id") * 2).cast("int").alias("ord"), F.when(F.col("doc_id") % 5 == 2, "broken").otherwise(line("about")).alias("line"))
+    second = docs.where("doc_id % 5 <> 2").select((F.col("doc_id") * 2 + 1).cast("int").alias("ord"), line("second").alias("line"))
+    return corpus.valid_descriptions(spark, first.unionByName(second), docs.select("path", "text"))
 
 
 _RUNS = "list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}._-]+'), lambda r: regexp_replace(r, '^[-_.]+|[-_.]+$', '', 'g')), lambda r: r <> '')"
