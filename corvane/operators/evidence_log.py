@@ -52,3 +52,109 @@ def recall(results: DataFrame) -> DataFrame:
     return results.groupBy(F.coalesce("class", F.lit("unlabelled")).alias("class")).agg(
         F.count(F.lit(1)).alias("questions"), F.count_if(F.col("rank") <= 1).alias("top1"), F.count_if(F.col("rank") <= 5).alias("top5"), F.count_if(F.col("rank").isNull()).alias("misses"), F.median("ms").alias("median_ms"), F.max("ms").alias("worst_ms")
     )
+
+
+# The first line of a stored log, fields of a ranking, bounds.
+CODEC_VERSION = "evidence-log 1"
+RANKING_FIELDS = ["rank", "bundle", "locator", "match_reason", "exact", "partial", "active", "canonical", "public_safe", "confidence", "freshness"]
+MAX_LOG_BYTES, MAX_REQUEST_BYTES, MAX_ROOTS, MAX_RANKINGS = 64 * 1024, 4 * 1024, 16, 32
+_ESCAPES = {"\\": "\\\\", "\n": "\\n", "\t": "\\t", "\r": "\\r"}
+
+
+class CodecError(ValueError):
+    """A log that can't be written or read."""
+
+
+def _escaped(text: str) -> str:
+    return "".join(_ESCAPES.get(c, c) for c in text)
+
+
+def _plain(text: str) -> str:
+    back, out, at = {v[1]: k for k, v in _ESCAPES.items()}, [], 0
+    while at < len(text):
+        if text[at] == "\\":
+            if text[at + 1 : at + 2] not in back:
+                raise CodecError("an unknown escape")
+            out.append(back[text[at + 1]])
+            at += 2
+        else:
+            out.append(text[at])
+            at += 1
+    return "".join(out)
+
+
+def encode_log(records: list[dict]) -> bytes:
+    """A log as lines of tab-separated fields under a version; records: request, roots, outcome, matched, unmatched, rankings (dicts of RANKING_FIELDS)."""
+    if len(records) > M.MAX_EVIDENCE_RECORDS:
+        raise CodecError("full")
+    lines = [CODEC_VERSION]
+    for r in records:
+        if len(r["request"].encode()) > MAX_REQUEST_BYTES or len(r["roots"]) > MAX_ROOTS or len(r["rankings"]) > MAX_RANKINGS:
+            raise CodecError("oversized")
+        lines += ["---", f"request\t{_escaped(r['request'])}", *(f"root\t{_escaped(x)}" for x in r["roots"]), f"outcome\t{_escaped(r['outcome'])}", *(f"matched\t{_escaped(x)}" for x in r["matched"]), *(f"unmatched\t{_escaped(x)}" for x in r["unmatched"])]
+        lines += ["rank\t" + "\t".join(_escaped(str(x[f])) for f in RANKING_FIELDS) for x in r["rankings"]]
+    data = ("\n".join(lines) + "\n").encode()
+    if len(data) > MAX_LOG_BYTES:
+        raise CodecError("oversized")
+    return data
+
+
+def decode_log(data: bytes) -> list[dict]:
+    """The records of a log; raises CodecError for another version, unknown or doubled fields, and records without a request or an outcome."""
+    if len(data) > MAX_LOG_BYTES:
+        raise CodecError("oversized")
+    lines = data.decode().split("\n")
+    if lines[0] != CODEC_VERSION or lines[-1]:
+        raise CodecError("an unknown version, or no end")
+    records: list[dict] = []
+    for line in lines[1:-1]:
+        key, *values = line.split("\t")
+        if key == "---" and not values:
+            records.append({"roots": [], "matched": [], "unmatched": [], "rankings": []})
+            continue
+        if not records:
+            raise CodecError("a field before a record")
+        values, record = [_plain(v) for v in values], records[-1]
+        if key in ("request", "outcome") and len(values) == 1 and key not in record:
+            record[key] = values[0]
+        elif key in ("root", "matched", "unmatched") and len(values) == 1:
+            record["roots" if key == "root" else key].append(values[0])
+        elif key == "rank" and len(values) == len(RANKING_FIELDS):
+            texts = {"bundle", "locator", "match_reason", "freshness"}
+            try:
+                record["rankings"].append({f: v if f in texts else int(v) for f, v in zip(RANKING_FIELDS, values, strict=True)})
+            except ValueError:
+                raise CodecError("a number") from None
+        else:
+            raise CodecError(f"a wrong field {key}")
+    if any("request" not in r or "outcome" not in r for r in records) or len(records) > M.MAX_EVIDENCE_RECORDS:
+        raise CodecError("an incomplete record")
+    return records
+
+
+# Controls of experiments with their least and largest values.
+CONTROLS = {"max-sources": (1, 32), "dependency-depth": (0, 4), "response-sources": (1, 32), "excerpt-bytes": (0, 900)}
+
+
+def experimental_controls(given: dict[str, str]) -> dict[str, int]:
+    """Controls as numbers; raises ValueError for unknown ones and values out of their range."""
+    out = {}
+    for key, value in given.items():
+        if key not in CONTROLS or not value.isascii() or not value.isdigit() or not CONTROLS[key][0] <= int(value) <= CONTROLS[key][1]:
+            raise ValueError(f"{key} {value}")
+        out[key] = int(value)
+    return out
+
+
+def reevaluate(recorded: DataFrame, requests: list[str], answer) -> DataFrame:
+    """(request, bundle, locator, change): recorded rankings against those of today; `answer` ranks one request and gives bundle, locator, rank, match_reason.
+
+    A log has 32 requests at most.
+    """
+    from .incremental import ranking_differences
+
+    now = None
+    for request in requests[: M.MAX_EVIDENCE_RECORDS]:
+        rows = answer(request).withColumn("request", F.lit(request))
+        now = rows if now is None else now.unionByName(rows)
+    return ranking_differences(recorded, now, ["request", "bundle", "locator"], ["rank", "match_reason"])

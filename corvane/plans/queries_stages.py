@@ -201,7 +201,7 @@ _RELATIONS = "case doc_id % 6 when 0 then 'dependency' when 1 then 'business_flo
 _EDGE_SQL = f"with f as (select doc_id, 'd' || doc_id path, 'd' || (doc_id + 700) \"value\", {_RELATIONS} k from documents), e as (select *, replace(k, '_', '-') kind, value in (select path from f) there from f where k <> 'title') "
 
 
-@query("structural_edges", _EDGE_SQL + "select path || '|' || kind || '|' || \"value\" id, kind, path src, case when there then \"value\" else 'missing:' || sha256(\"value\")[1:16] end dst, path locator, case when there then 'known' else 'missing-target' end certainty from e")
+@query("structural_edges", _EDGE_SQL + "select path || '|' || kind || '|' || \"value\" id, kind, path src, case when there then \"value\" else sha256('missing' || chr(10) || \"value\") end dst, path locator, case when there then 'known' else 'missing-target' end certainty from e")
 def structural_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of relation facts; targets that no file has get an id of their own."""
     rows = table(spark, sf_dir, "documents").selectExpr("'d' || doc_id path", f"{_RELATIONS} key", "'d' || (doc_id + 700) value")

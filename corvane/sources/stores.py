@@ -48,12 +48,77 @@ class FileStore:
         return data
 
 
+class ResultStore(FileStore):
+    """A file store with ages: a batch is published as a whole or not at all, and the oldest results make room."""
+
+    def __init__(self, root: str, max_bytes: int = 64 << 20, max_entries: int = 256, max_age: int = 1_000) -> None:
+        super().__init__(root, max_bytes)
+        self.max_entries, self.max_age = max_entries, max_age
+
+    def _ticks(self) -> dict[str, int]:
+        index = self.root / "index.json"
+        return json.loads(index.read_text()) if index.exists() else {}
+
+    def used(self) -> int:
+        """Bytes of results."""
+        return sum((self.root / k).stat().st_size for k in self._ticks())
+
+    def put_batch(self, payloads: list[bytes], now: int) -> list[str]:
+        """Ids of the payloads, all stored at tick `now`; raises StoreError, and changes nothing, where they don't fit even alone."""
+        keys = [hashlib.sha256(p).hexdigest() for p in payloads]
+        new = dict(zip(keys, payloads, strict=True))
+        if len(new) > self.max_entries or sum(map(len, new.values())) > self.max_bytes:
+            raise StoreError("quota")
+        before = self._ticks()
+        old = {k: t for k, t in before.items() if now - t < self.max_age and k not in new}
+        room, bytes_left = self.max_entries - len(new), self.max_bytes - sum(map(len, new.values()))
+        kept: dict[str, int] = {}
+        for key in sorted(old, key=lambda k: (-old[k], k)):
+            size = (self.root / key).stat().st_size
+            if len(kept) >= room or size > bytes_left:
+                break
+            kept[key], bytes_left = old[key], bytes_left - size
+        written = []
+        try:
+            for key, data in new.items():
+                if not (self.root / key).exists():
+                    part = self.root / f".{key}.part"
+                    part.write_bytes(data)
+                    part.replace(self.root / key)
+                    written.append(key)
+            index = self.root / ".index.part"
+            index.write_text(json.dumps({**kept, **dict.fromkeys(new, now)}, sort_keys=True))
+            index.replace(self.root / "index.json")
+        except OSError as reason:
+            for key in written:
+                (self.root / key).unlink(missing_ok=True)
+            raise StoreError(str(reason)) from reason
+        for key in set(before) - set(kept) - set(new):
+            (self.root / key).unlink(missing_ok=True)
+        return keys
+
+
 def result_rows(frame: DataFrame) -> DataFrame:
     """(id, payload): rows as canonical JSON with their SHA-256."""
     payload = F.to_json(F.struct(*[F.col(c) for c in sorted(frame.columns)]))
     return frame.select(payload.alias("payload")).select(F.sha2(F.encode("payload", "UTF-8"), 256).alias("id"), "payload").distinct()
 
 
+def canonical_yaml(value: object) -> object:
+    """A header's value with its type beside it, so that equal forms are equal values: {"type": ..., "value": ...} at every level."""
+    if value is None:
+        return {"type": "null"}
+    if isinstance(value, bool):
+        return {"type": "bool", "value": value}
+    if isinstance(value, int | float):
+        return {"type": "number", "value": str(value)}
+    if isinstance(value, list):
+        return {"type": "sequence", "value": [canonical_yaml(x) for x in value]}
+    if isinstance(value, dict):
+        return {"type": "mapping", "value": {k: canonical_yaml(v) for k, v in value.items()}}
+    return {"type": "string", "value": str(value)}
+
+
 def canonical_json(value: object) -> str:
     """JSON with sorted keys and no spaces; floats are refused."""
 

@@ -118,7 +118,7 @@ def structural_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     relations = facts.withColumn("kind", relation_kind(F.col("key"))).where("kind is not null").select("path", "kind", "value").distinct()
     known = files.select(F.col("path").alias("value"), F.lit(True).alias("there"))
     joined = relations.join(known, "value", "left")
-    missing = F.concat(F.lit("missing:"), F.substring(F.sha2(F.encode("value", "UTF-8"), 256), 1, 16))
+    missing = F.sha2(F.encode(F.concat(F.lit("missing\n"), "value"), "UTF-8"), 256)
     target = F.when(F.col("there"), F.col("value")).otherwise(missing)
     return joined.select(F.concat_ws("|", "path", "kind", "value").alias("id"), "kind", F.col("path").alias("src"), target.alias("dst"), F.col("path").alias("locator"), F.when(F.col("there"), "known").otherwise("missing-target").alias("certainty"))
 
