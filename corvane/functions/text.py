@@ -132,6 +132,21 @@ def match_positions(text: Column, pattern: str) -> Column:
     return folded["out"]
 
 
+def front_matter(text: Column) -> Column:
+    """struct(opened, header, body): whether the first row is a fence of three dashes, the rows up to the next fence (null without one), and the rest.
+
+    Rows are found in arrays, since Java's patterns recurse for each row of a group.
+    """
+    opened = text.rlike(r"\A\x{FEFF}?[ \t]*---[ \t]*\r?(?:\n|\z)")
+    lines = F.split(text, "\n")
+    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    at = F.array_position(F.transform(rest, lambda x: x.rlike(r"^[ \t]*---[ \t]*\r?$")), True).cast("int")
+    closed = opened & (at > 0)
+    header = F.when(closed, F.concat(F.array_join(F.slice(rest, 1, F.greatest(at - 1, F.lit(0))), "\n"), F.when(at > 1, "\n").otherwise("")))
+    body = F.when(closed, F.array_join(F.slice(rest, at + 1, F.greatest(F.size(rest) - at, F.lit(0))), "\n")).when(opened, "").otherwise(text)
+    return F.struct(opened.alias("opened"), header.alias("header"), body.alias("body"))
+
+
 def is_iso_date(text: Column) -> Column:
     """YYYY-MM-DD that the calendar has."""
     return F.coalesce(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-_HEADER = r"^---\n((?:(?!---\n)[^\n]*\n)*)---\n"
-
 # Names of credentials, values that stand for none, what a text of the inside says.
 CREDENTIALS = ["api_key", "apikey", "api-key", "token", "secret", "password"]
 PLACEHOLDERS = ["null", "none", "undefined", "todo", "tbd", "changeme", "change-me", "placeholder", "redacted", "example", "dummy", "string", "number", "boolean", "unknown", "any"]
@@ -30,15 +28,15 @@ TOKEN_PREFIXES = ["sk-", "sk_", "xoxb-", "xoxp-", "glpat-", "github_pat_"]
 def split_front_matter(docs: DataFrame) -> DataFrame:
     """Adds header (null without one), body and fields (map of flat keys)."""
     raw = F.coalesce(F.col("text"), F.lit(""))
-    header = F.regexp_extract(raw, _HEADER, 1)
-    has = raw.rlike(_HEADER)
+    docs = docs.withColumn("__f", tx.front_matter(raw))
+    header, has = F.coalesce("__f.header", F.lit("")), F.col("__f.header").isNotNull()
     rows = F.filter(F.split(header, "\n"), lambda r: r.rlike("^[A-Za-z_][A-Za-z0-9_-]*:"))
     pairs = F.transform(rows, lambda r: F.struct(F.regexp_extract(r, "^([^:]+):", 1).alias("k"), F.regexp_replace(F.regexp_extract(r, r"^[^:]+:\s*(.*)$", 1), "^[\"']|[\"']$", "").alias("v")))
     keys = F.transform(pairs, lambda p: p["k"])
     clean = F.size(F.array_distinct(keys)) == F.size(keys)
     first = F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1)
-    columns = {"header": F.when(has, header), "body": F.when(has, F.regexp_replace(raw, _HEADER, "")).otherwise(raw), "fields": F.map_from_entries(first), "unique_keys": clean}
-    return docs.withColumns(columns)
+    columns = {"header": F.when(has, header), "body": F.when(has, F.col("__f.body")).otherwise(raw), "fields": F.map_from_entries(first), "unique_keys": clean}
+    return docs.withColumns(columns).drop("__f")
 
 
 def field(name: str) -> Column:
@@ -144,4 +142,4 @@ def dlp_codes(text: Column) -> Column:
 def public_excerpt(text: Column, boundary: Column, max_bytes: int) -> Column:
     """The head of a text whose boundary values are all public or safe, and there is one; null else."""
     ok = (F.size(boundary) > 0) & F.forall(boundary, lambda b: b.isin("public", "safe"))
-    return F.when(F.coalesce(ok, F.lit(False)), tx.truncate_utf8(F.regexp_replace(text, _HEADER, ""), max_bytes))
+    return F.when(F.coalesce(ok, F.lit(False)), tx.truncate_utf8(F.when(tx.front_matter(text)["header"].isNotNull(), tx.front_matter(text)["body"]).otherwise(text), max_bytes))

@@ -23,10 +23,6 @@ PUBLIC = ["public", "public-candidate", "external", "publishable"]
 CITED = ["md", "py", "ts", "tsx", "js", "mjs", "rs", "c", "h", "yaml", "yml", "json", "sh"]
 HELPERS = ["research-assistant", "ingestion-librarian", "synthesis-librarian", "integrity-librarian"]
 
-_RULE = r"^\x{FEFF}?[ \t]*---[ \t]*\r?\n"
-_CLOSED = _RULE + r"((?:(?![ \t]*---[ \t]*\r?(?:\n|$))[^\n]*\n)*+)[ \t]*---[ \t]*\r?(?:\n|$)"
-
-
 def _none() -> Column:
     return F.lit(None).cast("string")
 
@@ -41,9 +37,7 @@ def split_documents(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     name = tx.file_name(F.col("path"))
     kind = F.when(name == "index.md", "index").when(name == "log.md", "log").otherwise("concept")
-    opened, closed = text.rlike(_RULE) | text.rlike(r"^\x{FEFF}?[ \t]*---[ \t]*$"), text.rlike(_CLOSED)
-    body = F.when(closed, F.regexp_replace(text, _CLOSED, "")).when(opened, "").otherwise(text)
-    return docs.select("path", kind.alias("kind"), text.alias("text"), F.when(closed, F.regexp_extract(text, _CLOSED, 1)).alias("header"), opened.alias("opened"), body.alias("body"))
+    return docs.select("path", kind.alias("kind"), text.alias("text"), tx.front_matter(text).alias("f")).select("path", "kind", "text", "f.header", "f.opened", "f.body")
 
 
 def _read(rows: DataFrame) -> DataFrame:
