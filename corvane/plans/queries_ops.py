@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import evidence_log, facts, incremental, packets, rules, symbols
-from ..operators.structural import number
 from ..session import table
 from ..sources import corpus, sql_gate
 
@@ -277,18 +276,6 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- symbols and anchors ----------------------------------------------------------------------------------------------
 
-_SYM = "sym as (select 'sym ' || p_brand || '/' || p_partkey || '().' symbol, lower(p_brand) name, p_partkey from part), occ as (select l_partkey p_partkey, 'order-' || l_orderkey path, l_linenumber start_line, l_linenumber % 4 = 0 is_def from lineitem)"
-
-
-@query("symbol_evidence", f"with {_SYM}, rk as (select 'order-' || o_orderkey path, row_number() over (order by o_totalprice desc, o_orderkey) rank from orders), e as (select rank, path, start_line, is_def definition, symbol from occ join sym using (p_partkey) join rk using (path) where name in ('brand#11', 'brand#12')) select row_number() over (order by rank, path, start_line, definition, symbol) position, * from e qualify position <= 64")
-def symbol_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences of named symbols in ranked documents, the first 64."""
-    sym = table(spark, sf_dir, "part").select(F.concat(F.lit("sym "), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit("().")).alias("symbol"), F.lower("p_brand").alias("name"), "p_partkey")
-    occ = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_linenumber").alias("start_line"), (F.col("l_linenumber") % 4 == 0).alias("definition")).join(sym.select("p_partkey", "symbol"), "p_partkey")
-    ranked = number(table(spark, sf_dir, "orders"), [F.desc("o_totalprice"), F.asc("o_orderkey")], "rank").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("path"), "rank")
-    return symbols.evidence(sym, occ, ranked, ["brand#11", "brand#12"], 64)
-
-
 @query("anchor_budgets", "with a as (select 'a' || doc_id id, text from documents), k as (select id, octet_length(encode(text)) n from a where trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '' and octet_length(encode(text)) <= 8192) select id, n bytes, row_number() over (order by id) position from k qualify position <= 4096")
 def anchor_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors that aren't blank, not too long, the first 4,096 by id."""

@@ -212,9 +212,3 @@ def rarity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))
     return counts.select("source", "df", brief_units.rarity_weight(F.col("n"), F.col("df")).alias("weight"))
-
-
-@query("brief_units")
-def brief_units_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The brief ranking by units."""
-    return brief_units.rank(brief_units.score(files(spark, sf_dir), "doc-12.md hend src1"))

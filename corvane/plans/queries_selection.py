@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import selection
+from ..operators import selection, symbols
 from ..session import table
 from ..sources import identity, symbol_index
 from .star_graph import EDGES_SQL, NODES_SQL, edges, nodes
@@ -150,3 +150,77 @@ def symbol_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part.select(F.concat(F.lit("scip pip pkg 1.0 "), F.replace("p_brand", F.lit("#"), F.lit("/")), F.lit("/`a b`#p"), F.col("p_partkey").cast("string"), F.lit("().")).alias("symbol"))
     rows = rows.unionByName(part.select(F.concat(F.lit("local "), F.col("p_partkey").cast("string")).alias("symbol"))).unionByName(spark.createDataFrame([("scip . . 1 T#(x)",)], "symbol string"))
     return symbol_index.with_names(rows.distinct())
+
+
+# --- symbols ----------------------------------------------------------------------------------------------------------
+
+_SYM = """sym as (select 'p' || p_partkey symbol, p_brand "name", p_partkey % 7 <> 0 navigable, p_partkey from part),
+occ as (select 'order-' || l_orderkey path, 'p' || l_partkey symbol, l_linenumber % 4 = 0 definition, l_linenumber start_line, l_linenumber + l_partkey % 3 end_line from lineitem),
+rel as (select 'p' || p_partkey symbol, 'p' || (p_partkey + 1) target from part),
+rk as (select 'order-' || o_orderkey path, row_number() over (order by o_totalprice desc, o_orderkey) rank from orders where o_orderstatus <> 'O')"""
+_FOUND = f"""{_SYM}, w as (select symbol from sym where navigable and lower("name") in ('brand#11', 'brand#12')),
+e as (select distinct path, symbol, start_line, end_line, case when definition then 'definition' else 'reference' end "role", null::varchar implements from occ join w using (symbol) union select path, symbol, start_line, end_line, 'implementation', target from occ join rel using (symbol) join w on w.symbol = target where definition),
+n as (select row_number() over (order by rank, path, start_line, end_line, "role", symbol, implements nulls first) position, rank, e.* from e join rk using (path))"""
+
+
+def _symbol_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    from ..operators.structural import number
+
+    part = table(spark, sf_dir, "part")
+    sym = part.selectExpr("'p' || p_partkey symbol", "p_brand name", "p_partkey % 7 <> 0 navigable")
+    occ = table(spark, sf_dir, "lineitem").selectExpr("'order-' || l_orderkey path", "'p' || l_partkey symbol", "l_linenumber % 4 = 0 definition", "l_linenumber start_line", "l_linenumber + l_partkey % 3 end_line")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'")
+    ranked = number(orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], "rank").selectExpr("'order-' || o_orderkey path", "rank")
+    return sym, occ, part.selectExpr("'p' || p_partkey symbol", "'p' || (p_partkey + 1) target"), ranked
+
+
+@query("symbol_evidence", f'with {_FOUND} select position, rank, path, start_line, end_line, "role", symbol, implements, (select count(*) > 64 from n) or (select count(*) > (select count(*) from n) from e) truncated from n where position <= 64')
+def symbol_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions, references and implementations of named symbols in ranked documents, the first 64."""
+    sym, occ, rel, ranked = _symbol_tables(spark, sf_dir)
+    return symbols.evidence(sym, occ, rel, ranked, ["brand#11", "brand#12"], 64)
+
+
+@query(
+    "symbol_lines",
+    f"with {_FOUND} select path, 'scip_symbols: ' || string_agg(\"role\" || ' q' || symbol || ' ' || start_line || '-' || end_line || case when implements is null then '' else ' implements q' || implements end, '; ' order by position) || chr(10) line from n where position <= 64 group by path",
+)
+def symbol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packets say of each document's symbols."""
+    sym, occ, rel, ranked = _symbol_tables(spark, sf_dir)
+    return symbols.payload_lines(symbols.evidence(sym, occ, rel, ranked, ["brand#11", "brand#12"], 64), sym.selectExpr("symbol", "'q' || symbol qualified"))
+
+
+@query("symbol_freshness", "select k, case when k = 0 then 'stale' when k = 1 then 'unverified' when k = 2 then 'unverified' else 'fresh' end state from range(4) t(k)")
+def symbol_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded texts against scanned ones: with changes, with missing texts, with missing files, and the same."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "'d' || doc_id path", "coalesce(text, '') || '.' text")
+    cases = [docs.withColumn("text", F.when(F.col("doc_id") % 50 == 0, "else").otherwise(F.col("text"))), docs.withColumn("text", F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.col("text"))), docs.withColumn("path", F.when(F.col("doc_id") % 50 == 0, F.concat("path", F.lit("x"))).otherwise(F.col("path"))), docs]
+    out = None
+    for k, recorded in enumerate(cases):
+        row = symbols.freshness(recorded, docs).select(F.lit(k).cast("long").alias("k"), "state")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "ranked_matches",
+    "with m as (select source bundle, lang || doc_id path, 'a' || doc_id id, (doc_id % 7)::int score, doc_id % 3 = 0 ocr from documents where doc_id % 7 > 0), o as (select *, row_number() over (order by ocr, case when ocr then 0 else score end desc, bundle, path, id) position from m) select position, bundle, path, id, case when not ocr then position end rank from o where position <= 400",
+)
+def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document matches by score, derived ones after them without a rank."""
+    rows = table(spark, sf_dir, "documents").selectExpr("source bundle", "lang || doc_id path", "'a' || doc_id id", "int(doc_id % 7) score", "case when doc_id % 3 = 0 then 'ocr' else 'embedded' end derivation")
+    return symbols.rank_matches(rows, 400)
+
+
+@query("symbol_words", "select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(head, '[\\p{L}\\p{N}_+$-]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) words from (select doc_id, replace(coalesce(text, ''), 'th', 'T_$') head from documents)")
+def symbol_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of texts that may name symbols."""
+    return table(spark, sf_dir, "documents").select("doc_id", symbols.candidates(F.replace(F.coalesce("text", F.lit("")), F.lit("th"), F.lit("T_$"))).alias("words"))
+
+
+@query("autocompletions", "with c as (select 'Cmd ' || s_name \"text\", s_suppkey ord from supplier order by ord limit 10) select ord, \"text\" from c where lower(\"text\") like 'cmd supplier%' and ord % 2 >= 0 order by ord limit 3")
+def autocompletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three of ten candidates that begin with what was typed."""
+    rows = table(spark, sf_dir, "supplier").selectExpr("'Cmd ' || s_name text", "s_suppkey ord")
+    return symbols.autocomplete(rows, "cmd Supplier").select("ord", "text")

@@ -79,7 +79,7 @@ def ship(spark: SparkSession) -> SparkSession:
     """
     sc = spark.sparkContext
     if spark.conf.get(_ARROW_BYTES, None) in (None, "64MB", "67108864b", "67108864"):
-        spark.conf.set(_ARROW_BYTES, "8m")
+        spark.conf.set(_ARROW_BYTES, "4m")
     if not getattr(sc, "_corvane_shipped", False):
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane.zip"
