@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, broadcast_if_small, cut
+from ..session import broadcast_if_small, cut
 from .secret_scan import matches
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -103,27 +103,51 @@ def _words(text: Column) -> Column:
 
 
 def telling_terms(base: DataFrame, docs: DataFrame, value: Column, n_rows: int, config: PiiConfig) -> DataFrame:
-    """(term, removed) of the terms that disclose an entity, from rows (key, spans, txt) with spans and all rows of `docs`, whose text is `value`."""
+    """(term, removed) of the terms that disclose an entity, from rows (key, spans, txt) with spans and all rows of `docs`, whose text is `value`.
+
+    With N rows a term of n(term) rows can only reach the threshold h for an entity if n(term) <= N ** (1 - h) * n(entity) ** h, since both have
+    n(entity) rows at most. So words are counted over all rows first, and only rare ones meet the entities of their texts.
+    """
     entity = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))
     per_text = base.select("key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity", "key").agg(F.count(F.lit(1)).alias("n"))
     entities = per_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= config.support).drop("texts")
     # texts once with the number of their rows; only those with an entity that several texts have go on
-    held = cut(per_text.join(entities, "entity"))
-    texts = base.select("key", "txt").join(held.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("txt").alias("txt"))
-    both = texts.select("key", F.explode(_words(F.col("txt"))).alias("term")).join(held, "key")
-    both = both.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= config.support).drop("texts")
-    # a term has no fewer rows than stand with the entity, so its share is at most what it has if it stands nowhere else
-    total = F.lit(float(max(n_rows, 1)))
-    information = F.greatest(F.log2(total / F.col("n_entity")), F.lit(1e-9))
-    linked = cut(both)
-    n_terms = linked.count()
-    terms = linked.select("term").distinct()
-    if n_terms * (MAX_TERM + 64) <= BROADCAST_BYTES:
-        terms = F.broadcast(terms)
+    total = float(max(n_rows, 1))
+    held = cut(per_text.join(entities, "entity").withColumn("most", F.pow(F.lit(total), F.lit(1 - config.threshold)) * F.pow("n_entity", F.lit(config.threshold)) * F.lit(1 + 1e-9)))
+    keys = held.groupBy("key").agg(F.max("most").alias("most"))
+    texts = base.select("key", "txt").join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.first("txt").alias("txt"))
+    words = cut(texts.select("key", F.explode(_words(F.col("txt"))).alias("term")))
+    terms = cut(words.select("term").distinct())
+    n_terms = terms.count()
+    if not n_terms:
+        return terms.withColumn("removed", F.lit(False))
+    known = broadcast_if_small(terms, n_terms * (MAX_TERM + 64))
     # words are counted before they meet the terms, so no step makes a row for each place where a frequent term stands
-    counted = docs.select(F.explode(_words(value)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term") if n_terms else terms.withColumn("n_term", F.lit(1).cast("long"))
-    share = F.log2(F.col("n_both") * total / (F.greatest("n_term", "n_both") * F.col("n_entity"))) / information
-    return linked.join(counted, "term").withColumn("share", share).where(F.col("share") >= config.threshold).groupBy("term").agg(F.max(F.col("share") >= config.removed).alias("removed"))
+    counted = docs.select(F.explode(_words(value)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(known, "term", "left_semi")
+    counted = counted.where(F.col("n_term") <= keys.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0])
+    rare = words.join(counted, "term").join(held, "key").where(F.col("n_term") <= F.col("most"))
+    both = rare.groupBy("entity", "term").agg(F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"), F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= config.support)
+    information = F.greatest(F.log2(F.lit(total) / F.col("n_entity")), F.lit(1e-9))
+    share = F.log2(F.col("n_both") * F.lit(total) / (F.greatest("n_term", "n_both") * F.col("n_entity"))) / information
+    return both.withColumn("share", share).where(F.col("share") >= config.threshold).groupBy("term").agg(F.max(F.col("share") >= config.removed).alias("removed"))
+
+
+_PLACES = "array<struct<start:int,end:int,removed:boolean>>"
+
+
+def _places(text: Column, telling: Column) -> Column:
+    """Where the telling terms (array of term, removed) of a text stand; the fold grows by those places only, however many words there are."""
+    values = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split(text, TERM, -1), lambda x: F.length(x))
+    removed = F.map_from_entries(telling)
+
+    def step(a: Column, x: Column) -> Column:
+        start, term = a["at"] + x["g"], F.lower(x["v"])
+        end = start + F.length(x["v"])
+        more = F.array(F.struct(start.alias("start"), end.alias("end"), F.try_element_at(removed, term).alias("removed")))
+        return F.struct(end.alias("at"), F.when(F.map_contains_key(removed, term), F.concat(a["out"], more)).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(F.arrays_zip(values.alias("v"), F.slice(gaps, 1, F.size(values)).alias("g")), F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("out")), step)["out"]
 
 
 def detect(docs: DataFrame, config: PiiConfig = PiiConfig(), keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -136,16 +160,16 @@ def detect(docs: DataFrame, config: PiiConfig = PiiConfig(), keep: tuple[str, ..
     telling = cut(telling_terms(base.where(F.size("spans") > 0).select("key", "spans", "txt"), docs, value, base.count(), config))
     n_telling = telling.count()
     short = F.col("spans").alias("base")
-    none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
+    none = F.array().cast(_PLACES)
     if not n_telling:
         return base.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], short, none.alias("terms"))
     known = broadcast_if_small(telling, n_telling * (MAX_TERM + 64))
-    # which texts have a telling term; telling terms stand in few texts, since they say much about one entity
-    keys = rows.select("key", F.explode(_words(F.col("txt"))).alias("term")).join(known, "term", "left_semi").select("key").distinct()
-    keys = cut(keys)
+    # which terms a text has; telling terms stand in few texts, since they say much about one entity
+    mine = rows.select("key", F.explode(_words(F.col("txt"))).alias("term")).join(known, "term").groupBy("key").agg(F.collect_set(F.struct("term", "removed")).alias("mine"))
+    mine = cut(mine)
+    keys = mine.select("key")
     different = rows.select("key", "txt").join(broadcast_if_small(keys, keys.count() * 64), "key", "left_semi").groupBy("key").agg(F.first("txt").alias("txt"))
-    places = different.select("key", F.explode(matches(F.col("txt"), TERM)).alias("m")).select("key", F.lower("m.value").alias("term"), F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.value")).alias("end"))
-    added = places.join(known, "term").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "removed"))).alias("terms"))
+    added = different.join(mine, "key").select("key", _places(F.col("txt"), F.col("mine")).alias("terms"))
     # rows meet their text's terms by salted keys, since one text may be a third of all rows
     salted = base.withColumn("salt", F.pmod(F.xxhash64(*kept), F.lit(SALTS)))
     added = added.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
