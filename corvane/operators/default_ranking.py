@@ -18,13 +18,14 @@ def matches(files: DataFrame, question: str) -> DataFrame:
     """Files with any match: exact and partial counters and matched units. Values are path, file name, and the text's words for terms; entities may stand anywhere."""
     spark = files.sparkSession
     q = spark.range(1).select(tx.query_terms(F.lit(question)).alias("t"), tx.query_entities(F.lit(question)).alias("e")).first()
-    path, text = tx.lower_ascii(F.col("path")), tx.lower_ascii(F.coalesce("text", F.lit("")))
-    name = tx.lower_ascii(tx.base_name(F.col("path")))
-    exact = [F.when((path == t) | (name == t), F.lit(t)) for t in q["t"]] + [F.when(F.contains(path, F.lit(e)) | F.contains(text, F.lit(e)), F.lit(e)) for e in q["e"]]
-    partial = [F.when(F.contains(path, F.lit(t)) | F.contains(text, F.lit(t)), F.lit(t)) for t in q["t"]]
+    low = {"__path": tx.lower_ascii(F.col("path")), "__text": tx.lower_ascii(F.coalesce("text", F.lit(""))), "__name": tx.lower_ascii(tx.base_name(F.col("path")))}
+    within = lambda u: F.contains("__path", F.lit(u)) | F.contains("__text", F.lit(u))
+    exact = [F.when((F.col("__path") == t) | (F.col("__name") == t), F.lit(t)) for t in q["t"]] + [F.when(within(e), F.lit(e)) for e in q["e"]]
+    partial = [F.when(within(t), F.lit(t)) for t in q["t"]]
     found = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
-    rows = files.withColumns({"exact_units": found(exact), "partial_units": found(partial)})
-    rows = rows.withColumns({"exact": F.size("exact_units"), "partial": F.size("partial_units"), "entities_asked": F.lit(len(q["e"]))})
+    # texts are folded once, and units pass through a generator, so that the filter doesn't look for them again
+    rows = files.withColumns(low).select(*files.columns, F.explode(F.array(F.struct(found(exact).alias("exact_units"), found(partial).alias("partial_units")))).alias("__u"))
+    rows = rows.select(*files.columns, "__u.exact_units", "__u.partial_units").withColumns({"exact": F.size("exact_units"), "partial": F.size("partial_units"), "entities_asked": F.lit(len(q["e"]))})
     return rows.where("exact > 0 or partial > 0")
 
 

@@ -118,6 +118,12 @@ def score(files: DataFrame, q: Question, classes: list | None = None, descriptio
     hits, literal = _hits(q, *matching_tokens(ready, q))
     traits = ["path", "tier", "class", "role", "active", "canonical", "public_safe", "confidence", "freshness"]
     small = cut(ready.select(*traits, *[F.size(f"t{k}").alias(f"len{k}") for k in range(4)], hits.alias("hits"), literal.cast("long").alias("literal")))
+    return score_rows(small, q, shortlist)
+
+
+def score_rows(small: DataFrame, q: Question, shortlist: int = M.SHORTLIST) -> DataFrame:
+    """Scores rows of traits, role, tier, class, lengths (len0..len3), literal and hits (array of stem, field, tf in that order), one for each file."""
+    traits = ["path", "tier", "class", "role", "active", "canonical", "public_safe", "confidence", "freshness"]
     # the corpus is the least tier: one row of lengths and document frequencies
     lead = small.agg(F.min("tier").alias("lead"))
     leading = small.join(F.broadcast(lead), F.col("tier") == F.col("lead"))
@@ -148,6 +154,58 @@ def score(files: DataFrame, q: Question, classes: list | None = None, descriptio
     return rows.select(*traits, "score", "literal", "tie", fields.alias("fields"), F.size(F.array_distinct(F.transform("hits", lambda h: h["stem"]))).alias("partial"))
 
 
+# --- an index, so that texts are read once for many questions ------------------------------------------------------------
+
+TRAITS = ["path", "role", "active", "canonical", "public_safe", "confidence", "freshness"]
+
+
+@dataclass(frozen=True)
+class TokenIndex:
+    """files: TRAITS and len0..len3. postings: token, path, field, tf, sorted by token. vocabulary: token, stem, verb. All are tables of the shared folder."""
+
+    files: DataFrame
+    postings: DataFrame
+    vocabulary: DataFrame
+
+
+def build_index(files: DataFrame, descriptions: DataFrame | None = None) -> TokenIndex:
+    """One pass over the texts; a question then reads the postings of its own tokens, which stand together."""
+    ready = fields_of(files.where(~corpus.excluded_from_brief(F.col("path"))), descriptions)
+    own = cut(ready.select(*TRAITS, *[F.size(f"t{k}").alias(f"len{k}") for k in range(4)]))
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"t{k}").alias("tokens")) for k in range(4)])
+    tokens = ready.select("path", F.explode(fields).alias("f")).select("path", "f.field", F.explode("f.tokens").alias("token"))
+    counted = tokens.groupBy("token", "path", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    # a token's postings may be many, so the order goes on with the path
+    postings = cut(counted.repartitionByRange(F.col("token"), F.col("path")).sortWithinPartitions("token", "path"))
+    return TokenIndex(own, postings, cut(vocabulary_stems(postings.select("token"))))
+
+
+def score_indexed(index: TokenIndex, q: Question, classes: list | None = None, shortlist: int = M.SHORTLIST) -> DataFrame:
+    """What `score` gives, from an index."""
+    tier, name = corpus.classify(F.col("path"), classes or [])
+    if q.stemmed:
+        verbs: dict[str, str] = {}
+        for s in q.stems:
+            verbs.setdefault(agent_verb(s), s)
+        found = index.vocabulary.where(F.col("stem").isin(list(q.stems)) | F.col("verb").isin(list(verbs))).collect()
+        direct = {r["token"]: r["stem"] for r in found if r["stem"] in q.stems}
+        by_verb = {r["token"]: verbs[r["verb"]] for r in found if r["token"] not in direct and r["verb"] in verbs}
+    else:
+        direct, by_verb = {s: s for s in q.stems}, {}
+    table_ = {**direct, **by_verb}
+    lookup = F.create_map(*[F.lit(x) for pair in sorted(table_.items()) for x in pair]) if table_ else F.lit(None).cast("map<string,string>")
+    asked = index.postings.where(F.col("token").isin(sorted(table_))) if table_ else index.postings.where("false")
+    if by_verb:  # verb forms count in filenames only
+        asked = asked.where(~F.col("token").isin(sorted(by_verb)) | (F.col("field") == 0))
+    literal = sorted(t for t in table_ if t in q.surface)
+    is_literal = (F.col("field") == 0) & F.col("token").isin(literal) if literal else F.lit(False)
+    per_stem = asked.groupBy("path", "field", F.try_element_at(lookup, F.col("token")).alias("stem")).agg(F.sum("tf").cast("int").alias("tf"), F.sum(F.when(is_literal, F.col("tf")).otherwise(0)).alias("literal"))
+    hits = per_stem.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("stem", "field", "tf"))).alias("hits"), F.sum("literal").cast("long").alias("literal"))
+    none = F.array().cast("array<struct<stem:string,field:int,tf:int>>")
+    rows = index.files.withColumns({"tier": tier, "class": name}).join(hits, "path", "left").withColumns({"hits": F.coalesce("hits", none), "literal": F.coalesce("literal", F.lit(0).cast("long"))})
+    return score_rows(rows, q, shortlist)
+
+
 def _body_hit(s: str):
     return lambda h: (h["field"] == 2) & (h["stem"] == s)
 
@@ -180,6 +238,12 @@ def with_exact_units(scored: DataFrame, files: DataFrame, question: str) -> Data
     return scored.join(files.select("path", total.alias("exact")), "path")
 
 
+def shortlisted(scored: DataFrame, shortlist: int = M.SHORTLIST) -> DataFrame:
+    """The best rows by brief order alone; reasons don't change the order, so what they need is looked up for these."""
+    ready = scored.withColumns({"points": fixed_point(F.col("score")), "offset_points": fixed_point(F.col("score"), M.SCORE_OFFSET)})
+    return F.broadcast(cut(ready.orderBy(*brief_order()).limit(shortlist).drop("points", "offset_points")))
+
+
 def rank(scored: DataFrame, top: int = M.BRIEF_TOP, shortlist: int = M.SHORTLIST) -> DataFrame:
     """The shortlist by brief order, cut by the selection rule, ranked densely, `top` rows at most."""
     exact = F.col("exact") if "exact" in scored.columns else F.lit(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import brief_units, default_ranking, fielded, packets
-from ..session import table
+from ..session import fingerprint, remembered, table
 from ..sources import corpus
 
 QUESTION = "how often thand tionble hend ndere src3"
@@ -46,6 +46,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.files_from_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> fielded.TokenIndex:
+    """The token index of the documents, built once a session for each state of the tables."""
+    key = ("token-index", sf_dir, *(fingerprint(table(spark, sf_dir, name)) for name in ("documents", "labels")))
+    return remembered(spark, key, lambda: fielded.build_index(files(spark, sf_dir)))
+
+
 _LEAD = "coalesce(array_to_string(list_transform(list_filter(string_split(text, chr(10))[1:50], lambda s: regexp_matches(s, '^(# |title:|purpose:|description:|aliases:|tags:)'))[1:4], lambda s: s[1:230]), ' '), '')"
 
 _STEMS = ["hend", "often", "ndere", "src", "thand", "tionble"]
@@ -83,15 +89,14 @@ select rank, path, tier, points, literal, tie, partial, 'partial:' || regexp_rep
 def fielded_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship with tokens as stems, so that SQL can follow it."""
     q = fielded.analyze(QUESTION, stemmed=False)
-    return fielded.rank(fielded.score(files(spark, sf_dir), q, CLASSES))
+    return fielded.rank(fielded.score_indexed(index(spark, sf_dir), q, CLASSES))
 
 
 @query("fielded_rank")
 def fielded_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship with Porter2 stems and exact units."""
-    rows = files(spark, sf_dir)
-    q = fielded.analyze(QUESTION)
-    return fielded.rank(fielded.with_exact_units(fielded.score(rows, q, CLASSES), rows, QUESTION))
+    best = fielded.shortlisted(fielded.score_indexed(index(spark, sf_dir), fielded.analyze(QUESTION), CLASSES))
+    return fielded.rank(fielded.with_exact_units(best, files(spark, sf_dir), QUESTION))
 
 
 MANY_SQL = f"""

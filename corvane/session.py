@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """What the files of a table are: their paths, sizes and times, as one digest; their contents aren't read."""
+    row = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("*").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+    return f"{row['n']}:{row['s']}"
+
+
+_REMEMBERED: dict[tuple, object] = {}
+
+
+def remembered(spark: SparkSession, key: tuple, build: Callable[[], object]) -> object:
+    """What `build` makes, once an application and key; keys hold fingerprints of the tables that it is made from, so changed tables are read again."""
+    whole = (spark.sparkContext.applicationId, *key)
+    if whole not in _REMEMBERED:
+        _REMEMBERED[whole] = build()
+    return _REMEMBERED[whole]
+
+
 def broadcast_if_small(df: DataFrame, n_bytes: int | None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint only if the measured size is known and under the limit."""
     return F.broadcast(df) if n_bytes is not None and n_bytes <= limit else df

@@ -295,3 +295,21 @@ def test_compression_fails_closed(spark, compressed, codes, out):
     cell = F.lit(compressed).cast("string")
     listed = F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")
     assert values(spark, packets.compression_outcome(F.lit("k1 payload xy"), cell, F.array(F.lit("k1")), 40, listed)) == out
+
+
+def test_an_index_scores_as_texts_do(spark, sf):
+    from corvane.plans import queries_rank
+
+    rows = queries_rank.files(spark, sf)
+    index = fielded.build_index(rows)
+    for text, stemmed in (("how often do hend parsers run the src tests", True), (queries_rank.QUESTION, True), (queries_rank.QUESTION, False), ("the of", True)):
+        q = fielded.analyze(text, stemmed)
+        plain, by_index = fielded.score(rows, q, queries_rank.CLASSES), fielded.score_indexed(index, q, queries_rank.CLASSES)
+        assert sorted(plain.columns) == sorted(by_index.columns)
+        names = sorted(plain.columns)
+        key = lambda r: [round(r[c], 9) if isinstance(r[c], float) else r[c] for c in names]
+        assert sorted(map(str, map(key, plain.collect()))) == sorted(map(str, map(key, by_index.collect())))
+    q = fielded.analyze(queries_rank.QUESTION)
+    whole = fielded.rank(fielded.with_exact_units(fielded.score(rows, q, queries_rank.CLASSES), rows, queries_rank.QUESTION))
+    short = fielded.rank(fielded.with_exact_units(fielded.shortlisted(fielded.score_indexed(index, q, queries_rank.CLASSES)), rows, queries_rank.QUESTION))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, short.collect()))
