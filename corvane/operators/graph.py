@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..session import cut
+from ..session import cut, cut_counted
 from .views import fact_values, has_fact
 
 
@@ -124,8 +124,7 @@ def search(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int |
     """
     carry = carry or []
     here, there = ("dst", "src") if backward else ("src", "dst")
-    seen = cut(seeds.select("id", *carry).withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "edge_id": F.lit(None).cast("string")}))
-    n_seen = seen.count()
+    seen, n_seen = cut_counted(seeds.select("id", *carry).withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "edge_id": F.lit(None).cast("string")}))
     seen = _numbered(seen, ["id"], n_seen, 0) if ordered else seen.withColumn("discovery", F.lit(0).cast("long"))
     frontier, n_seeds, stopped = seen, n_seen, False
     for depth in range(1, max_depth + 2):
@@ -136,8 +135,7 @@ def search(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int |
         # the least (parent's discovery, edge) of each new node; the aggregate is partial before its shuffle
         first = F.struct("from_discovery", F.col(here).alias("parent"), "id", *carry) if not ordered else F.struct("from_discovery", "id", F.col(here).alias("parent"), *carry)
         new = new.groupBy(F.col(there).alias("node")).agg(F.min(first).alias("b"))
-        new = cut(new.select(F.col("node").alias("id"), *[F.col(f"b.{c}").alias(c) for c in carry], F.lit(depth).alias("depth"), F.col("b.parent").alias("parent"), F.col("b.id").alias("edge_id"), F.col("b.from_discovery").alias("from_discovery")))
-        n_new = new.count()
+        new, n_new = cut_counted(new.select(F.col("node").alias("id"), *[F.col(f"b.{c}").alias(c) for c in carry], F.lit(depth).alias("depth"), F.col("b.parent").alias("parent"), F.col("b.id").alias("edge_id"), F.col("b.from_discovery").alias("from_discovery")))
         if not n_new:
             return seen, stopped
         new = _numbered(new, ["from_discovery", "edge_id", "id"], n_new, n_seen) if ordered or max_nodes is not None else new.withColumn("discovery", F.lit(0).cast("long"))

@@ -48,8 +48,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> fielded.TokenIndex:
     """The token index of the documents, built once a session for each state of the tables."""
-    key = ("token-index", sf_dir, *(fingerprint(table(spark, sf_dir, name)) for name in ("documents", "labels")))
-    return remembered(spark, key, lambda: fielded.build_index(files(spark, sf_dir)))
+    return remembered(spark, ("token-index", fingerprint(spark, sf_dir, "documents", "labels")), lambda: fielded.build_index(files(spark, sf_dir)))
 
 
 _LEAD = "coalesce(array_to_string(list_transform(list_filter(string_split(text, chr(10))[1:50], lambda s: regexp_matches(s, '^(# |title:|purpose:|description:|aliases:|tags:)'))[1:4], lambda s: s[1:230]), ' '), '')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, fingerprint, remembered, table
 
 NODES_SQL = """
 nodes as (
@@ -27,7 +27,20 @@ edges as (
 )"""
 
 
+_TABLES = ["region", "nation", "customer", "supplier", "orders", "part", "lineitem"]
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes, built once a session for each state of the tables."""
+    return remembered(spark, ("star-nodes", fingerprint(spark, sf_dir, *_TABLES)), lambda: cut(make_nodes(spark, sf_dir)))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges, built once a session for each state of the tables."""
+    return remembered(spark, ("star-edges", fingerprint(spark, sf_dir, *_TABLES)), lambda: cut(make_edges(spark, sf_dir)))
+
+
+def make_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, role, prov_source, prov_locator, confidence, facts)."""
     t = lambda n: table(spark, sf_dir, n)
     key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
@@ -46,7 +59,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("facts", facts)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, src, dst, relationship, certainty)."""
     t = lambda n: table(spark, sf_dir, n)
     key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))

@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Sides under this many bytes are broadcast; larger ones are joined by shuffle.
@@ -49,6 +49,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvane-"))
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """A name that none of the columns has, case aside."""
+    taken, name = {c.lower() for c in columns}, base
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system when the application ends."""
+    atexit.register(_remove, spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a table in the shared folder: lineage ends here and survives lost executors.
 
@@ -58,20 +71,32 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same rows as by `cut` with their number, which the writing job counts."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # at the end of the application the JVM may be gone
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def fingerprint(df: DataFrame) -> str:
-    """What the files of a table are: their paths, sizes and times, as one digest; their contents aren't read."""
-    row = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("*").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return f"{row['n']}:{row['s']}"
+def fingerprint(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What the files of tables are: times, bytes and numbers of files, as the file system tells; contents aren't read and no job runs."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(conf)
+        summary = system.getContentSummary(path)
+        found.append((name, system.getFileStatus(path).getModificationTime(), summary.getLength(), summary.getFileCount()))
+    return sf_dir, *found
 
 
 _REMEMBERED: dict[tuple, object] = {}

@@ -69,6 +69,7 @@ def test_order_of_input_rows_changes_nothing(name, spark, sf, monkeypatch):
 
     before = sorted(map(str, QUERIES[name](spark, sf).collect()))
     mixed = lambda s, d, n: session.table(s, d, n).repartition(7).orderBy(session.F.rand(3))
+    monkeypatch.setattr(session, "_REMEMBERED", {})
     for module in (qg, qo, qr, qu, sg):
         if hasattr(module, "table"):
             monkeypatch.setattr(module, "table", mixed)
