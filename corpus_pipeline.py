@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import byte_bpe, decontaminate, language_id, minhash, secret_scan
 from corvane.llm.queries import remainder, vocabulary_path
-from corvane.session import ensure_checkpoint_dir, table
+from corvane.session import ensure_checkpoint_dir, free_name, remove_at_exit, table
 
 #: From this score on a predicted language is believed.
 MIN_LANGUAGE_SCORE = 0.5
@@ -34,19 +34,20 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is not contaminated by benchmark items."""
-    keys = decontaminate.leaking_keys(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("key", "__leak")
-    return docs.join(keys, F.md5(docs["text"]) == F.col("__leak"), "left_anti")
+    """Rows whose text is not contaminated by benchmark items; null and empty texts stay."""
+    leak = free_name(docs.columns, "__leak")
+    keys = decontaminate.leaking_keys(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("key", leak)
+    return docs.join(keys, F.md5(docs["text"]) == F.col(leak), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, found secrets replaced in the text."""
+    """All rows, found secrets replaced in the text; null and empty texts stay as they are."""
     words = secret_scan.dictionary(docs)
     return secret_scan.redact(docs, secret_scan.train_forest(secret_scan.generated_findings(spark, words), words))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of all rows."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of all rows; null and empty texts have no tokens."""
     return byte_bpe.encode(docs, vocabulary_path(), ids=True)
 
 
@@ -66,6 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is a table in the shared folder, so lost executors cost no earlier stage."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
