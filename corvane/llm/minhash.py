@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.structural import number
-from ..session import broadcast_if_small, cut, ship
+from ..session import broadcast_if_small, cut, free_name, ship
 from . import textbatch as tb
 
 #: Texts with more than one in so many rows are joined by broadcast.
@@ -219,9 +219,10 @@ def keep_one(docs: DataFrame, config: MinHashConfig = MinHashConfig(), doc_id: s
         docs = docs.where(both).dropDuplicates([doc_id, text]).unionByName(docs.where(~both))
     found = classes(docs, config, doc_id, text, digest=True)
     # the class takes its id from one document; another text under that id is another document
-    gone = cut(found.where(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("__id"), F.col("digest").alias("__digest")).distinct())
+    own_id, own_digest = free_name(docs.columns, "__id"), free_name(docs.columns, "__digest")
+    gone = cut(found.where(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias(own_id), F.col("digest").alias(own_digest)).distinct())
     gone = broadcast_if_small(gone, gone.count() * 64)
-    return docs.join(gone, (docs[doc_id] == F.col("__id")) & (key == F.col("__digest")), "left_anti")
+    return docs.join(gone, (docs[doc_id] == F.col(own_id)) & (key == F.col(own_digest)), "left_anti")
 
 
 def _moves(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> list[DataFrame]:

@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import free_name
+
 #: Beginnings of public key formats.
 FORMATS = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|SG\.|npm_|eyJ|-----BEGIN)"
 
@@ -257,42 +259,43 @@ def findings(docs: DataFrame, forest: Forest, config: ForestConfig = ForestConfi
     return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "start", (F.col("start") + F.length("value")).alias("end"), "value", "votes")
 
 
-def _with_spans(docs: DataFrame, forest: Forest, config: ForestConfig, text: str, path: str | None) -> tuple[DataFrame, DataFrame]:
-    """(rows that have a candidate, with the found spans as __spans or null; all other rows).
+def _with_spans(docs: DataFrame, forest: Forest, config: ForestConfig, text: str, path: str | None) -> tuple[DataFrame, DataFrame, str]:
+    """(rows that have a candidate, with the found spans or null in one more column; all other rows; that column's name).
 
     Texts meet their findings by a digest, so repeated and null ids are no matter; a text without a candidate doesn't move.
     """
     value = F.col(text).cast("string")
     suspect = F.coalesce(value.rlike(CANDIDATE), F.lit(False))
     place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    marked = docs.where(suspect).withColumn("__key", F.md5(F.concat_ws("\u0000", place, value)))
+    key, salt, spans = (free_name(docs.columns, name) for name in ("__key", "__salt", "__spans"))
+    marked = docs.where(suspect).withColumn(key, F.md5(F.concat_ws("\u0000", place, value)))
     # one text may be a third of all rows: rows meet their text's findings by salted keys
     plain = [f.name for f in docs.schema.fields if f.name != text and f.dataType.typeName() not in ("map", "array", "struct", "variant")]
-    marked = marked.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)) if plain else F.lit(0).cast("long"))
-    found = findings(marked, forest, config, ("__key",), text, path).groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
-    found = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return marked.join(found, ["__key", "__salt"], "left"), docs.where(~suspect)
+    marked = marked.withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(SALTS)) if plain else F.lit(0).cast("long"))
+    found = findings(marked, forest, config, (key,), text, path).groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans))
+    found = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return marked.join(found, [key, salt], "left"), docs.where(~suspect), spans
 
 
 def report(docs: DataFrame, forest: Forest, config: ForestConfig = ForestConfig(), keep: tuple[str, ...] = ("doc_id",), text: str = "text", path: str | None = "source") -> DataFrame:
     """The columns `keep` of every row with n_secrets and spans (start:end in code points, comma-joined)."""
-    rows, clean = _with_spans(docs, forest, config, text, path)
-    listed = F.array_join(F.transform("__spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    rows = rows.select(*keep, F.coalesce(F.size("__spans"), F.lit(0)).cast("long").alias("n_secrets"), F.coalesce(listed, F.lit("")).alias("spans"))
+    rows, clean, spans = _with_spans(docs, forest, config, text, path)
+    listed = F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    rows = rows.select(*keep, F.coalesce(F.size(spans), F.lit(0)).cast("long").alias("n_secrets"), F.coalesce(listed, F.lit("")).alias("spans"))
     return rows.unionByName(clean.select(*keep, F.lit(0).cast("long").alias("n_secrets"), F.lit("").alias("spans")))
 
 
 def redact(docs: DataFrame, forest: Forest, config: ForestConfig = ForestConfig(), text: str = "text", path: str | None = "source", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every found secret in `text` replaced by the mark, and `n_chars`, if there, counted anew."""
-    rows, clean = _with_spans(docs, forest, config, text, path)
+    rows, clean, spans = _with_spans(docs, forest, config, text, path)
     value = F.col(text).cast("string")
     pieces = F.aggregate(
-        F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")),
+        F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(value, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out")),
     )
     whole = F.concat(pieces["out"], F.substring(value, pieces["at"] + 1, F.length(value)))
-    changed = rows.withColumn(text, F.when(F.col("__spans").isNotNull(), whole).otherwise(value))
+    changed = rows.withColumn(text, F.when(F.col(spans).isNotNull(), whole).otherwise(value))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        changed = changed.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns).unionByName(clean)
