@@ -133,6 +133,18 @@ def default_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return default_ranking.rank(found).select("rank", "path", "exact", "partial")
 
 
+@query(
+    "multi_root_rank",
+    _default_sql(["hend", "src1", "thand", "tionble"], ["doc-12.md"]) + ", r as (select *, case when split_part(path, '/', 2) = 'en' then 'roots/a' else 'roots/b' end bundle from m) select row_number() over (order by exact desc, partial desc, active desc, canonical desc, public_safe desc, confidence desc, bundle, path) rank, bundle, path from r qualify rank <= 32",
+)
+def multi_root_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two roots ranked as one corpus; of equal files those of the first root come first."""
+    rows = files(spark, sf_dir)
+    first, second = rows.where("lang = 'en'").withColumn("bundle", F.lit("roots/a")), rows.where("lang <> 'en' or lang is null").withColumn("bundle", F.lit("roots/b"))
+    found = default_ranking.matches(second.unionByName(first), "doc-12.md hend src1 thand tionble")
+    return default_ranking.rank(found, cross_bundle=True).select("rank", "bundle", "path")
+
+
 @query("default_rank_suppressed", _default_sql(["thand", "tionble"], ["never-seen-anywhere.cfg"]) + " select path, exact, partial from m where not ((select coalesce(max(exact), 0) from m) = 0)")
 def default_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entity that is nowhere silences generic matches."""

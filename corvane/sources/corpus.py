@@ -136,8 +136,15 @@ def valid_descriptions(spark: SparkSession, lines: DataFrame, files: DataFrame)
     return fresh.withColumn("__n", first).where("__n = 1").select("path", "description")
 
 
-def scan_tree(spark: SparkSession, root: str, glob: str | None = None, max_file_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(files, diagnostics) below a folder: text files within the limit, and why others were left out."""
+class ScanLimit(RuntimeError):
+    """A tree with more files or bytes than a scan may take."""
+
+
+def scan_tree(spark: SparkSession, root: str, glob: str | None = None, max_file_bytes: int = 1 << 20, max_files: int | None = None, max_total_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, diagnostics) below a folder: text files within the limit, and why others were left out.
+
+    With max_files or max_total_bytes a tree beyond them is refused as a whole (ScanLimit); only names and sizes are read for that.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -145,6 +152,10 @@ def scan_tree(spark: SparkSession, root: str, glob: str | None = None, max_file_
     prefix = "^" + re.escape(root if "://" in root or root.startswith("file:") else f"file:{root}").replace("file:", "file:/*", 1).rstrip("/") + "/"
     path = F.regexp_replace("path", prefix.replace("file:/*/", "file:/+"), "")
     rows = raw.select(path.alias("path"), "content", F.col("length").alias("bytes")).where(~ignored(F.col("path")))
+    if max_files is not None or max_total_bytes is not None:
+        found = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("bytes") <= max_file_bytes, F.col("bytes"))), F.lit(0)).alias("bytes")).first()
+        if max_files is not None and found["n"] > max_files or max_total_bytes is not None and found["bytes"] > max_total_bytes:
+            raise ScanLimit(f"{found['n']} files, {found['bytes']} bytes")
     # a NUL byte, or no UTF-8, among the first 512 bytes; a character that the cut splits counts as none
     head = F.substring("content", 1, 512)
     head_bad = F.hex(head).rlike("^(?:[0-9A-F]{2})*?00") | ~F.is_valid_utf8(head.cast("string"))

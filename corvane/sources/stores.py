@@ -143,6 +143,14 @@ def parse_canonical(text: str) -> object:
     return json.loads(text, object_pairs_hook=pairs)
 
 
+def brief_record(roots: list[str], revisions: list[str | None], question: str, top: int, outcome: str, matched: list[str], unmatched: list[str], rankings: list[dict], digests: list[str]) -> tuple[str, str]:
+    """(id, text) of what is stored of a brief: a canonical record, whose id is its SHA-256; digests are those of the ranked files, zeros for missing ones."""
+    if len(digests) != len(rankings) or any(not re.fullmatch("[0-9a-f]{64}", d) for d in digests):
+        raise ValueError("a digest for each ranking")
+    text = canonical_json({"schema_version": 1, "kind": "brief", "roots": roots, "revisions": revisions, "question": question, "top": top, "outcome": outcome, "matched": sorted(matched), "unmatched": sorted(unmatched), "rankings": [{**r, "content_digest": d} for r, d in zip(rankings, digests, strict=True)]})
+    return hashlib.sha256(text.encode()).hexdigest(), text
+
+
 def bundle_digest(docs: DataFrame) -> DataFrame:
     """(path, digest): digest of each document's canonical form; equal bundles have equal rows."""
     form = F.to_json(F.struct("path", F.coalesce("text", F.lit("")).alias("text")))

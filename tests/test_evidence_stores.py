@@ -124,3 +124,12 @@ def test_requests_are_asked_again(spark):
     today = {"q": [("b", "x", 1, "r"), ("b", "z", 2, "r")], "p": [("b", "x", 3, "r")]}
     found = evidence_log.reevaluate(recorded, ["q", "p"], lambda r: spark.createDataFrame(today[r], "bundle string, locator string, rank int, match_reason string"))
     assert {(r["request"], r["locator"], r["change"]) for r in found.collect()} == {("q", "y", "removed"), ("q", "z", "added"), ("p", "x", "changed")}
+
+
+def test_records_of_briefs(tmp_path):
+    args = (["/r"], [None], "q", 8, "grounded", ["b", "a"], [], [{"rank": 1, "locator": "x", "reason": "exact:path"}], ["0" * 64])
+    key, text = stores.brief_record(*args)
+    assert stores.FileStore(str(tmp_path)).put(text.encode()) == key and json.loads(text)["matched"] == ["a", "b"]
+    assert stores.brief_record(*args[:2], "other", *args[3:])[0] != key
+    with pytest.raises(ValueError):
+        stores.brief_record(*args[:-1], [])

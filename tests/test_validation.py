@@ -159,3 +159,8 @@ def test_oversized_files_with_nul_bytes(tmp_path, spark):
     (tmp_path / "b.md").write_bytes(b"\x10\x0a" + b"0" * 3000)
     found = {r["path"]: r["kind"] for r in corpus.scan_tree(spark, str(tmp_path), max_file_bytes=1000)[1].collect()}
     assert found == {"a.bin": "unsupported-input", "b.md": "oversized-input"}
+    with pytest.raises(corpus.ScanLimit):
+        corpus.scan_tree(spark, str(tmp_path), max_files=1)
+    with pytest.raises(corpus.ScanLimit):
+        corpus.scan_tree(spark, str(tmp_path), max_file_bytes=4000, max_total_bytes=4000)
+    assert corpus.scan_tree(spark, str(tmp_path), max_file_bytes=4000, max_files=2, max_total_bytes=8000)[0].count() == 1
