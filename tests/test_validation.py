@@ -163,4 +163,4 @@ def test_oversized_files_with_nul_bytes(tmp_path, spark):
         corpus.scan_tree(spark, str(tmp_path), max_files=1)
     with pytest.raises(corpus.ScanLimit):
         corpus.scan_tree(spark, str(tmp_path), max_file_bytes=4000, max_total_bytes=4000)
-    assert corpus.scan_tree(spark, str(tmp_path), max_file_bytes=4000, max_files=2, max_total_bytes=8000)[0].count() == 1
+    assert corpus.scan_tree(spark, str(tmp_path), max_file_bytes=4000, max_files=2, max_total_bytes=8000)[0].count() == 2
