@@ -34,7 +34,7 @@ KEEP_PIECES = 500_000
 #: Bytes of them at most, before what a chunk adds.
 KEEP_BYTES = 1 << 24
 #: Pairs of tokens whose border a worker remembers.
-KEEP_PAIRS = 100_000
+KEEP_PAIRS = 60_000
 _NEVER = 1 << 30
 
 
@@ -157,24 +157,24 @@ class PieceStore:
     The bytes of the kept pieces are compared with those looked up. Pieces whose hash belongs to other bytes go by their bytes.
     """
 
-    def __init__(self, compute, keep: int = KEEP_PIECES) -> None:
-        self.compute, self.keep = compute, keep
+    def __init__(self, compute, keep: int = KEEP_PIECES, kind: type = np.int64) -> None:
+        self.compute, self.keep, self.kind = compute, keep, kind
         self._clear()
 
     def _clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)
+        self.place = np.zeros(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
-        self.values = np.zeros(0, np.int64)
+        self.values = np.zeros(0, self.kind)
         self.byte_offsets = np.zeros(1, np.int64)
         self.bytes = np.zeros(0, np.uint8)
 
     def _add(self, pieces: list[bytes]) -> np.ndarray:
         """The places of new pieces."""
         found = self.compute(pieces)
-        places = np.arange(len(pieces)) + len(self.offsets) - 1
+        places = (np.arange(len(pieces)) + len(self.offsets) - 1).astype(np.int32)
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)])
-        self.values = np.concatenate([self.values, np.array([y for x in found for y in x], np.int64)])
+        self.values = np.concatenate([self.values, np.array([y for x in found for y in x], self.kind)])
         self.byte_offsets = np.concatenate([self.byte_offsets, self.byte_offsets[-1] + np.cumsum([len(x) for x in pieces], dtype=np.int64)])
         self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
         return places
@@ -227,7 +227,7 @@ class BatchEncoder:
 
     def __init__(self, bpe: ByteBpe) -> None:
         self.bpe = bpe
-        self.store = PieceStore(lambda pieces: encode_pieces(bpe, pieces))
+        self.store = PieceStore(lambda pieces: encode_pieces(bpe, pieces), kind=np.int32)
         n = max(bpe.token, default=-1) + 1
         lengths = np.array([len(bpe.token.get(i, b"")) for i in range(n)], np.int64)
         self.token_offsets = np.concatenate([[0], np.cumsum(lengths)])
