@@ -232,8 +232,11 @@ def _moves(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> list[D
     First every member is held against the most crowded one of its bucket, the likeliest to be the text that others were made from. What is
     left are pairs x, y of a bucket in different classes. With i and e for how many of a text's shingles its centre has and hasn't:
     if x and y share no shingle beyond the centre's, they have min(ix, iy) in common at most, which is seldom enough, and the few pairs for
-    which it is are compared. Else they share a shingle beyond the centre's; of those x needs only the first ex - (t * nx - ix) + 1 in the order of
-    hashes, since so many must be common. Texts with the same such shingle and centre make a bucket of their own. So no pair is lost.
+    which it is are compared. Else they share a shingle beyond the centre's; of those x needs only the first ex - (t * nx - ix) + 1 in any order
+    that all keep, since so many must be common. Texts with the same such shingle and centre make a bucket of their own. The order of hashes
+    finds the texts that meet another at all; among these the rarest shingles come first, so what many texts share is seldom needed, and a
+    shingle's place px bounds what can follow it: a pair whose first common shingle it is has min(ix, iy) + min(ex - px, ey - py) in common at
+    most. So no pair is lost.
     """
     t = config.threshold
     centres = members.groupBy("bucket").agg(F.min(F.struct(F.negative("crowd").alias("crowd"), "id", "n")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("nc"))
@@ -242,23 +245,46 @@ def _moves(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> list[D
     moves: list[DataFrame] = []
     _link(checked.where(_similar(F.col("common"), F.col("n"), F.col("nc"), t)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), moves)
     held = placed.join(checked.select(F.col("a").alias("id"), F.col("b").alias("centre"), "common"), ["id", "centre"], "left")
-    held = held.select("bucket", "id", "n", "crowd", "centre", F.coalesce("common", "n").alias("i"), (F.col("id") == F.col("centre")).alias("done"), F.col("id").alias("label"))
+    held = held.select("bucket", "id", "n", "crowd", "centre", F.coalesce("common", "n").alias("i"), F.lit(0).alias("more"), (F.col("id") == F.col("centre")).alias("done"), F.col("id").alias("label"))
     held = _several(_relabelled(held, moves))
-    _rounds(held, sets, config, moves, True)
+    _rounds(_several(held.where(_able("i", "n", t))), sets, config, moves)
     held = _several(_relabelled(held.withColumn("label", F.col("id")), moves))
     apart = held.where("not done").select(F.col("id").alias("a"), F.col("centre").alias("b"), "n", "i", "crowd").distinct()
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     beyond = F.array_sort(F.array_except("ga", "gb"))
     needed = F.greatest(F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)) - F.col("i"), F.lit(1))
-    novel = apart.join(left, "a").join(right, "b").select(F.col("a").alias("id"), F.col("b").alias("centre"), "n", "crowd", F.slice(beyond, F.lit(1), F.greatest(F.size(beyond) - needed + 1, F.lit(0)).cast("int")).alias("g"))
-    again = novel.select("id", "n", "crowd", F.explode("g").alias("g"), "centre").select("id", "n", "crowd", F.xxhash64("centre", "g").alias("bucket"))
+    first = F.slice(beyond, F.lit(1), F.greatest(F.size(beyond) - needed + 1, F.lit(0)).cast("int"))
+    novel = apart.join(left, "a").join(right, "b").select(F.col("a").alias("id"), F.col("b").alias("centre"), "n", "i", "crowd", first.alias("g"))
+    again = novel.select("id", "n", "i", "crowd", F.explode("g").alias("g"), "centre").withColumn("bucket", F.xxhash64("centre", "g"))
     shared = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("bucket")
-    again = again.join(shared, "bucket").select("bucket", "id", "n", "crowd", F.lit(0).alias("i"), F.lit(False).alias("done"), F.col("id").alias("label"))
-    _rounds(_several(_relabelled(again, moves)), sets, config, moves, False)
+    again = again.join(shared, "bucket").select("bucket", "id", "n", "i", "crowd", "centre", F.lit(False).alias("done"), F.col("id").alias("label"))
+    live = cut(_several(_relabelled(again, moves)).select(F.col("id").alias("a"), F.col("centre").alias("b"), "n", "i", "crowd", "label").distinct())
+    _rounds(_several(_rarest_first(live, left, right, t)), sets, config, moves)
     return moves
 
 
+def _able(reach: Column | str, n: Column | str, threshold: float) -> Column:
+    """Whether a set of n that can have so many in common with another can reach the Jaccard threshold with any."""
+    reach, n = (F.col(x) if isinstance(x, str) else x for x in (reach, n))
+    return reach >= F.lit(threshold) * n - F.lit(1e-9)
+
+
+def _rarest_first(live: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Members of the buckets of shingles beyond the centre's, those in fewest texts of the centre first, as far as a text needs them.
+
+    live: (a, b, n, i, crowd, label) of texts a and centres b. more: how many from the shingle on are beyond the centre's.
+    """
+    whole = live.join(left, "a").join(right, "b").select(F.col("a").alias("id"), F.col("b").alias("centre"), "n", "i", "crowd", "label", F.explode(F.array_except("ga", "gb")).alias("g"))
+    whole = whole.select("id", "centre", "n", "i", "crowd", "label", F.xxhash64("centre", "g").alias("bucket"))
+    often = whole.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
+    # shingles of one text alone come before all others, so only their number matters
+    ranked = whole.join(often, "bucket").groupBy("id", "centre", "n", "i", "crowd", "label").agg(F.sort_array(F.collect_list(F.struct("of", "bucket"))).alias("s"))
+    placed = ranked.select("id", "n", "i", "crowd", "label", F.size("s").alias("many"), F.posexplode("s").alias("p", "s"))
+    placed = placed.select("s.bucket", "id", "n", "crowd", "i", (F.col("many") - F.col("p")).alias("more"), F.lit(False).alias("done"), "label")
+    return placed.where(_able(F.col("i") + F.col("more"), "n", threshold))
+
+
 def _link(edges: DataFrame, moves: list[DataFrame]) -> None:
     moved = components(cut(edges))
     if moved is not None:
@@ -279,23 +305,40 @@ def _several(members: DataFrame) -> DataFrame:
     return cut(members.join(mixed, "bucket", "left_semi"))
 
 
-def _rounds(held: DataFrame, sets: DataFrame, config: MinHashConfig, moves: list[DataFrame], within_centre: bool) -> None:
+def _hopeful(members: DataFrame, threshold: float) -> DataFrame:
+    """Members that some other class of their bucket may hold a similar text for, by its least size and its greatest bound.
+
+    With i + more, a text has no more in common with another; so the threshold bounds the other's size (most). Work is linear in the members.
+    """
+    most = (F.col("i") + F.col("more")) * F.lit((1 + threshold) / threshold) - F.col("n") + F.lit(1e-6)
+    sides = members.groupBy("bucket", "label").agg(F.min("n").alias("least"), F.max(most).alias("most"))
+    ends = sides.groupBy("bucket").agg(F.min(F.struct("least", "label")).alias("lo"), F.max(F.struct("most", "label")).alias("hi"))
+    # what the class of the extreme itself meets is the extreme of the others; null where there are none
+    others = [F.min(F.when(F.col("label") != F.col("lo.label"), F.col("least"))).alias("least"), F.max(F.when(F.col("label") != F.col("hi.label"), F.col("most"))).alias("most")]
+    ends = ends.join(sides.join(ends, "bucket").groupBy("bucket").agg(*others), "bucket")
+    least = F.when(F.col("label") != F.col("lo.label"), F.col("lo.least")).otherwise(F.col("least"))
+    greatest = F.when(F.col("label") != F.col("hi.label"), F.col("hi.most")).otherwise(F.col("most"))
+    able = _able(F.col("i") + F.col("more"), "n", threshold) & (most >= least) & (F.col("n") <= greatest)
+    return members.join(ends, "bucket").where(able).select(*members.columns)
+
+
+def _rounds(held: DataFrame, sets: DataFrame, config: MinHashConfig, moves: list[DataFrame]) -> None:
     """Compares pairs of different classes in their buckets, until each bucket is one class or all its members were centres.
 
-    A round's centres are the most crowded members of each of n groups by hash, n sixteen times more in each round. within_centre: only pairs
-    count that can reach the threshold with what they share with the bucket's centre.
+    A round's centres are the most crowded members of each of n groups by hash, n sixteen times more in each round. Only pairs count that can
+    reach the threshold with i, what they share with the bucket's centre, and more, what else they may share.
     """
     t = config.threshold
     for n_round in range(1 << 30):
+        held = cut(_hopeful(held, t))
         if held.isEmpty():
             return
         slot = F.pmod(F.xxhash64("id", F.lit(n_round)), F.lit(config.centres * 16**n_round))
-        best = held.where(~F.col("done")).groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.negative("crowd").alias("crowd"), "id", "label", "n", "i")).alias("c"))
-        centres = cut(best.select("bucket", F.col("c.id").alias("other"), F.col("c.label").alias("lo"), F.col("c.n").alias("no"), F.col("c.i").alias("io")))
+        best = held.where(~F.col("done")).groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.negative("crowd").alias("crowd"), "id", "label", "n", "i", "more")).alias("c"))
+        centres = cut(best.select("bucket", F.col("c.id").alias("other"), F.col("c.label").alias("lo"), F.col("c.n").alias("no"), F.col("c.i").alias("io"), F.col("c.more").alias("mo")))
         # a pair whose sizes differ too much can't reach the threshold; what was a centre before has met all members
         able = (F.least("n", "no") >= F.lit(t) * F.greatest("n", "no")) & (F.col("label") != F.col("lo"))
-        if within_centre:
-            able = able & _similar(F.least("i", "io"), F.col("n"), F.col("no"), t)
+        able = able & _similar(F.least("i", "io") + F.least("more", "mo"), F.col("n"), F.col("no"), t)
         pairs = held.where(~F.col("done")).join(centres, "bucket").where(able)
         low = F.col("id") < F.col("other")
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "n", "no", F.when(low, F.col("label")).otherwise(F.col("lo")).alias("la"), F.when(low, F.col("lo")).otherwise(F.col("label")).alias("lb"))

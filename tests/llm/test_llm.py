@@ -129,6 +129,35 @@ def test_a_text_with_very_many_rows(spark):
     found = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(found) == len(rows) and all(c == (5 if d < 4000 else d) for d, c in found.items())
 
+def shared_passages(n=60):
+    """Texts in two families over one base: within a family a passage is common and the rest is each text's own, so no two are near enough."""
+    base, rows = [f"b{i}" for i in range(70)], []
+    for family in "pq":
+        passage = [f"{family}{i}" for i in range(12)]
+        rows += [base + passage + [f"{family}{k}u{i}" for i in range(18)] for k in range(n)]
+    rows += [w[:-1] + ["z"] for w in rows[::10]]  # near copies of some
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.fixture
+def compared(monkeypatch):
+    """How many pairs each call compares."""
+    whole, seen = minhash._compared, []
+
+    def counted(pairs, sets):
+        seen.append(pairs.count())
+        return whole(pairs, sets)
+
+    monkeypatch.setattr(minhash, "_compared", counted)
+    return seen
+
+
+def test_texts_that_share_a_passage_are_not_compared_in_pairs(spark, compared):
+    rows = shared_passages()
+    found = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_classes(rows)
+    assert sum(compared[1:]) <= len(rows)  # the first call holds members against their centres
+
 
 def test_texts_under_one_id_stay_apart(spark):
     a, b, c = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).split(), [f"x{i}" for i in range(30)], [f"y{i}" for i in range(30)]
