@@ -115,11 +115,28 @@ def _ending_tables() -> tuple[np.ndarray, np.ndarray]:
     return (tb.mix(one * np.uint64(257) + two) % np.uint64(WIDE - SHARED)).astype(np.int64) + SHARED, (tb.mix(np.arange(256, dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, hashes: np.ndarray, default: int) -> np.ndarray:
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """The place in ordered hashes where each value of their upper bits begins, or the last place; about as many values as keys."""
+    bits = len(keys).bit_length()
+    counts = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(np.cumsum(counts) - counts, len(keys) - 1).astype(np.int32)
+
+
+def _lookup(keys: np.ndarray, values: np.ndarray, hashes: np.ndarray, default: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """The values of hashes in ordered keys; starts: of these keys, where they are kept."""
     if not len(keys):
         return np.full(len(hashes), default, np.int64)
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return np.where(keys[at] == hashes, values[at], default)
+    if starts is None:
+        starts = _starts(keys)
+    at = starts.take((hashes >> np.uint64(65 - len(starts).bit_length())).astype(np.int64))
+    found = keys.take(at)
+    behind = np.flatnonzero(found < hashes)
+    while len(behind):  # upper bits of hashes are spread evenly, so few keys share a start
+        at[behind] += 1
+        behind = behind[at.take(behind) < len(keys)]
+        found[behind] = keys.take(at.take(behind))
+        behind = behind[found.take(behind) < hashes.take(behind)]
+    return np.where(found == hashes, values.take(at, mode="clip"), default)
 
 
 def with_ends(rows: np.ndarray, n_rows: int, *columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -279,47 +296,59 @@ def _bias(words: Vocabulary) -> np.ndarray:
     return np.log(nodes / nodes.sum(1, keepdims=True)).astype(np.float32)
 
 
-def _summed(at: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows of weights, sum of the slopes of the tokens that have each): at is FEATURES x tokens, slope tokens x WIDE."""
-    shift = max((at.size - 1).bit_length(), 1)
-    keys = at.ravel() << shift
-    keys |= np.arange(at.size)
+def _summed(at: np.ndarray, slope: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows of weights, sum of the slopes of the tokens that have each): at is FEATURES x tokens, slope tokens x WIDE, room an array for the sums."""
+    shift = max((at.shape[1] - 1).bit_length(), 1)
+    keys = at << shift
+    keys |= np.arange(at.shape[1])
+    keys = keys.ravel()
+    if int(keys.max()) < 1 << 32:  # half the bytes to sort
+        keys = keys.astype(np.uint32)
     keys.sort()
-    token, own = (keys & ((1 << shift) - 1)) % at.shape[1], keys >> shift
+    own = keys >> shift
+    token = (keys & ((1 << shift) - 1)).astype(np.int64)
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     n = np.diff(np.append(first, len(own)))
-    gradient, done, live = slope.take(token.take(first), axis=0), 1, np.flatnonzero(n > 1)
-    while len(live) > 64 and done < 8:  # most rows have few tokens: one of each at a time
-        gradient[live] += slope.take(token.take(first[live] + done), axis=0)
+    # rows of many tokens go first, so those with one more are always the first ones
+    several = np.flatnonzero(n > 1)
+    several = several[np.argsort(-n.take(several), kind="stable")]
+    left = n.take(several)
+    first = np.concatenate([first.take(several), first[n == 1]])
+    if room is None:
+        room = np.empty((at.size, WIDE), slope.dtype)
+    gradient, done, live = slope.take(token.take(first), axis=0, out=room[: len(first)], mode="clip"), 1, len(several)
+    while live > 64 and done < 12:  # most rows have few tokens: one of each at a time
+        gradient[:live] += slope.take(token.take(first[:live] + done), axis=0)
         done += 1
-        live = live[n[live] > done]
-    if len(live):
-        rest = n[live] - done
+        live = int(np.searchsorted(-left, -done))
+    if live:
+        rest = left[:live] - done
         begin = np.cumsum(rest) - rest
-        places = np.arange(rest.sum()) + np.repeat(first[live] + done - begin, rest)
-        gradient[live] += np.add.reduceat(slope.take(token.take(places), axis=0), begin, axis=0)
-    return own.take(first), gradient
+        places = np.arange(rest.sum()) + np.repeat(first[:live] + done - begin, rest)
+        gradient[:live] += np.add.reduceat(slope.take(token.take(places), axis=0), begin, axis=0)
+    return own.take(first).astype(np.int64), gradient
 
 
-def sgd(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray, times: np.ndarray, config: MaxentConfig, used: np.ndarray) -> None:
-    """One Adagrad step over a batch of tokens; squares has one sum a row of weights, used marks the rows."""
+def sgd(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray, times: np.ndarray, config: MaxentConfig, used: np.ndarray, room: np.ndarray) -> None:
+    """One Adagrad step over a batch of tokens; squares has one sum a row of weights, used marks the rows; room (2 x FEATURES * tokens x WIDE) is kept from step to step, since workers get memory for large arrays from the system each time."""
     weighted = bool((times != 1).any())
+    whole = weights.view(f"V{weights.itemsize * WIDE}")[:, 0]  # a row as one item is written at once
     for level, (which, node, y) in enumerate(steps_down(classes)):
         if not len(y):
             continue
         at = cells(features, which, node, level, config.buckets)
         slope, total = class_weights(weights, bias, at, node)
         slope *= (1 / total)[:, None]
-        slope[np.arange(len(y)), y] -= 1
+        slope.ravel()[np.arange(0, slope.size, WIDE) + y] -= 1
         if weighted:
             slope *= times[which, None]
-        rows, gradient = _summed(at, slope)
+        rows, gradient = _summed(at, slope, room[0])
         grown = squares.take(rows) + np.einsum("ij,ij->i", gradient, gradient)
         squares[rows] = grown
         gradient *= (np.float32(config.rate) / np.sqrt(grown))[:, None]
-        held = weights.take(rows, axis=0)
+        held = weights.take(rows, axis=0, out=room[1, : len(rows)], mode="clip")
         held -= gradient
-        weights[rows] = held
+        whole[rows] = held.view(whole.dtype)[:, 0]
         used[rows] = True
 
 
@@ -334,6 +363,7 @@ class _Shard:
         self.start, self.bias, self.config = start, bias, config
         self.own, self.squares, self.used = start.copy(), np.ones(len(start), np.float32), np.zeros(len(start), bool)
         self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.room = np.empty((2, FEATURES * config.batch, WIDE), np.float32)
 
     def add(self, *columns: np.ndarray, last: bool = False) -> None:
         """Tokens' features, classes and times; steps are of `batch` tokens, however they come."""
@@ -346,7 +376,7 @@ class _Shard:
         whole = len(classes) if last else len(classes) // size * size
         for begin in range(0, whole, size):
             part = slice(begin, min(begin + size, whole))
-            sgd(self.own, self.squares, self.bias, features[:, part], classes[part], times[part], self.config, self.used)
+            sgd(self.own, self.squares, self.bias, features[:, part], classes[part], times[part], self.config, self.used, self.room)
         self.waiting = [(features[:, whole:], classes[whole:], times[whole:])] if whole < len(classes) else []
 
     def changes(self) -> pa.RecordBatch:
@@ -441,6 +471,7 @@ def _scoring(shared):
         log_total = np.log10(np.maximum(words.class_total, 1))
         # a class of one word has no factor of its own; the word's count is in the class
         single = np.arange(LEAVES) < SINGLE
+        starts = _starts(words.hot)
         for batch in batches:
             for first, last, data, offs in tb.chunks(batch.column("txt")):
                 n = last - first
@@ -455,7 +486,7 @@ def _scoring(shared):
                 # most tokens are words that are classes of their own; the others are looked up
                 count = words.top_count[np.where(single[classes], classes, 0)]
                 others = np.flatnonzero(~single[classes])
-                count[others] = _lookup(words.hot, words.hot_count, hashes[others], -1)
+                count[others] = _lookup(words.hot, words.hot_count, hashes[others], -1, starts)
                 known = count >= 0  # the end is known without a training text too, with a count of none
                 log_count = np.log10(np.maximum(count, 0) + 1)
                 value += np.where(single[classes], 0.0, np.where(known, log_count, 0.0) - log_total[classes])
