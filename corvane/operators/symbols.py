@@ -10,8 +10,8 @@ from ..functions import text as tx
 
 
 ROLES = ["definition", "implementation", "reference"]
-#: Symbols and pairs of symbols that an answer looks at, document matches that it shows.
-MAX_SYMBOLS, MAX_MATCHES = 1_024, 32
+#: Document matches that an answer shows.
+MAX_MATCHES = 32
 
 
 def candidates(question: Column) -> Column:
@@ -24,11 +24,12 @@ def evidence(symbols: DataFrame, occurrences: DataFrame, relations: DataFrame, r
 
     symbols: symbol, name, navigable. occurrences: path, symbol, definition, start_line, end_line. relations: symbol, target that it implements. A definition of
     a symbol that implements a named one is an implementation. truncated: there is more, beyond the limit or in documents without a rank.
+    All named symbols and all pairs count, however many; their joins have no broadcast hint, so that Spark shuffles where they are large.
     """
-    wanted = symbols.where(F.col("navigable") & tx.lower_ascii(F.col("name")).isin(names)).select("symbol").distinct().orderBy("symbol").limit(MAX_SYMBOLS)
-    own = occurrences.join(F.broadcast(wanted), "symbol", "left_semi").select("path", "symbol", "start_line", "end_line", F.when(F.col("definition"), ROLES[0]).otherwise(ROLES[2]).alias("role"), F.lit(None).cast("string").alias("implements"))
-    pairs = relations.join(F.broadcast(wanted.withColumnRenamed("symbol", "target")), "target", "left_semi").select("symbol", F.col("target").alias("implements")).distinct().orderBy("symbol", "implements").limit(MAX_SYMBOLS)
-    more = occurrences.where("definition").join(F.broadcast(pairs), "symbol").select("path", "symbol", "start_line", "end_line", F.lit(ROLES[1]).alias("role"), "implements")
+    wanted = symbols.where(F.col("navigable") & tx.lower_ascii(F.col("name")).isin(names)).select("symbol").distinct()
+    own = occurrences.join(wanted, "symbol", "left_semi").select("path", "symbol", "start_line", "end_line", F.when(F.col("definition"), ROLES[0]).otherwise(ROLES[2]).alias("role"), F.lit(None).cast("string").alias("implements"))
+    pairs = relations.join(wanted.withColumnRenamed("symbol", "target"), "target", "left_semi").select("symbol", F.col("target").alias("implements")).distinct()
+    more = occurrences.where("definition").join(pairs, "symbol").select("path", "symbol", "start_line", "end_line", F.lit(ROLES[1]).alias("role"), "implements")
     found = own.unionByName(more).distinct().join(ranked.select("path", "rank"), "path", "left")
     order = [F.asc("rank"), F.asc("path"), F.asc("start_line"), F.asc("end_line"), F.asc("role"), F.asc("symbol"), F.asc_nulls_first("implements")]
     # what has no rank is only counted; of the rest no more than limit + 1 rows are numbered

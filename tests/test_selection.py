@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corvane.operators import selection
+from corvane.operators import selection, symbols
 from corvane.sources import identity, symbol_index
 from corvane.plans.registry import QUERIES
 from corvane.session import table
@@ -84,3 +84,19 @@ def test_excerpts_match_brute_force(spark, sf):
 
     rows = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(", "), F.lit("\n")).alias("t")).select("t", selection.excerpt(F.col("t"), ["tion", "qu"]).alias("e")).collect()
     assert all(r["e"] == brute(r["t"], ["tion", "qu"]) for r in rows)
+
+
+def many_symbols(spark):
+    """1,300 named symbols, each implemented by another; the last of them stand in the first document."""
+    rows = spark.range(1_300).selectExpr("format_string('s%04d', id) symbol", "format_string('t%04d', id) other", "1300 - id rank")
+    named = rows.selectExpr("symbol", "'Run' name", "true navigable")
+    occurrences = rows.selectExpr("'d' || rank path", "symbol", "false definition", "1L start_line", "2L end_line").unionByName(rows.selectExpr("'d' || rank path", "other symbol", "true definition", "3L start_line", "4L end_line"))
+    return named, occurrences, rows.selectExpr("other symbol", "symbol target"), rows.selectExpr("'d' || rank path", "rank")
+
+
+def test_symbol_evidence_looks_at_all_symbols_and_pairs(spark):
+    found = symbols.evidence(*many_symbols(spark), ["run"], 6).orderBy("position").collect()
+    assert [(r["path"], r["role"], r["symbol"], r["implements"]) for r in found] == [x for k in (1, 2, 3) for x in ((f"d{k}", "reference", f"s{1300 - k}", None), (f"d{k}", "implementation", f"t{1300 - k}", f"s{1300 - k}"))]
+    assert all(r["truncated"] for r in found)
+    whole = symbols.evidence(*many_symbols(spark), ["run"], 5_000).collect()
+    assert len(whole) == 2_600 and not any(r["truncated"] for r in whole)
