@@ -100,3 +100,9 @@ def test_symbol_evidence_looks_at_all_symbols_and_pairs(spark):
     assert all(r["truncated"] for r in found)
     whole = symbols.evidence(*many_symbols(spark), ["run"], 5_000).collect()
     assert len(whole) == 2_600 and not any(r["truncated"] for r in whole)
+
+
+def test_symbol_lines_hold_symbols_beyond_a_thousand(spark):
+    named, *others = many_symbols(spark)
+    found = symbols.payload_lines(symbols.evidence(named, *others, ["run"], 2), named.selectExpr("symbol", "'q' || symbol qualified")).collect()
+    assert [tuple(r) for r in found] == [("d1", "scip_symbols: reference qs1299 1-2; implementation t1299 3-4 implements qs1299\n")]
