@@ -84,24 +84,27 @@ def matching_tokens(fielded: DataFrame, q: Question) -> tuple[dict[str, str], di
     return direct, {r["token"]: verbs[r["verb"]] for r in found if r["token"] not in direct and r["verb"] in verbs}
 
 
-def _hits(q: Question, direct: dict[str, str], by_verb: dict[str, str]) -> tuple[Column, Column]:
-    """(array of (stem, field, tf) by stem and field, number of literal filename words) of a row's term arrays."""
+def _with_hits(ready: DataFrame, q: Question, direct: dict[str, str], by_verb: dict[str, str]) -> DataFrame:
+    """Adds hits (array of (stem, field, tf) by stem and field) and literal (number of literal filename words) to rows with term arrays.
+
+    The few matching tokens of each array become a column of their own first, so that counting them doesn't walk the whole text again for each stem.
+    """
+
+    def kept(column: str, table: dict[str, str]) -> Column:
+        return F.filter(column, lambda t: t.isin(sorted(table))) if table else F.array().cast("array<string>")
 
     def stems_in(column: str, table: dict[str, str]) -> Column:
-        if not table:
-            return F.array().cast("array<string>")
-        kept = F.filter(column, lambda t: t.isin(sorted(table)))
         if all(k == v for k, v in table.items()):
-            return kept
+            return F.col(column)
         lookup = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
-        return F.transform(kept, lambda t: F.try_element_at(lookup, t))
+        return F.transform(column, lambda t: F.try_element_at(lookup, t))
 
-    found = [stems_in(f"t{k}", {**direct, **by_verb} if not k else direct) for k in range(4)]
-    counted = []
-    for k, stems in enumerate(found):
-        counted.append(F.transform(F.array_distinct(stems), _counter(stems, k)))
+    tables = [{**direct, **by_verb} if not k else direct for k in range(4)]
+    small = ready.withColumns({f"__m{k}": kept(f"t{k}", tables[k]) for k in range(4)}).withColumns({f"__s{k}": stems_in(f"__m{k}", tables[k]) for k in range(4)})
+    counted = [F.transform(F.array_distinct(f"__s{k}"), _counter(F.col(f"__s{k}"), k)) for k in range(4)]
     literal = sorted(t for t in {**direct, **by_verb} if t in q.surface)
-    return F.array_sort(F.concat(*counted)), F.size(F.filter("t0", lambda t: t.isin(literal))) if literal else F.lit(0)
+    n_literal = F.size(F.filter("t0", lambda t: t.isin(literal))) if literal else F.lit(0)
+    return small.withColumns({"hits": F.array_sort(F.concat(*counted)), "literal": n_literal.cast("long")})
 
 
 def _counter(stems: Column, k: int):
@@ -115,9 +118,8 @@ def score(files: DataFrame, q: Question, classes: list | None = None, descriptio
     """
     tier, name = corpus.classify(F.col("path"), classes or [])
     ready = fields_of(files.where(~corpus.excluded_from_brief(F.col("path"))), descriptions).withColumns({"tier": tier, "class": name})
-    hits, literal = _hits(q, *matching_tokens(ready, q))
     traits = ["path", "tier", "class", "role", "active", "canonical", "public_safe", "confidence", "freshness"]
-    small = cut(ready.select(*traits, *[F.size(f"t{k}").alias(f"len{k}") for k in range(4)], hits.alias("hits"), literal.cast("long").alias("literal")))
+    small = cut(_with_hits(ready, q, *matching_tokens(ready, q)).select(*traits, *[F.size(f"t{k}").alias(f"len{k}") for k in range(4)], "hits", "literal"))
     return score_rows(small, q, shortlist)
 
 

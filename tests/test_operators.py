@@ -313,3 +313,16 @@ def test_an_index_scores_as_texts_do(spark, sf):
     whole = fielded.rank(fielded.with_exact_units(fielded.score(rows, q, queries_rank.CLASSES), rows, queries_rank.QUESTION))
     short = fielded.rank(fielded.with_exact_units(fielded.shortlisted(fielded.score_indexed(index, q, queries_rank.CLASSES)), rows, queries_rank.QUESTION))
     assert sorted(map(str, whole.collect())) == sorted(map(str, short.collect()))
+
+
+@pytest.mark.parametrize("name", ["fielded_rank_plain"])
+def test_a_single_question_builds_no_index(name, spark, sf, monkeypatch):
+    from corvane import session
+    from corvane.plans.registry import QUERIES
+
+    def refused(*_):
+        raise AssertionError("a question alone needs its own tokens only")
+
+    monkeypatch.setattr(session, "_REMEMBERED", {})
+    monkeypatch.setattr(fielded, "build_index", refused)
+    assert QUERIES[name](spark, sf).count() > 0
