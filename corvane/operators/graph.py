@@ -116,16 +116,15 @@ def _numbered(level: DataFrame, order: list[str], n_rows: int, start: int) -> Da
     return level.withColumn("discovery", (F.row_number().over(Window.orderBy(*order)) + start).cast("long"))
 
 
-def search(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | None = None, backward: bool = False, carry: list[str] | None = None, ordered: bool = True, target: str | None = None) -> tuple[DataFrame, bool]:
+def search(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | None = None, backward: bool = False, carry: list[str] | None = None) -> tuple[DataFrame, bool]:
     """(id, depth, parent, edge_id, discovery and `carry`) of what seeds (id and `carry`) reach over `edges`, and whether a bound stopped it.
 
-    Of several edges to a node the one from the parent discovered first counts, then the least edge id. Discovery numbers are those of a queue;
-    without `ordered` they are 0 and the least parent counts. A `target` ends the search with the level that has it.
+    Of several edges to a node the one from the parent discovered first counts, then the least edge id. Discovery numbers are those of a queue.
     """
     carry = carry or []
     here, there = ("dst", "src") if backward else ("src", "dst")
     seen, n_seen = cut_counted(seeds.select("id", *carry).withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "edge_id": F.lit(None).cast("string")}))
-    seen = _numbered(seen, ["id"], n_seen, 0) if ordered else seen.withColumn("discovery", F.lit(0).cast("long"))
+    seen = _numbered(seen, ["id"], n_seen, 0)
     frontier, n_seeds, stopped = seen, n_seen, False
     for depth in range(1, max_depth + 2):
         step = frontier.select(F.col("id").alias(here), F.col("discovery").alias("from_discovery"), *carry).join(edges.select("id", here, there), here)
@@ -133,22 +132,67 @@ def search(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int |
         if depth > max_depth:
             return seen, stopped or not new.isEmpty()
         # the least (parent's discovery, edge) of each new node; the aggregate is partial before its shuffle
-        first = F.struct("from_discovery", F.col(here).alias("parent"), "id", *carry) if not ordered else F.struct("from_discovery", "id", F.col(here).alias("parent"), *carry)
+        first = F.struct("from_discovery", "id", F.col(here).alias("parent"), *carry)
         new = new.groupBy(F.col(there).alias("node")).agg(F.min(first).alias("b"))
         new, n_new = cut_counted(new.select(F.col("node").alias("id"), *[F.col(f"b.{c}").alias(c) for c in carry], F.lit(depth).alias("depth"), F.col("b.parent").alias("parent"), F.col("b.id").alias("edge_id"), F.col("b.from_discovery").alias("from_discovery")))
         if not n_new:
             return seen, stopped
-        new = _numbered(new, ["from_discovery", "edge_id", "id"], n_new, n_seen) if ordered or max_nodes is not None else new.withColumn("discovery", F.lit(0).cast("long"))
-        new = new.drop("from_discovery")
+        new = _numbered(new, ["from_discovery", "edge_id", "id"], n_new, n_seen).drop("from_discovery")
         if max_nodes is not None and n_seen - n_seeds + n_new > max_nodes:
             new = new.where(F.col("discovery") <= n_seeds + max_nodes)
             return seen.unionByName(new), True
         seen, frontier, n_seen = seen.unionByName(new), new, n_seen + n_new
-        if target is not None and not new.where(F.col("id") == target).isEmpty():
-            return seen, stopped
     return seen, stopped
 
 
+#: Ids of a level that a join takes by broadcast; more meet the edges and what was seen by shuffle, or in the edges' own buckets.
+BROADCAST_ROWS = 1 << 17
+
+
+def _few(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if n <= BROADCAST_ROWS else ids
+
+
+def levels(edges: DataFrame, seeds: DataFrame, max_depth: int, backward: bool = False, among: DataFrame | None = None, until: str | None = None) -> tuple[list[tuple[DataFrame, int]], bool]:
+    """The levels of a search, seeds first, as (table of ids, their number), and whether the depth stopped it. Only ids travel: for what needs no parents, edges or order.
+
+    `among`: the only ids that may be met. `until` ends the search with the level that has it.
+    """
+    here, there = ("dst", "src") if backward else ("src", "dst")
+    pairs = edges.select(here, there)
+    found = [cut_counted(seeds.select("id").distinct())]
+    for depth in range(1, max_depth + 2):
+        frontier, n = found[-1]
+        new = _few(frontier.withColumnRenamed("id", here), n).join(pairs, here).select(F.col(there).alias("id")).distinct()
+        seen = found[0][0]
+        for level, _ in found[1:]:
+            seen = seen.unionByName(level)
+        new = new.join(_few(seen, sum(k for _, k in found)), "id", "left_anti")
+        if depth > max_depth:
+            if among is not None:
+                new = new.join(among.select("id"), "id", "left_semi")
+            return found, not new.isEmpty()
+        new, n_new = cut_counted(new)
+        if among is not None and n_new:
+            # few ids meet the others by broadcast, so that those needn't be shuffled
+            kept = among.select("id").join(F.broadcast(new), "id").distinct() if n_new <= BROADCAST_ROWS else new.join(among.select("id"), "id", "left_semi")
+            new, n_new = cut_counted(kept)
+        if not n_new:
+            return found, False
+        found.append((new, n_new))
+        if until is not None and not new.where(F.col("id") == until).isEmpty():
+            return found, False
+    return found, False
+
+
+def _with_depth(found: list[tuple[DataFrame, int]], first: int = 0) -> DataFrame:
+    """(id, depth) of the levels from `first` on."""
+    out = found[0][0].where("false").withColumn("depth", F.lit(0))
+    for depth, (level, _) in list(enumerate(found))[first:]:
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+    return out
+
+
 def impact(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int, max_results: int) -> DataFrame:
     """(id, depth, edge_id, position, truncated): what depends on the start over known edges, in the order of discovery."""
     known = edges.where("certainty = 'known'")
@@ -158,20 +202,22 @@ def impact(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int, max_r
 
 def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int, backward: bool = False) -> DataFrame:
     """(id, depth): the least number of edges from any seed, up to max_depth."""
-    return search(edges, seeds, max_depth, backward=backward, ordered=False)[0].select("id", "depth")
+    return _with_depth(levels(edges, seeds, max_depth, backward)[0])
 
 
 def reachability(nodes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(id, outcome, reason, depth, truncated) of every node: one search from all entrypoints, one from the ends of uncertain edges."""
     known = edges.where("certainty = 'known'")
-    near, cut_short = search(known, nodes.where("role = 'entrypoint'").select("id"), max_depth, ordered=False)
-    depth_of = near.select("id", F.col("depth").alias("known_depth"))
+    near, cut_short = levels(known, nodes.where("role = 'entrypoint'").select("id"), max_depth)
+    depth_of = _with_depth(near).withColumnRenamed("depth", "known_depth")
     doubtful = edges.where("certainty <> 'known'")
     ends = doubtful.select(F.col("src").alias("id")).unionByName(doubtful.select(F.col("dst").alias("id"))).join(nodes.select("id"), "id", "left_semi").distinct()
-    tainted, taint_short = search(edges, ends, max_depth, ordered=False)
-    rows = nodes.join(depth_of, "id", "left").join(tainted.select("id", F.lit(True).alias("tainted")), "id", "left")
+    doubted, taint_short = levels(edges, ends, max_depth)
+    tainted = _with_depth(doubted).select("id", F.lit(True).alias("tainted"))
+    # facts stay behind: a flag of them is all that the joins carry
+    rows = nodes.select("id", "role", has_fact("coverage", "partial").alias("partial")).join(depth_of, "id", "left").join(tainted, "id", "left")
     bounded_search = F.lit(cut_short)
-    partial = has_fact("coverage", "partial")
+    partial = F.col("partial")
     cases = [
         (partial, "unknown", "partial-coverage"), (F.col("role") == "entrypoint", "active", "entrypoint"), (F.col("role") == "test", "test-only", "test-role"), (F.col("role") == "generated", "generated", "generated-role"),
         (F.col("known_depth").isNotNull(), "supporting", "known-path"), (bounded_search, "unknown", "depth-bound"), (F.col("tainted").isNotNull(), "unknown", "uncertain"), (F.lit(taint_short), "unknown", "depth-bound"),
@@ -191,25 +237,27 @@ def zombies(classified: DataFrame) -> DataFrame:
 def trail(nodes: DataFrame, edges: DataFrame, start: str, target: str, max_depth: int) -> DataFrame:
     """(position, id, edge_id): the shortest known path, of equal ones the one with least target and edge ids at each step; empty without one."""
     known = edges.where("certainty = 'known'")
-    # the order of a queue whose steps are sorted by (target, edge)
-    keyed = known.withColumn("id", F.concat_ws("\u0000", "dst", "id"))
-    found, _ = search(keyed, nodes.where(F.col("id") == start).select("id"), max_depth, target=target)
-    end = found.where(F.col("id") == target).select("id", "depth", "parent", "edge_id").limit(1)
-    last = end.first()
-    if last is None:
-        return nodes.sparkSession.createDataFrame([], "position int, id string, edge_id string")
-    # the way back joins as often as there are steps, one row each time
-    rows = step = end
-    for _ in range(last["depth"]):
-        step = found.select("id", "depth", "parent", "edge_id").join(F.broadcast(step.select(F.col("parent").alias("id"))), "id")
-        rows = rows.unionByName(step)
-    return rows.select((F.col("depth") + 1).alias("position"), "id", F.get(F.split("edge_id", "\u0000"), F.lit(1)).alias("edge_id"))
-
-
-def dependency_closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 4, max_nodes: int = 256) -> tuple[DataFrame, bool]:
-    """(id, depth) admitted beyond the seeds over known edges with a positive relationship, and whether a bound stopped it."""
-    usable = edges.where((F.col("certainty") == "known") & F.col("relationship").isin(M.POSITIVE_RELATIONSHIPS)).join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    found, stopped = search(usable, seeds.join(nodes.select("id"), "id", "left_semi"), max_depth, max_nodes)
+    steps: list[tuple] = [] if nodes.where(F.col("id") == start).isEmpty() else [(1, start, None)]
+    if steps and start != target:
+        # back from the target to the level that has the start, then on by the least of the steps that come nearer, one row each
+        back, _ = levels(known, nodes.sparkSession.createDataFrame([(target,)], "id string"), max_depth, backward=True, until=start)
+        if back[-1][0].where(F.col("id") == start).isEmpty():
+            back, steps = [], []
+        for level, n in reversed(back[:-1]):
+            ahead = known.where(F.col("src") == steps[-1][1]).join(_few(level.withColumnRenamed("id", "dst"), n), "dst", "left_semi")
+            least = ahead.agg(F.min(F.struct("dst", "id")).alias("b")).select("b.*").first()
+            steps.append((len(steps) + 1, least["dst"], least["id"]))
+    return nodes.sparkSession.createDataFrame(steps, "position int, id string, edge_id string")
+
+
+def dependency_closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 4, max_nodes: int | None = 256) -> tuple[DataFrame, bool]:
+    """(id, depth) admitted beyond the seeds over known edges with a positive relationship, and whether a bound stopped it; all without max_nodes."""
+    usable = edges.where((F.col("certainty") == "known") & F.col("relationship").isin(M.POSITIVE_RELATIONSHIPS))
+    begin = seeds.join(nodes.select("id"), "id", "left_semi")
+    if max_nodes is None:
+        met, stopped = levels(usable, begin, max_depth, among=nodes)
+        return _with_depth(met, 1), stopped
+    found, stopped = search(usable.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"), begin, max_depth, max_nodes)
     return found.where("depth > 0").select("id", "depth"), stopped
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, fingerprint, remembered, table
+from ..session import cut, cut_by, fingerprint, remembered, table
 
 NODES_SQL = """
 nodes as (
@@ -28,6 +28,8 @@ edges as (
 
 
 _TABLES = ["region", "nation", "customer", "supplier", "orders", "part", "lineitem"]
+#: Bytes of the tables for each bucket of edges, and buckets at least.
+_BUCKET_BYTES, _BUCKETS = 8 << 20, 4
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +38,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges, built once a session for each state of the tables."""
-    return remembered(spark, ("star-edges", fingerprint(spark, sf_dir, *_TABLES)), lambda: cut(make_edges(spark, sf_dir)))
+    """The edges, built once a session for each state of the tables, dealt by their source."""
+    n = buckets(spark, sf_dir)
+    return remembered(spark, ("star-edges", fingerprint(spark, sf_dir, *_TABLES)), lambda: cut_by(make_edges(spark, sf_dir, n), "src", n))
+
+
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """How many parts the edges are dealt into: they grow with the tables, so that a task's share doesn't."""
+    return max(_BUCKETS, -(-sum(size for _, _, size, _ in fingerprint(spark, sf_dir, *_TABLES)[1:]) // _BUCKET_BYTES))
 
 
 def make_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +67,8 @@ def make_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("facts", facts)
 
 
-def make_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, src, dst, relationship, certainty)."""
+def make_edges(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(id, src, dst, relationship, certainty) in n partitions by source; the one shuffle of line items also serves to find their distinct pairs."""
     t = lambda n: table(spark, sf_dir, n)
     key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
 
@@ -73,6 +81,8 @@ def make_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.unionByName(rows(t("customer"), "nc", "c_custkey", key("nation", "c_nationkey"), key("customer", "c_custkey"), "dependency", doubtful("c_custkey", 11)))
     out = out.unionByName(rows(t("supplier"), "ns", "s_suppkey", key("nation", "s_nationkey"), key("supplier", "s_suppkey"), "validation", known))
     out = out.unionByName(rows(t("orders"), "co", "o_orderkey", key("customer", "o_custkey"), key("order", "o_orderkey"), "dependency", doubtful("o_orderkey", 7)))
-    pairs = t("lineitem").select("l_orderkey", "l_partkey").distinct()
-    pairs = pairs.select(F.concat_ws(":", F.lit("op"), F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("id"), key("order", "l_orderkey").alias("src"), key("part", "l_partkey").alias("dst"), F.lit("implementation").alias("relationship"), known.alias("certainty"))
+    out = out.repartition(n, "src")
+    pairs = t("lineitem").select(key("order", "l_orderkey").alias("src"), "l_partkey").repartition(n, "src").dropDuplicates(["src", "l_partkey"])
+    part = F.col("l_partkey").cast("string")
+    pairs = pairs.select(F.concat(F.lit("op:"), F.substring("src", 7, 20), F.lit(":"), part).alias("id"), "src", F.concat(F.lit("part:"), part).alias("dst"), F.lit("implementation").alias("relationship"), known.alias("certainty"))
     return out.unionByName(pairs)

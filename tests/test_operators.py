@@ -326,3 +326,42 @@ def test_a_single_question_builds_no_index(name, spark, sf, monkeypatch):
     monkeypatch.setattr(session, "_REMEMBERED", {})
     monkeypatch.setattr(fielded, "build_index", refused)
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def only_ids_are_kept(monkeypatch):
+    """From now on a search that writes more than ids fails."""
+    kept = graph.cut_counted
+
+    def checked(df):
+        assert df.columns == ["id"]
+        return kept(df)
+
+    monkeypatch.setattr(graph, "cut_counted", checked)
+
+
+def a_graph(spark):
+    nodes = spark.createDataFrame([(x, "entrypoint" if x == "a" else "document", None) for x in "abcdefg"], "id string, role string, facts map<string,array<string>>")
+    rows = [("1", "a", "b", "known"), ("2", "a", "c", "known"), ("3", "b", "d", "known"), ("4", "c", "d", "known"), ("5", "b", "d", "known"), ("6", "d", "e", "known"), ("7", "e", "a", "known"), ("8", "f", "g", "dynamic"), ("9", "d", "x", "known"), ("0", "x", "f", "known")]
+    return nodes, spark.createDataFrame([(*r, "dependency") for r in rows], "id string, src string, dst string, certainty string, relationship string")
+
+
+def test_reachability_keeps_ids_only(spark, monkeypatch):
+    only_ids_are_kept(monkeypatch)
+    found = {r["id"]: (r["reason"], r["depth"]) for r in graph.reachability(*a_graph(spark), 6).collect()}
+    assert found == {"a": ("entrypoint", None), "b": ("known-path", 1), "c": ("known-path", 1), "d": ("known-path", 2), "e": ("known-path", 3), "f": ("known-path", 4), "g": ("uncertain", None)}
+    assert {r["id"] for r in graph.reachability(*a_graph(spark), 1).where("truncated").collect()} == {"d", "e", "f", "g"}
+
+
+def test_distances_by_shuffle_are_those_by_broadcast(spark, monkeypatch):
+    nodes, edges = a_graph(spark)
+    few = sorted(map(tuple, graph.distances(nodes, edges, nodes.where("id = 'a'"), 6).collect()))
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, graph.distances(nodes, edges, nodes.where("id = 'a'"), 6).collect())) == few
+    assert sorted(map(tuple, graph.dependency_closure(nodes, edges, nodes.where("id = 'a'"), 6, None)[0].collect())) == [("b", 1), ("c", 1), ("d", 2), ("e", 3)]
+
+
+def test_edges_are_dealt_by_source(spark, sf):
+    from corvane.plans import star_graph
+
+    grouped = star_graph.edges(spark, sf).groupBy("src").count()
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
