@@ -362,6 +362,14 @@ def test_a_closure_without_bound_keeps_ids_only(spark, monkeypatch):
     assert graph.dependency_closure(nodes, edges, nodes.where("id = 'a'"), 2, None)[1] and not whole[1]
 
 
+def test_trail_keeps_ids_only_and_is_least(spark, monkeypatch):
+    only_ids_are_kept(monkeypatch)
+    nodes, edges = a_graph(spark)
+    path = lambda *x: [tuple(r)[1:] for r in graph.trail(nodes, edges, *x).orderBy("position").collect()]
+    assert path("a", "e", 5) == [("a", None), ("b", "1"), ("d", "3"), ("e", "6")]
+    assert path("a", "a", 5) == [("a", None)] and path("a", "e", 2) == path("x", "f", 5) == path("f", "g", 5) == []
+
+
 def test_distances_by_shuffle_are_those_by_broadcast(spark, monkeypatch):
     nodes, edges = a_graph(spark)
     few = sorted(map(tuple, graph.distances(nodes, edges, nodes.where("id = 'a'"), 6).collect()))
