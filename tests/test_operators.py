@@ -399,3 +399,14 @@ def test_edges_are_dealt_by_source(spark, sf):
 
     grouped = star_graph.edges(spark, sf).groupBy("src").count()
     assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+
+
+def test_front_matter_is_cut_at_the_first_whole_fence(spark):
+    cases = {"---\na: 1\n---\nb\n---\n": ("a: 1\n", "b\n---\n"), "---\n---\n": ("", ""), "---\n---": ("", ""), "\ufeff --- \r\n----\n ---\t\r\nx": ("----\n", "x"), "---\na": (None, ""), "---": (None, ""), "a\n---\n": (None, "a\n---\n"), "": (None, "")}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", tx.front_matter(F.col("t")).alias("f")).collect()
+    assert {r["t"]: (r["f"]["header"], r["f"]["body"]) for r in rows} == cases
+
+
+def test_declared_facts_cut_each_text_once(spark, sf):
+    # the filter that the planner infers for explode would cut it again
+    assert plan_of(spark, "facts_declared", sf).count("map_from_entries") == 1
