@@ -410,3 +410,14 @@ def test_front_matter_is_cut_at_the_first_whole_fence(spark):
 def test_declared_facts_cut_each_text_once(spark, sf):
     # the filter that the planner infers for explode would cut it again
     assert plan_of(spark, "facts_declared", sf).count("map_from_entries") == 1
+
+
+@pytest.mark.parametrize("name,scans", [("facts_maps", 1)])
+def test_facts_are_resolved_in_one_reading(name, scans, spark, sf):
+    assert plan_of(spark, name, sf).count("FileScan") == scans
+
+
+def test_resolved_facts_of_odd_keys(spark):
+    rows = [("a", "title", "x", "declared"), ("a", "title", "y", "inferred"), ("a", "tags", "x", "declared"), ("a", "tags", "y", "declared"), ("b", "title", "x", "inferred"), ("b", "title", "y", "inferred"), ("c", "title", "x", "declared"), ("c", "title", "x", "inferred")]
+    found = facts.resolve(spark.createDataFrame(rows, "path string, key string, value string, confidence string")).where("state = 'ambiguous'").collect()
+    assert sorted((r["path"], r["key"], r["value"]) for r in found) == [("a", "title", "x"), ("a", "title", "y")]
