@@ -412,7 +412,7 @@ def test_declared_facts_cut_each_text_once(spark, sf):
     assert plan_of(spark, "facts_declared", sf).count("map_from_entries") == 1
 
 
-@pytest.mark.parametrize("name,scans", [("facts_maps", 1)])
+@pytest.mark.parametrize("name,scans", [("facts_maps", 1), ("facts_conflicts", 2)])
 def test_facts_are_resolved_in_one_reading(name, scans, spark, sf):
     assert plan_of(spark, name, sf).count("FileScan") == scans
 
