@@ -164,3 +164,11 @@ def test_oversized_files_with_nul_bytes(tmp_path, spark):
     with pytest.raises(corpus.ScanLimit):
         corpus.scan_tree(spark, str(tmp_path), max_file_bytes=4000, max_total_bytes=4000)
     assert corpus.scan_tree(spark, str(tmp_path), max_file_bytes=4000, max_files=2, max_total_bytes=8000)[0].count() == 2
+
+
+@pytest.mark.parametrize("name", ["validate_outcomes"])
+def test_texts_and_headers_are_read_once_for_all_rules(name, spark, sf):
+    from corvane.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "EvalPython" not in plan and "documents.parquet" not in plan
