@@ -166,7 +166,7 @@ def test_oversized_files_with_nul_bytes(tmp_path, spark):
     assert corpus.scan_tree(spark, str(tmp_path), max_file_bytes=4000, max_files=2, max_total_bytes=8000)[0].count() == 2
 
 
-@pytest.mark.parametrize("name", ["validate_outcomes", "validate_strict"])
+@pytest.mark.parametrize("name", ["validate_outcomes", "validate_strict", "validate_families"])
 def test_texts_and_headers_are_read_once_for_all_rules(name, spark, sf):
     from corvane.plans.registry import QUERIES
 
