@@ -302,20 +302,45 @@ def outcome(matched: Column, unmatched: Column, ranked: Column) -> Column:
     return F.when(~ranked | (F.size(matched) == 0), "miss").when(F.exists(unmatched, lambda u: u.rlike("[-_.]") & (F.length(u) >= 6)), "partial_unanchored").otherwise("grounded")
 
 
+#: Different words of all questions up to which they are looked up in each text; more meet the texts' words by a join.
+MANY_WORDS = 1 << 16
+
+
+def _counted(terms: Column) -> Column:
+    """Array of (term, tf) of a sorted array of terms: a term goes from its first place to that of the next."""
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    pairs = lambda s, b: F.transform(b, lambda x, k: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - x).alias("tf")))
+    # lambdas over arrays of one bind the parts, which would else be made again for each place
+    bound = F.flatten(F.flatten(F.transform(F.array(terms), lambda s: F.transform(F.array(begins(s)), lambda b: pairs(s, b)))))
+    return F.when(F.size(terms) > 0, bound).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+
 def rank_many(files: DataFrame, questions: DataFrame, top: int = 8) -> DataFrame:
     """(question_id, rank, path, points): BM25 over bodies for many questions at once; `questions` has question_id and terms.
 
-    Documents and questions meet on the term; the postings of a term are never in one task alone, since the join is on (term) with skew handling
-    and sums are pre-aggregated.
+    Texts are read once: what is left of each are its length and the counts of the questions' words, cut off. Rows of a file stand in one task, so its sums
+    need no shuffle, and each task sends on its best rows of a question only.
     """
     body = files.select("path", tx.terms(F.coalesce("text", F.lit(""))).alias("t2")).withColumn("len", F.size("t2"))
-    wanted = questions.select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
+    wanted = cut(questions.select("question_id", F.explode(F.array_distinct("terms")).alias("term")))
     vocabulary = wanted.select("term").distinct()
-    tf = body.select("path", "len", F.explode("t2").alias("term")).join(F.broadcast(vocabulary), "term", "left_semi").groupBy("path", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = body.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
+    words = [r["term"] for r in vocabulary.limit(MANY_WORDS + 1).collect()]
+    few = len(words) <= MANY_WORDS
+    if few:
+        asked = body.select("path", "len", F.sort_array(F.filter("t2", lambda t: t.isin(words))).alias("kept"))
+        small = cut(asked.select("path", "len", _counted(F.col("kept")).alias("hits")))
+        tf = small.repartition("path").select("path", "len", F.explode_outer("hits").alias("h")).select("path", "len", "h.term", F.col("h.tf").cast("long").alias("tf")).where("term is not null")
+        if not small.groupBy("path", "len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # files of one path and length count as one
+            tf = tf.groupBy("path", "len", "term").agg(F.sum("tf").alias("tf"))
+    else:
+        small = cut(body.select("path", "len"))
+        tf = body.select("path", "len", F.explode("t2").alias("term")).join(vocabulary, "term", "left_semi").groupBy("path", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = small.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
     weights = df.select("term", "avg", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * (M.K1 + 1) * F.col("tf") / (F.col("tf") + M.K1 * (1 - M.LENGTH_NORMALIZATION[2] + M.LENGTH_NORMALIZATION[2] * F.col("len") / F.col("avg")))
+    # at most as many rows as words
+    weights = F.broadcast(cut(weights)) if few else weights
     # whole numbers: sums are the same in every order
     points = tf.join(weights, "term").select("path", "term", F.floor(part * M.SCORE_SCALE).cast("long").alias("p"))
     summed = points.join(wanted, "term").groupBy("question_id", "path").agg(F.sum("p").alias("points"))

@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs."""
 
 import io
+import math
 import zipfile
 
 import pytest
@@ -421,3 +422,20 @@ def test_resolved_facts_of_odd_keys(spark):
     rows = [("a", "title", "x", "declared"), ("a", "title", "y", "inferred"), ("a", "tags", "x", "declared"), ("a", "tags", "y", "declared"), ("b", "title", "x", "inferred"), ("b", "title", "y", "inferred"), ("c", "title", "x", "declared"), ("c", "title", "x", "inferred")]
     found = facts.resolve(spark.createDataFrame(rows, "path string, key string, value string, confidence string")).where("state = 'ambiguous'").collect()
     assert sorted((r["path"], r["key"], r["value"]) for r in found) == [("a", "title", "x"), ("a", "title", "y")]
+
+
+def test_many_questions_read_texts_once_with_the_same_points(spark, monkeypatch, sf):
+    assert "documents.parquet" not in plan_of(spark, "fielded_rank_many", sf)
+    texts = [("a", "red fox red den"), ("b", "fox"), ("b", "red"), ("c", ""), ("d", None), ("e", "den den den fox 12")]
+    files = spark.createDataFrame(texts, "path string, text string")
+    asked = spark.createDataFrame([(1, ["red", "red", "den"]), (2, ["fox", "owl"]), (3, ["12"]), (4, [])], "question_id int, terms array<string>")
+    found = sorted(map(tuple, fielded.rank_many(files, asked).collect()))
+    # by hand: the two files b have one path and length, so they count as one with both words
+    counts = {("a", 4): {"red": 2, "fox": 1, "den": 1}, ("b", 1): {"fox": 1, "red": 1}, ("e", 5): {"den": 3, "fox": 1, "12": 1}}
+    df = {w: sum(w in c for c in counts.values()) for w in ("red", "fox", "den", "12")}
+    share = lambda c, size, w: int(math.log1p((6 - df[w] + 0.5) / (df[w] + 0.5)) * 2.2 * c[w] / (c[w] + 1.2 * (0.25 + 0.75 * size / (11 / 6))) * 1_000_000)
+    points = {(q, p): sum(share(c, size, w) for w in words if w in c) for q, words in ((1, ("red", "den")), (2, ("fox", "owl")), (3, ("12",))) for (p, size), c in counts.items() if any(w in c for w in words)}
+    assert {(q, p): n for q, _, p, n in found} == points
+    assert [p for q, _, p, _ in found if q == 1] == sorted((p for q, p in points if q == 1), key=lambda p: -points[1, p])
+    monkeypatch.setattr(fielded, "MANY_WORDS", 0)
+    assert sorted(map(tuple, fielded.rank_many(files, asked).collect())) == found
