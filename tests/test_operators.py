@@ -439,3 +439,12 @@ def test_many_questions_read_texts_once_with_the_same_points(spark, monkeypatch,
     assert [p for q, _, p, _ in found if q == 1] == sorted((p for q, p in points if q == 1), key=lambda p: -points[1, p])
     monkeypatch.setattr(fielded, "MANY_WORDS", 0)
     assert sorted(map(tuple, fielded.rank_many(files, asked).collect())) == found
+
+
+def test_reachability_by_shuffle_is_that_by_broadcast(spark, sf, monkeypatch):
+    from corvane.plans.registry import QUERIES
+
+    few = sorted(map(str, QUERIES["graph_reachability"](spark, sf).collect()))
+    only_ids_are_kept(monkeypatch)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, QUERIES["graph_reachability"](spark, sf).collect())) == few
